@@ -12,11 +12,11 @@ from voxcohort.plans.registry import query, view
 
 
 def r6(*names):
-    return [F.round(n, 6).alias(n) for n in names]
+    return [F.round(n, 7).alias(n) for n in names]
 
 
 def sql6(*names):
-    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+    return ", ".join(f"round({n}, 7) AS {n}" for n in names)
 
 
 # ---------------------------------------------------------------- V11-V21 nodes
