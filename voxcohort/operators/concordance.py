@@ -19,7 +19,7 @@ BASE = 8
 
 def concordance(df: DataFrame, time: str = "RFS", event: str = "event", risk: str = "risk",
                 group: list[str] | None = None, rule: str = "strict", weight: str | None = None,
-                rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                rows_per_range: int = ROWS_PER_RANGE, at_most: int | None = None) -> DataFrame:
     """Concordance per group: (group, n, events, comparable, concordant, c_index).
 
     ``strict``: a pair counts when i has the event and j lives strictly longer.
@@ -35,9 +35,12 @@ def concordance(df: DataFrame, time: str = "RFS", event: str = "event", risk: st
         *keys, F.col(time).alias("_t"), F.col(risk).alias("_r")
     ).agg(F.sum(copies * F.col(event)).alias("_e"), F.sum(copies).alias("_n"))
 
+    if at_most is None:
+        at_most = cells.count()
+
     # comparable pairs need only the distinct times
     times = cells.groupBy(*keys, "_t").agg(F.sum("_e").alias("_e"), F.sum("_n").alias("_n")).withColumn("_one", F.lit(1))
-    bounds = range_bounds(times, "_t", rows_per_range)
+    bounds = range_bounds(times, "_t", rows_per_range, at_most)
     times = running_sums(times, keys, "_t", {"_before": "_n", "_pos": "_one"}, bounds)
     sizes = times.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_e").alias("events"), F.max("_pos").alias("_last"))
     at = times.join(sizes, keys)
@@ -65,7 +68,7 @@ def concordance(df: DataFrame, time: str = "RFS", event: str = "event", risk: st
     table = digits.groupBy(*node, "_r").agg(
         *[pick("_e", d).alias(f"_e{d}") for d in range(BASE - 1)],
         *[pick("_c", d).alias(f"_n{d}") for d in range(1, BASE)])
-    bounds = range_bounds(cells, "_r", rows_per_range)
+    bounds = range_bounds(cells, "_r", rows_per_range, at_most)
     table = running_sums(table, node, "_r", {f"_l{d}": f"_n{d}" for d in range(1, BASE)}, bounds)
     won = F.lit(0.0)
     for d in range(BASE - 1):
@@ -109,7 +112,8 @@ def univariate_signal(df: DataFrame, features: list[str], group: list[str] | Non
     stats = long.where("value is not null").groupBy(*group, "feature", "value").agg(F.count("*").alias("k")).groupBy(
         *group, "feature").agg(F.sum("k").alias("n_values"), F.count("*").alias("n_distinct"))
     stats = stats.where((F.col("n_values") >= min_values) & (F.col("n_distinct") >= min_distinct))
-    middle = exact_quantiles(long, "value", [0.5], [*group, "feature"]).select(*group, "feature", F.col("value").alias("_med"))
+    at_most = df.count() * len(features)
+    middle = exact_quantiles(long, "value", [0.5], [*group, "feature"], at_most=at_most).select(*group, "feature", F.col("value").alias("_med"))
     filled = long.join(stats.join(middle, [*group, "feature"]), [*group, "feature"]).withColumn("risk", -F.coalesce("value", "_med"))
-    scores = concordance(filled, time, event, "risk", [*group, "feature"], rule="library")
+    scores = concordance(filled, time, event, "risk", [*group, "feature"], rule="library", at_most=at_most)
     return scores.withColumn("signal", F.abs(F.col("c_index") - 0.5))

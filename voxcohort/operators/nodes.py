@@ -44,8 +44,10 @@ def merged_nodes(voxels: DataFrame, headers: DataFrame, label: int = 2, merge_mm
         "merge_mm", F.explode(F.array(*[F.lit(r) for r in radii])))
     closed = label_components(lesion, headers, ["case_id", "merge_mm"], merge_mm=F.col("merge_mm"),
                               border=border, block=block, carry="pet")
-    if not any(radii):
-        return closed
+    return _with_bridge_pet(closed, voxels) if any(radii) else closed
+
+
+def _with_bridge_pet(closed: DataFrame, voxels: DataFrame) -> DataFrame:
     bridge = closed.where("not is_original").drop("pet").join(
         voxels.select("case_id", "z", "y", "x", "pet"), ["case_id", "z", "y", "x"], "left")
     return closed.where("is_original").unionByName(bridge)
@@ -77,10 +79,13 @@ def largest_component(voxels: DataFrame, label: int = 1, block: int = 32) -> Dat
     """Voxels of the largest component of a label per case; the first one on ties."""
     comps = label_components(voxels.where(F.col("label") == label).select("case_id", "z", "y", "x", "pet"),
                              carry="pet", block=block)
+    return _largest(comps).select("case_id", "z", "y", "x", F.lit(label).alias("label"), "pet")
+
+
+def _largest(comps: DataFrame) -> DataFrame:
     best = comps.groupBy("case_id", "comp_id").agg(F.count("*").alias("n")).groupBy("case_id").agg(
         F.max_by("comp_id", F.struct(F.col("n"), -F.col("comp_id"))).alias("comp_id"))
-    return comps.join(best, ["case_id", "comp_id"], "left_semi").select(
-        "case_id", "z", "y", "x", F.lit(label).alias("label"), "pet")
+    return comps.join(best, ["case_id", "comp_id"], "left_semi").select("case_id", "z", "y", "x", "pet")
 
 
 def clean_mask(voxels: DataFrame, headers: DataFrame, gate: NodeGate = NodeGate(), merge_mm: float = 2.0,
@@ -90,11 +95,14 @@ def clean_mask(voxels: DataFrame, headers: DataFrame, gate: NodeGate = NodeGate(
     The decision is made on merged groups; the output only ever holds original
     voxels. Background stays implicit (absent rows).
     """
-    merged = merged_nodes(voxels, headers, 2, merge_mm, border)
+    lesion = voxels.where("label in (1, 2)").select("case_id", "label", "z", "y", "x", "pet")
+    radius = F.when(F.col("label") == 2, float(merge_mm)).otherwise(0.0)
+    comps = label_components(lesion, headers, ["case_id", "label"], merge_mm=radius, border=border, carry="pet")
+    merged = _with_bridge_pet(comps.where("label = 2").drop("label"), voxels).withColumn("merge_mm", F.lit(float(merge_mm)))
     drop = rejected_voxels(merged, measure_nodes(merged, headers, missing_pet), gate)
-    nodes = voxels.where("label = 2").select("case_id", "z", "y", "x", "label", "pet").join(
-        drop, ["case_id", "z", "y", "x"], "left_anti")
-    return nodes.unionByName(largest_component(voxels, 1))
+    nodes = lesion.where("label = 2").join(drop, ["case_id", "z", "y", "x"], "left_anti")
+    return nodes.unionByName(_largest(comps.where("label = 1")).withColumn("label", F.lit(1))).select(
+        "case_id", "z", "y", "x", "label", "pet")
 
 
 def body_midline(voxels: DataFrame, headers: DataFrame) -> DataFrame:

@@ -17,8 +17,14 @@ ROWS_PER_RANGE = 2_000_000
 MAX_RANGES = 4096
 
 
-def range_bounds(df: DataFrame, col: str, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
-    """Interior cut points so that a range holds about ``rows_per_range`` rows."""
+def range_bounds(df: DataFrame, col: str, rows_per_range: int = ROWS_PER_RANGE, at_most: int | None = None) -> list[float]:
+    """Interior cut points so that a range holds about ``rows_per_range`` rows.
+
+    ``at_most`` is a known bound on the row count; when it already fits one range
+    nothing is counted.
+    """
+    if at_most is not None and at_most <= rows_per_range:
+        return []
     ranges = min(MAX_RANGES, math.ceil(df.count() / rows_per_range))
     if ranges <= 1:
         return []
@@ -56,11 +62,12 @@ def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, str
     return joined.withColumns({o: F.col(o) + F.col(f"_o_{o}") for o in sums}).drop("_range", *[f"_o_{o}" for o in sums])
 
 
-def rank_table(df: DataFrame, col: str, keys: list[str] | None = None, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def rank_table(df: DataFrame, col: str, keys: list[str] | None = None, rows_per_range: int = ROWS_PER_RANGE,
+               at_most: int | None = None) -> DataFrame:
     """(keys, value, n, below, dense, total): counts behind every kind of rank."""
     keys = list(keys or [])
     values = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("n")).withColumn("_one", F.lit(1))
-    bounds = range_bounds(values, col, rows_per_range)
+    bounds = range_bounds(values, col, rows_per_range, at_most)
     ranked = running_sums(values, keys, col, {"below": "n", "dense": "_one"}, bounds).drop("_one")
     if not keys:
         total = df.where(F.col(col).isNotNull()).select(F.count("*").alias("total"))
@@ -69,7 +76,7 @@ def rank_table(df: DataFrame, col: str, keys: list[str] | None = None, rows_per_
 
 
 def exact_quantiles(df: DataFrame, col: str, probabilities, keys: list[str] | None = None,
-                    rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                    rows_per_range: int = ROWS_PER_RANGE, at_most: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles: (keys, p, value), one row per probability.
 
     Unlike a percentile aggregate, no task has to hold all values of a group.
@@ -78,7 +85,7 @@ def exact_quantiles(df: DataFrame, col: str, probabilities, keys: list[str] | No
     points = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
     at = F.col("p") * (F.col("total") - 1)
     holds = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
-    ranked = rank_table(df, col, keys, rows_per_range).withColumn("p", points)
+    ranked = rank_table(df, col, keys, rows_per_range, at_most).withColumn("p", points)
     ranked = ranked.withColumns({"_pos": at, "_v": F.col(col).cast("double")})
     low, high = holds(F.floor("_pos")), holds(F.ceil("_pos"))
     ends = ranked.where(low | high).groupBy(*keys, "p").agg(
