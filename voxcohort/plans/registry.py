@@ -22,8 +22,24 @@ def _expand(name: str, seen: list[str]) -> None:
     seen.append(name)
 
 
+def _counts_as_bigint(sql: str) -> str:
+    """count_if is HUGEINT in DuckDB; wrap each call in a cast."""
+    out, at = [], 0
+    for m in re.finditer(r"count_if\(", sql):
+        if m.start() < at:
+            continue
+        depth, end = 1, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        out.append(f"{sql[at:m.start()]}cast({sql[m.start():end]} AS BIGINT)")
+        at = end
+    return "".join(out) + sql[at:]
+
+
 def compose(sql: str) -> str:
     """Prefix ``sql`` with the views it names, transitively."""
+    sql = _counts_as_bigint(sql)
     order: list[str] = []
     for name in VIEWS:
         if re.search(rf"\b{name}\b", sql):

@@ -85,12 +85,12 @@ def closing_views(prefix, source, header, radii, border="erode"):
       FROM {source} s JOIN {header} h USING (case_id), (VALUES {values}) r(merge_mm)""", (source, header))
     view(f"{prefix}_dil", f"""
       SELECT DISTINCT case_id, merge_mm, z, y, x, nz, ny, nx, rz, ry, rx FROM (
-        SELECT case_id, merge_mm, z + a.i AS z, y + b.i AS y, x + c.i AS x, nz, ny, nx, rz, ry, rx
+        SELECT case_id, merge_mm, cast(z + a.i AS INT) AS z, cast(y + b.i AS INT) AS y, cast(x + c.i AS INT) AS x, nz, ny, nx, rz, ry, rx
         FROM {prefix}_src, range(-12, 13) a(i), range(-12, 13) b(i), range(-12, 13) c(i)
         WHERE abs(a.i) <= rz AND abs(b.i) <= ry AND abs(c.i) <= rx) q WHERE {inside}""", (f"{prefix}_src",))
     view(f"{prefix}_closed", f"""
       SELECT case_id, merge_mm, z, y, x FROM (
-        SELECT d.case_id, d.merge_mm, d.z + a.i AS z, d.y + b.i AS y, d.x + c.i AS x, (2*rz+1)*(2*ry+1)*(2*rx+1) AS need
+        SELECT d.case_id, d.merge_mm, cast(d.z + a.i AS INT) AS z, cast(d.y + b.i AS INT) AS y, cast(d.x + c.i AS INT) AS x, (2*rz+1)*(2*ry+1)*(2*rx+1) AS need
         FROM {prefix}_dil d, range(-12, 13) a(i), range(-12, 13) b(i), range(-12, 13) c(i)
         WHERE abs(a.i) <= rz AND abs(b.i) <= ry AND abs(c.i) <= rx)
       GROUP BY ALL HAVING count(*) = need""".replace("GROUP BY ALL", "GROUP BY case_id, merge_mm, z, y, x, need"),

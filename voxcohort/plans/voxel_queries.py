@@ -297,13 +297,13 @@ def v23(spark, sf):
     return s.select("subset", *r6("p50", "p90", "p95", "p99"), "n", "max", "slab_mm")
 
 
-view("dice_cells", """SELECT h.case_id, label, count(t) AS t, count(p) AS p, count(CASE WHEN t = 1 AND p = 1 THEN 1 END) AS both
+view("dice_cells", """SELECT h.case_id, label, count(t) AS t, count(p) AS p, count(CASE WHEN t = 1 AND p = 1 THEN 1 END) AS hit
   FROM fx_volumes h, (VALUES (1),(2)) l(label) LEFT JOIN (
     SELECT coalesce(a.case_id, b.case_id) AS cid, coalesce(a.label, b.label) AS lab, CASE WHEN a.case_id IS NOT NULL THEN 1 END AS t, CASE WHEN b.case_id IS NOT NULL THEN 1 END AS p
     FROM (SELECT * FROM fx_truth WHERE label > 0) a FULL JOIN (SELECT * FROM fx_voxels WHERE label > 0) b
     ON a.case_id = b.case_id AND a.z = b.z AND a.y = b.y AND a.x = b.x AND a.label = b.label) j ON j.cid = h.case_id AND j.lab = label
   GROUP BY 1, 2""", ("fx_volumes", "fx_truth", "fx_voxels"))
-view("dice", "SELECT case_id, label, CASE WHEN t = 0 AND p = 0 THEN 1.0 WHEN t = 0 OR p = 0 THEN 0.0 ELSE 2.0 * both / (t + p) END::DOUBLE AS dice, t AS truth_vox, p AS pred_vox FROM dice_cells", ("dice_cells",))
+view("dice", "SELECT case_id, label, CASE WHEN t = 0 AND p = 0 THEN 1.0 WHEN t = 0 OR p = 0 THEN 0.0 ELSE 2.0 * hit / (t + p) END::DOUBLE AS dice, t AS truth_vox, p AS pred_vox FROM dice_cells", ("dice_cells",))
 
 
 @query("v24_dice", "SELECT case_id, label, round(dice, 7) AS dice, truth_vox, pred_vox FROM dice")
@@ -317,15 +317,17 @@ def v25(spark, sf):
     return crop.voxels_lost(fx.truth(spark, sf), box(spark, sf))
 
 
-@query("v26_paired_dice", f"""WITH d2 AS (SELECT d.case_id, d.label, d.dice AS before, truth_vox, coalesce(a.dice, 0) AS after FROM dice d LEFT JOIN (
+view("dice_pair", f"""SELECT d.case_id, d.label, d.dice AS before, truth_vox, coalesce(a.dice, 0) AS after FROM dice d LEFT JOIN (
     SELECT case_id, label, 2.0 * count(t) / (any_value(tv) + count(*)) AS dice FROM (
       SELECT v.case_id, v.label, t.case_id AS t, s.t AS tv FROM fx_voxels v JOIN box20 b ON v.case_id = b.case_id AND {INSIDE}
       LEFT JOIN fx_truth t ON t.case_id = v.case_id AND t.z = v.z AND t.y = v.y AND t.x = v.x AND t.label = v.label
       JOIN dice_cells s ON s.case_id = v.case_id AND s.label = v.label WHERE v.label > 0) GROUP BY 1, 2) a ON a.case_id = d.case_id AND a.label = d.label
-    WHERE truth_vox > 0),
-  per AS (SELECT cast(label AS VARCHAR) AS label, avg(before) AS before, avg(after) AS after FROM d2 GROUP BY 1)
-  SELECT label, round(before, 7) AS before, round(after, 7) AS after, round(after - before, 7) AS diff FROM
-  (SELECT * FROM per UNION ALL SELECT 'mean', avg(before), avg(after) FROM per)""")
+    WHERE truth_vox > 0""", ("dice", "fx_voxels", "box20", "fx_truth", "dice_cells"))
+view("dice_label", "SELECT cast(label AS VARCHAR) AS label, avg(before) AS before, avg(after) AS after FROM dice_pair GROUP BY 1", ("dice_pair",))
+
+
+@query("v26_paired_dice", """SELECT label, round(before, 7) AS before, round(after, 7) AS after, round(after - before, 7) AS diff FROM
+  (SELECT * FROM dice_label UNION ALL SELECT 'mean', avg(before), avg(after) FROM dice_label)""")
 def v26(spark, sf):
     t, v, h = fx.truth(spark, sf), fx.voxels(spark, sf), fx.volumes(spark, sf)
     b = box(spark, sf)
