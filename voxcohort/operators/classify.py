@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from voxcohort.operators import survival as sv
 from voxcohort.operators.metrics import balanced_accuracy, class_weights, fold_mean_std
+from voxcohort.session import cut
 
 PARALLEL_FITS = 4
 
@@ -22,6 +23,7 @@ def labelled_sets(sets: DataFrame, features: list[str], label: str, classes: lis
 
     The imputer, scaler and weights come from the training rows of the group.
     """
+    sets = cut(sets)
     x = sv.standardise(sets, sv.prep_params(sets, features), features)
     x = x.withColumn("y", (F.array_position(F.array(*map(F.lit, classes)), F.col(label)) - 1).cast("double"))
     weights = class_weights(sets.where("train"), label, ["g"]).select("g", label, "weight")
@@ -31,15 +33,16 @@ def labelled_sets(sets: DataFrame, features: list[str], label: str, classes: lis
 
 def anova_f(sets: DataFrame, features: list[str], label: str) -> DataFrame:
     """(g, feature, f): one-way ANOVA F of every median-filled feature, training rows only."""
+    sets = cut(sets)
     params = sv.prep_params(sets, features).select("g", "feature", "med")
     rows = sv.long_features(sets, features, label).where("train").join(F.broadcast(params), ["g", "feature"])
     v = F.coalesce("value", "med")
-    cells = rows.groupBy("g", "feature", label).agg(F.count("*").alias("n"), F.avg(v).alias("m"), F.var_pop(v).alias("s2"))
-    grand = cells.groupBy("g", "feature").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("gm"))
-    n, m = F.col("n"), F.col("m")
+    cells = rows.groupBy("g", "feature", label).agg(F.count("*").alias("cnt"), F.avg(v).alias("m"), F.var_pop(v).alias("s2"))
+    grand = cells.groupBy("g", "feature").agg((F.sum(F.col("cnt") * F.col("m")) / F.sum("cnt")).alias("gm"))
+    n, m = F.col("cnt"), F.col("m")
     return cells.join(grand, ["g", "feature"]).groupBy("g", "feature").agg(
         F.sum(n * (m - F.col("gm")) ** 2).alias("between"), F.sum(n * F.col("s2")).alias("within"),
-        F.sum("n").alias("total"), F.count("*").alias("k")).select(
+        F.sum("cnt").alias("total"), F.count("*").alias("k")).select(
         "g", "feature", F.try_divide(F.col("between") / (F.col("k") - 1), F.col("within") / (F.col("total") - F.col("k"))).alias("f"))
 
 
@@ -59,7 +62,7 @@ def logistic(n_train: int, C: float = 0.5, balanced: bool = True, binary: bool =
     """
     return LogisticRegression(
         family="binomial" if binary else "multinomial", regParam=1.0 / (C * n_train), elasticNetParam=0.0,
-        standardization=False, maxIter=200, tol=1e-8, labelCol="y", featuresCol="features",
+        standardization=False, maxIter=100, tol=1e-7, labelCol="y", featuresCol="features",
         **({"weightCol": "weight"} if balanced else {}))
 
 
@@ -68,10 +71,10 @@ def forest(trees: int = 400, depth: int = 6, balanced: bool = True, seed: int =
                                   **({"weightCol": "weight"} if balanced else {}))
 
 
-def boosted(rounds: int = 50, depth: int = 3, step: float = 0.06, seed: int = 0) -> OneVsRest:
+def boosted(rounds: int = 300, depth: int = 3, step: float = 0.06, seed: int = 0) -> OneVsRest:
     """Boosted trees one class against the rest (Spark's booster is binary)."""
     gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, labelCol="y", featuresCol="features", weightCol="weight")
-    return OneVsRest(classifier=gbt, labelCol="y", featuresCol="features", weightCol="weight", parallelism=2)
+    return OneVsRest(classifier=gbt, labelCol="y", featuresCol="features", weightCol="weight", parallelism=4)
 
 
 def estimator(kind: str, n_train: int):
@@ -118,7 +121,7 @@ def ordinal_predictions(sets: DataFrame, features: list[str], label: str, classe
 
     A threshold the training labels never cross contributes probability 0.
     """
-    base = sets.withColumn("rank", F.array_position(F.array(*map(F.lit, classes)), F.col(label)) - 1)
+    base = cut(sets).withColumn("rank", F.array_position(F.array(*map(F.lit, classes)), F.col(label)) - 1)
     x = sv.standardise(base, sv.prep_params(base, features), features).withColumn("features", array_to_vector("x")).persist()
     steps = range(1, len(classes))
     size = {r["g"]: r for r in x.groupBy("g").agg(

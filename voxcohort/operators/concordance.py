@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from voxcohort.session import cut
 from voxcohort.operators.ranks import ROWS_PER_RANGE, exact_quantiles, range_bounds, running_sums
 
 BASE = 8
@@ -35,6 +36,7 @@ def concordance(df: DataFrame, time: str = "RFS", event: str = "event", risk: st
         *keys, F.col(time).alias("_t"), F.col(risk).alias("_r")
     ).agg(F.sum(copies * F.col(event)).alias("_e"), F.sum(copies).alias("_n"))
 
+    cells = cut(cells)   # distinct (time, risk) cells, read by every step below
     if at_most is None:
         at_most = cells.count()
 

@@ -69,10 +69,11 @@ def rank_table(df: DataFrame, col: str, keys: list[str] | None = None, rows_per_
     values = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("n")).withColumn("_one", F.lit(1))
     bounds = range_bounds(values, col, rows_per_range, at_most)
     ranked = running_sums(values, keys, col, {"below": "n", "dense": "_one"}, bounds).drop("_one")
-    if not keys:
-        total = df.where(F.col(col).isNotNull()).select(F.count("*").alias("total"))
-        return ranked.withColumn("total", total.scalar())
-    return ranked.join(values.groupBy(*keys).agg(F.sum("n").alias("total")), keys)
+    if not bounds:
+        part = Window.partitionBy(*(keys or [F.lit(0)]))   # one range: the group is known to be small
+        return ranked.withColumn("total", F.sum("n").over(part))
+    totals = values.groupBy(*keys).agg(F.sum("n").alias("total"))
+    return ranked.join(totals, keys) if keys else ranked.withColumn("total", totals.scalar())
 
 
 def exact_quantiles(df: DataFrame, col: str, probabilities, keys: list[str] | None = None,

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from voxcohort.operators.concordance import concordance
+from voxcohort.session import cut
 from voxcohort.operators.ranks import add_rank, exact_quantiles, poisson_bootstrap, random_subset, running_sums, range_bounds
 
 MAX_GROUPS = 2000
@@ -49,7 +50,7 @@ def guard_sets(sets: DataFrame, min_valid: int = 8, min_train: int = 30, min_eve
     size = sets.groupBy("g").agg(F.count_if("train").alias("nt"), F.count_if(~F.col("train")).alias("nv"),
                                  F.sum(F.when(~F.col("train"), F.col("event")).otherwise(0)).alias("ev"))
     good = size.where((F.col("nv") >= min_valid) & (F.col("nt") >= min_train) & (F.col("ev") >= min_events)).select("g")
-    return sets.join(good, "g", "left_semi")
+    return cut(sets.join(good, "g", "left_semi"))   # read by preparation, fit and scoring
 
 
 # ---------------------------------------------------------------- preparation
@@ -65,7 +66,7 @@ def prep_params(sets: DataFrame, features: list[str], sample_std: bool = False)
     every = long.select("g", "feature").distinct().join(med, ["g", "feature"], "left").fillna(0.0, ["med"])
     filled = long.join(every, ["g", "feature"]).withColumn("v", F.coalesce("value", "med"))
     std = F.stddev_samp if sample_std else F.stddev_pop
-    return filled.groupBy("g", "feature").agg(F.first("med").alias("med"), F.avg("v").alias("mu"), std("v").alias("sd"))
+    return cut(filled.groupBy("g", "feature").agg(F.first("med").alias("med"), F.avg("v").alias("mu"), std("v").alias("sd")))
 
 
 def _as_arrays(params: DataFrame, features: list[str], cols: list[str]) -> DataFrame:
@@ -164,7 +165,7 @@ def cox_information(z: DataFrame, betas: dict[str, np.ndarray], p: int, bounds:
 
 
 def cox_fit(train: DataFrame, p: int, penalizer: float, tol: float = 1e-8, max_steps: int = 30) -> DataFrame:
-    """Ridge Cox fits of every group of (g, time, event, x): rows (g, beta, center, steps, gradient).
+    """Ridge Cox fits of every group of (g, time, event, x): rows (g, beta, shift, steps, gradient).
 
     Efron ties; the penalty is half penalizer times n times the squared norm of the
     coefficients on columns scaled to unit sample standard deviation.
@@ -200,18 +201,18 @@ def cox_fit(train: DataFrame, p: int, penalizer: float, tol: float = 1e-8, max_s
         rows = [(g, (beta[g] / sd[g]).tolist(), mu[g].tolist(), steps[g], gap[g]) for g in mu]
     finally:
         z.unpersist()
-    return spark.createDataFrame(rows, "g string, beta array<double>, center array<double>, steps int, gradient double")
+    return spark.createDataFrame(rows, "g string, beta array<double>, shift array<double>, steps int, gradient double")
 
 
 def partial_hazard(rows: DataFrame, model: DataFrame, p: int, out: str = "risk") -> DataFrame:
-    lin = sum(((F.col("x")[k] - F.col("center")[k]) * F.col("beta")[k] for k in range(p)), F.lit(0.0))
-    return rows.join(F.broadcast(model.select("g", "beta", "center")), "g").withColumn(out, F.exp(lin)).drop("beta", "center")
+    lin = sum(((F.col("x")[k] - F.col("shift")[k]) * F.col("beta")[k] for k in range(p)), F.lit(0.0))
+    return rows.join(F.broadcast(model.select("g", "beta", "shift")), "g").withColumn(out, F.exp(lin)).drop("beta", "shift")
 
 
 def cox_predictions(sets: DataFrame, features: list[str], penalizer: float = 0.5, keep: tuple = ("PatientID", "center"),
                     sample_std: bool = False) -> DataFrame:
     """Validation risks of ridge Cox models, one fit per group, all groups together."""
-    x = standardise(sets, prep_params(sets, features, sample_std), features)
+    x = cut(standardise(sets, prep_params(sets, features, sample_std), features))
     return cox_on_arrays(x, len(features), penalizer, keep)
 
 
@@ -230,14 +231,14 @@ def sign_model(long: DataFrame, keys: list[str], cmin: float = 0.0) -> DataFrame
     """
     by = [*keys, "feature"]
     med = exact_quantiles(long, "value", [0.5], by).select(*by, F.col("value").alias("mu"))
-    filled = long.join(med, by).withColumn("v", F.coalesce("value", "mu"))
+    filled = cut(long.join(med, by).withColumn("v", F.coalesce("value", "mu")))
     scale = filled.groupBy(*by).agg(F.first("mu").alias("mu"), F.stddev_pop("v").alias("sd"))
     c = concordance(filled.withColumn("risk", F.col("v")), group=by, rule="library").select(*by, "c_index")
-    out = scale.join(c, by, "left").withColumns({
+    out = cut(scale.join(c, by, "left")).withColumns({
         "sd": F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0), "c": F.coalesce("c_index", F.lit(0.5))})
     out = out.withColumns({"sign": F.when(F.col("c") >= 0.5, 1.0).otherwise(-1.0), "strong": F.abs(F.col("c") - 0.5) >= cmin})
     some = out.groupBy(*keys).agg(F.bool_or("strong").alias("some"))
-    return out.join(some, keys).withColumn("keep", F.col("strong") | ~F.col("some")).select(*by, "mu", "sd", "sign", "keep")
+    return cut(out.join(some, keys).withColumn("keep", F.col("strong") | ~F.col("some")).select(*by, "mu", "sd", "sign", "keep"))
 
 
 def sign_risk(long: DataFrame, model: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
@@ -257,7 +258,7 @@ def sign_predictions(sets: DataFrame, features: list[str], cmin: float = 0.0) ->
 def _prepared_long(sets: DataFrame, features: list[str], ids: list[str]) -> DataFrame:
     x = standardise(sets, prep_params(sets, features), features)
     names = F.array(*map(F.lit, features))
-    return x.select("g", "train", *ids, F.posexplode("x").alias("k", "value")).withColumn("feature", names[F.col("k")]).drop("k")
+    return cut(x.select("g", "train", *ids, F.posexplode("x").alias("k", "value")).withColumn("feature", names[F.col("k")]).drop("k"))
 
 
 def bagged_sign_predictions(sets: DataFrame, features: list[str], replicates: int = 40, fraction: float = 0.6,
@@ -272,8 +273,8 @@ def bagged_sign_predictions(sets: DataFrame, features: list[str], replicates: in
     copies = drawn.join(enough, ["g", "replicate"], "left_semi").withColumn(
         "copy", F.explode(F.sequence(F.lit(1), F.col("multiplicity")))).drop("copy", "multiplicity")
     keys = ["g", "replicate"]
-    train = copies.join(long.where("train").select("g", "PatientID", "feature", "value"), ["g", "PatientID"]).join(
-        F.broadcast(picked), ["replicate", "feature"])   # replicates x features rows
+    train = cut(copies.join(long.where("train").select("g", "PatientID", "feature", "value"), ["g", "PatientID"]).join(
+        F.broadcast(picked), ["replicate", "feature"]))   # replicates x features rows
     model = sign_model(train, keys, cmin)
     risks = sign_risk(long.where("not train").join(F.broadcast(picked), "feature"), model, keys, ids)
     return risks.groupBy("g", *ids).agg(F.median("risk").alias("risk"))

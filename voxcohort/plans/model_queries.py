@@ -116,7 +116,7 @@ def m3_residual(spark, sf):
 
 @query("m4_boosted_cv")
 def m4(spark, sf):
-    p = cy.cv_predictions(stage_sets(spark, sf), SIZE, "N", cl.N_CLASSES, lambda n: cy.boosted(rounds=20))
+    p = cy.cv_predictions(stage_sets(spark, sf), SIZE, "N", cl.N_CLASSES, lambda n: cy.boosted(rounds=10))
     return cy.pooled_score(p)
 
 
@@ -177,17 +177,17 @@ view("cox_all", """SELECT PatientID, RFS AS t, event AS e, (gtvp_ml - avg(gtvp_m
   (max_node_mm - avg(max_node_mm) OVER ()) / stddev_samp(max_node_mm) OVER () AS z2 FROM fx_cohort WHERE RFS > 0""", ("fx_cohort",))
 
 
-def cox_sql(b1, b2):
+def cox_sql(name, b1, b2):
     """Efron score and information at (b1, b2) by direct sums over risk sets."""
     w = f"exp({b1}*z1 + {b2}*z2)"
-    return f"""WITH at AS (SELECT s.t, s.d, s.ds, s.d1, s.d2, s.e1, s.e2, sum(w) AS s0, sum(w*z1) AS s1, sum(w*z2) AS s2, sum(w*z1*z1) AS s11, sum(w*z1*z2) AS s12, sum(w*z2*z2) AS s22,
+    view(f"{name}_at", f"""SELECT s.t, s.d, s.ds, s.d1, s.d2, s.e1, s.e2, sum(w) AS s0, sum(w*z1) AS s1, sum(w*z2) AS s2, sum(w*z1*z1) AS s11, sum(w*z1*z2) AS s12, sum(w*z2*z2) AS s22,
       s.d11, s.d12, s.d22 FROM (SELECT t, count(*) AS d, sum({w}) AS ds, sum({w}*z1) AS d1, sum({w}*z2) AS d2, sum(z1) AS e1, sum(z2) AS e2,
         sum({w}*z1*z1) AS d11, sum({w}*z1*z2) AS d12, sum({w}*z2*z2) AS d22 FROM cox_all WHERE e = 1 GROUP BY 1) s
-      JOIN (SELECT *, {w} AS w FROM cox_all) r ON r.t >= s.t GROUP BY ALL),
-    tie AS (SELECT *, l / d AS f, s0 - l / d * ds AS phi FROM (SELECT *, unnest(range(0, d)) AS l FROM at)),
-    m AS (SELECT *, (s1 - f*d1) / phi AS m1, (s2 - f*d2) / phi AS m2 FROM tie)
-    SELECT round((SELECT sum(e1) FROM at) - sum(m1), 5) AS u1, round((SELECT sum(e2) FROM at) - sum(m2), 5) AS u2,
-      round(sum((s11 - f*d11) / phi - m1*m1), 4) AS i11, round(sum((s12 - f*d12) / phi - m1*m2), 4) AS i12, round(sum((s22 - f*d22) / phi - m2*m2), 4) AS i22 FROM m"""
+      JOIN (SELECT *, {w} AS w FROM cox_all) r ON r.t >= s.t GROUP BY ALL""", ("cox_all",))
+    view(f"{name}_m", f"""SELECT *, (s1 - f*d1) / phi AS m1, (s2 - f*d2) / phi AS m2 FROM (
+      SELECT *, l / d AS f, s0 - l / d * ds AS phi FROM (SELECT *, unnest(range(0, d)) AS l FROM {name}_at))""", (f"{name}_at",))
+    return f"""SELECT round((SELECT sum(e1) FROM {name}_at) - sum(m1), 5) AS u1, round((SELECT sum(e2) FROM {name}_at) - sum(m2), 5) AS u2,
+      round(sum((s11 - f*d11) / phi - m1*m1), 4) AS i11, round(sum((s12 - f*d12) / phi - m1*m2), 4) AS i12, round(sum((s22 - f*d22) / phi - m2*m2), 4) AS i22 FROM {name}_m"""
 
 
 def cox_at(spark, sf, beta):
@@ -199,12 +199,12 @@ def cox_at(spark, sf, beta):
     return spark.createDataFrame([row], "u1 double, u2 double, i11 double, i12 double, i22 double")
 
 
-@query("m14_cox_score_at_zero", cox_sql("0.0", "0.0"))
+@query("m14_cox_score_at_zero", cox_sql("cox0", "0.0", "0.0"))
 def m14_zero(spark, sf):
     return cox_at(spark, sf, [0.0, 0.0])
 
 
-@query("m14_cox_score_at_fixed", cox_sql("0.3", "-0.2"))
+@query("m14_cox_score_at_fixed", cox_sql("coxb", "0.3", "-0.2"))
 def m14_fixed(spark, sf):
     return cox_at(spark, sf, [0.3, -0.2])
 
@@ -233,8 +233,8 @@ def m13(spark, sf):
   (SELECT avg(gtvp_ml) AS m1, avg(Age) AS m2 FROM fx_cohort WHERE RFS > 0) WHERE RFS > 0""")
 def m15(spark, sf):
     df = outcome(spark, sf)
-    model = df.agg(F.array(F.avg("gtvp_ml"), F.avg("Age")).alias("center")).select(
-        F.lit("all").alias("g"), F.array(F.lit(0.04), F.lit(-0.02)).alias("beta"), "center")
+    model = df.agg(F.array(F.avg("gtvp_ml"), F.avg("Age")).alias("shift")).select(
+        F.lit("all").alias("g"), F.array(F.lit(0.04), F.lit(-0.02)).alias("beta"), "shift")
     rows = df.select("PatientID", F.lit("all").alias("g"), F.array("gtvp_ml", "Age").alias("x"))
     return sv.partial_hazard(rows, model, 2).select("PatientID", *[F.round("risk", 6).alias("risk")])
 
@@ -290,10 +290,12 @@ def model_predictions(sets, feats, bagged=False):
     return out.unionByName(tag(sv.bagged_sign_predictions(sets, feats), "bag")) if bagged else out
 
 
-@query("w4_rank_ensemble", """WITH two AS (SELECT 'sign' AS model, g, PatientID, risk FROM sign_risk UNION ALL
-    SELECT 'volume', g, PatientID, v FROM cv_long WHERE NOT train AND feature = 'gtvp_ml'),
-  ranked AS (SELECT *, rank() OVER (PARTITION BY g, model ORDER BY round(risk, 9)) + (count(*) OVER (PARTITION BY g, model, round(risk, 9)) - 1) / 2.0 AS r FROM two)
-  SELECT g, PatientID, avg(r) AS risk FROM ranked GROUP BY 1, 2""")
+view("two_risks", """SELECT 'sign' AS model, g, PatientID, risk FROM sign_risk UNION ALL
+    SELECT 'volume', g, PatientID, v FROM cv_long WHERE NOT train AND feature = 'gtvp_ml'""", ("sign_risk", "cv_long"))
+view("two_ranks", """SELECT *, rank() OVER (PARTITION BY g, model ORDER BY round(risk, 9)) + (count(*) OVER (PARTITION BY g, model, round(risk, 9)) - 1) / 2.0 AS r FROM two_risks""", ("two_risks",))
+
+
+@query("w4_rank_ensemble", "SELECT g, PatientID, avg(r) AS risk FROM two_ranks GROUP BY 1, 2")
 def w4(spark, sf):
     sets = cv_sets(spark, sf)
     sign = sv.sign_predictions(sets, NUM).withColumn("model", F.lit("sign"))
