@@ -4,11 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from voxcohort.functions import staging
+from voxcohort.operators import nodes
+
 # fixed values a case gets when its scoring failed
 SAFE = {"t_stage": "T2", "n_stage": "N0", "rfs": 0.0}
+SCORED = ["gtvp_ml", "n_gtvn", "max_node_mm", "gtvn_total_ml", "N_ordinal", "Age"]
 
 
 def safe_outputs(cases: DataFrame, scored: DataFrame, on: str = "case_id") -> DataFrame:
     """Every listed case with all outputs; failed ones get the safe defaults."""
     out = cases.join(scored, on, "left")
     return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in SAFE.items()})
+
+
+def risk_from_state(df: DataFrame, state: DataFrame) -> DataFrame:
+    """Partial hazard from a saved state (feature, med, mu, sd, beta), one row per feature."""
+    lin = F.lit(0.0)
+    for r in state.orderBy("feature").limit(1000).collect():   # as many rows as the model has features
+        lin = lin + r["beta"] * (F.coalesce(F.col(r["feature"]).cast("double"), F.lit(r["med"])) - r["mu"]) / r["sd"]
+    return df.withColumn("risk", F.exp(lin))
+
+
+def score_cases(voxels: DataFrame, headers: DataFrame, records: DataFrame, state: DataFrame,
+                learned_n: DataFrame | None = None, learned_t: DataFrame | None = None,
+                n3: float = staging.N3_MM, n1: float = staging.N1_MAX_MM) -> DataFrame:
+    """Masks and clinical records to T stage, N stage and risk for every case.
+
+    The rule's N always feeds the risk model; the reported N is the learned one
+    where there is one. Reported ``rfs`` is minus the risk.
+    """
+    geometry = nodes.case_geometry(nodes.clean_mask(voxels, headers), headers, nodes.image_midline(headers))
+    rule = staging.rule_n("n_gtvn", "max_node_mm", "laterality", n3, n1)
+    df = geometry.join(records, "case_id", "left").withColumn("n_rule", rule).withColumn("N_ordinal", staging.n_ordinal("n_rule"))
+    df = risk_from_state(df, state)
+    for name, table in (("learned_n", learned_n), ("learned_t", learned_t)):
+        df = df.withColumn(name, F.lit(None).cast("string")) if table is None else df.join(
+            table.select("case_id", F.col("stage").alias(name)), "case_id", "left")
+    scored = df.select("case_id", F.coalesce("learned_n", "n_rule").alias("n_stage"),
+                       F.when(F.col("learned_t").isNotNull(), staging.with_t_prefix("learned_t")).alias("t_stage"), (-F.col("risk")).alias("rfs"))
+    return safe_outputs(headers.select("case_id"), scored)
