@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_case_outputs(scores: DataFrame, path: str) -> None:
@@ -37,11 +37,14 @@ def append_missing(todo: DataFrame, compute, path: str, on: str = "PatientID") -
     compute(left).write.mode("append").json(path)
 
 
-def first_per_key(rows: DataFrame, key: str = "PatientID", order: str | None = None) -> DataFrame:
-    """Keep the first row of every key (by ``order``); rows of one key are few re-runs."""
-    by = order or key
-    w = Window.partitionBy(key).orderBy(by)
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def first_per_key(rows: DataFrame, key: str = "PatientID", order: list[str] | None = None) -> DataFrame:
+    """Keep the first row of every key by ``order`` (all columns when not given).
+
+    A grouped minimum, so a key with very many copies is reduced before the shuffle.
+    """
+    rest = [c for c in rows.columns if c != key]
+    first = F.min_by(F.struct(*rest), F.struct(*(order or rest)))
+    return rows.groupBy(key).agg(first.alias("_r")).select(key, "_r.*").select(*rows.columns)
 
 
 def compact(spark: SparkSession, source: str, target: str, key: str = "PatientID") -> None:
