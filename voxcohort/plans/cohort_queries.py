@@ -105,10 +105,10 @@ def s5n(spark, sf):
 
 
 def splits_text(spark, sf):
-    """Split JSON with one document per fold, as the cohort script would write it."""
+    """Split JSON documents of at most 1000 patients each, per fold."""
     c = fx.clinical(spark, sf).where("fold is not null")
-    folds = c.select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("f"), "PatientID", "fold")
-    body = folds.groupBy("f", F.pmod(F.xxhash64("PatientID"), F.lit(64)).alias("part")).agg(F.to_json(F.struct(F.array(F.struct(
+    folds = c.select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("f"), "PatientID", "c_custkey", "fold")
+    body = folds.groupBy("f", F.expr("c_custkey div 1000").alias("part")).agg(F.to_json(F.struct(F.array(F.struct(
         F.col("f").alias("fold"),
         F.array_sort(F.collect_list(F.when(F.col("fold") != F.col("f"), F.col("PatientID")))).alias("train"),
         F.array_sort(F.collect_list(F.when(F.col("fold") == F.col("f"), F.col("PatientID")))).alias("val"),
@@ -807,13 +807,22 @@ def w7(spark, sf):
     return f.select("seed", "PatientID", "cv_fold")
 
 
-@query("w8_bootstrap", None)
+POISSON = [0.36787944117144233, 0.36787944117144233, 0.18393972058572117, 0.061313240195240384, 0.015328310048810096,
+           0.0030656620097620196, 0.0005109436682936699, 0.00007299195261338141, 0.000009123994076672677, 0.0000010137771196302974]
+CDF = [sum(POISSON[:k + 1]) for k in range(10)]
+DRAW = " + ".join(f"(u >= {c!r})::INT" for c in CDF)
+
+
+@query("w8_bootstrap", f"""SELECT cast(replicate AS INT) AS replicate, cast(sum(m) AS BIGINT) AS n, cast(sum(m * event) AS BIGINT) AS events FROM (SELECT replicate, event, {DRAW} AS m FROM (
+  SELECT replicate, event, ('0x' || substr(md5(concat('boot-', replicate, '-', PatientID)), 1, 12))::BIGINT / 281474976710656.0 AS u
+  FROM fx_cohort, range(0, 40) r(replicate) WHERE RFS > 0)) GROUP BY 1""")
 def w8(spark, sf):
     b = ranks.poisson_bootstrap(valid(spark, sf).select("PatientID", "event"), 40)
     return b.groupBy("replicate").agg(F.sum("multiplicity").alias("n"), F.sum(F.col("multiplicity") * F.col("event")).alias("events"))
 
 
-@query("w8_feature_subsets", None)
+@query("w8_feature_subsets", "SELECT cast(replicate AS INT) AS replicate, feature FROM (SELECT unnest([" + ", ".join(f"'{f}'" for f in SIGNALS) + """]) AS feature), range(0, 40) r(replicate)
+  QUALIFY row_number() OVER (PARTITION BY replicate ORDER BY substr(md5(concat('cols-', replicate, '-', feature)), 1, 12), feature) <= 4""")
 def w8f(spark, sf):
     df = valid(spark, sf)
     features = df.select(F.explode(F.array(*map(F.lit, SIGNALS))).alias("feature")).distinct()
