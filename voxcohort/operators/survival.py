@@ -122,38 +122,36 @@ def _score_rows(z: DataFrame, betas: DataFrame, p: int, bounds: list[float]) ->
     risk-set sums. The second-moment part needs no running matrix: a subject counts
     with the hazard accumulated up to its own time.
     """
-    lin = sum((F.col("z")[k] * F.col("b")[k] for k in range(p)), F.lit(0.0))
-    rows = z.join(F.broadcast(betas), "g").withColumn("w", F.exp(lin)).drop("b")
-    at = rows.groupBy("g", "time").agg(
-        F.sum("w").alias("s"), F.sum("event").alias("d"), F.sum(F.col("w") * F.col("event")).alias("ds"),
-        *[F.sum(F.col("w") * F.col("z")[k]).alias(f"s{k}") for k in range(p)],
-        *[F.sum(F.col("w") * F.col("event") * F.col("z")[k]).alias(f"d{k}") for k in range(p)],
-        *[F.sum(F.col("event") * F.col("z")[k]).alias(f"e{k}") for k in range(p)])
-    names = ["s", *[f"s{k}" for k in range(p)]]
+    span = range(p)
+    array = lambda cells: f"array({', '.join(cells)})"
+    vec = lambda n: array([*[f"{n}{k}" for k in span], "0D"])
+    lin = " + ".join(f"z[{k}] * b[{k}]" for k in span)
+    rows = z.join(F.broadcast(betas), "g").selectExpr("g", "time", "event", "z", f"exp({lin}) AS w")
+    sums = ["sum(w) AS s", "sum(event) AS d", "sum(w * event) AS ds"]
+    for k in span:
+        sums += [f"sum(w * z[{k}]) AS s{k}", f"sum(w * event * z[{k}]) AS d{k}", f"sum(event * z[{k}]) AS e{k}"]
+    at = rows.groupBy("g", "time").agg(*map(F.expr, sums))
+    names = ["s", *[f"s{k}" for k in span]]
     at = running_sums(at, ["g"], "time", {f"r_{n}": n for n in names}, bounds, descending=True)
-    at = at.withColumns({n: F.col(n) + F.col(f"r_{n}") for n in names}).drop(*[f"r_{n}" for n in names])
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in "abxyw"])
-
-    def step(acc, l):
-        share = l / F.col("d")
-        inv = 1 / (F.col("s") - share * F.col("ds"))
-        return F.struct((acc["a"] + inv).alias("a"), (acc["b"] + share * inv).alias("b"), (acc["x"] + inv * inv).alias("x"),
-                        (acc["y"] + share * inv * inv).alias("y"), (acc["w"] + share * share * inv * inv).alias("w"))
-
-    ties = F.when(F.col("d") > 0, F.aggregate(F.sequence(F.lit(0), F.col("d").cast("int") - 1), zero, step)).otherwise(zero)
-    at = at.withColumn("k", ties).withColumns({"ka": F.col("k.a"), "kb": F.col("k.b")})
+    kept = ["g", "time", "d", "ds", *[f"{n}{k}" for n in "de" for k in span]]
+    at = at.selectExpr(*kept, *[f"{n} + r_{n} AS {n}" for n in names])
+    # per tied death: 1 / (S - share D) and its products with the share, summed
+    zero = "named_struct('a', 0D, 'b', 0D, 'x', 0D, 'y', 0D, 'w', 0D)"
+    inv, share = "(1 / (s - l / d * ds))", "(l / d)"
+    step = (f"(acc, l) -> named_struct('a', acc.a + {inv}, 'b', acc.b + {share} * {inv}, 'x', acc.x + {inv} * {inv}, "
+            f"'y', acc.y + {share} * {inv} * {inv}, 'w', acc.w + {share} * {share} * {inv} * {inv})")
+    ties = f"CASE WHEN d > 0 THEN aggregate(sequence(0, cast(d AS int) - 1), {zero}, {step}) ELSE {zero} END"
+    at = at.selectExpr("*", f"{ties} AS k").selectExpr("*", "k.a AS ka", "k.b AS kb")
     at = running_sums(at, ["g"], "time", {"before": "ka"}, bounds)
-    vec = lambda n: F.array(*[F.col(f"{n}{k}") for k in range(p)], F.lit(0.0))
-    score = F.array(*[F.col("ka") * F.col(f"s{k}") - F.col("kb") * F.col(f"d{k}") - F.col(f"e{k}") for k in range(p)], F.lit(0.0))
-    last = F.array(*[F.lit(0.0)] * p, F.lit(1.0))
-    term = lambda coef, u, v: F.struct(coef.alias("coef"), u.alias("u"), v.alias("v"))
-    of_times = at.where("d > 0").select("g", F.explode(F.array(
-        term(-F.col("k.x"), vec("s"), vec("s")), term(F.col("k.y"), vec("s"), vec("d")), term(F.col("k.y"), vec("d"), vec("s")),
-        term(-F.col("k.w"), vec("d"), vec("d")), term(F.lit(1.0), score, last))).alias("t")).select("g", "t.*")
-    hazard = at.select("g", "time", (F.col("before") + F.col("ka")).alias("h"), "kb")
-    full = F.concat("z", F.array(F.lit(0.0)))
-    of_rows = rows.join(hazard, ["g", "time"]).select(
-        "g", (F.col("w") * (F.col("h") - F.col("event") * F.col("kb"))).alias("coef"), full.alias("u"), full.alias("v"))
+    score = array([*[f"ka * s{k} - kb * d{k} - e{k}" for k in span], "0D"])
+    last = array([*["0D"] * p, "1D"])
+    term = lambda coef, u, v: f"named_struct('coef', {coef}, 'u', {u}, 'v', {v})"
+    terms = [term("-k.x", vec("s"), vec("s")), term("k.y", vec("s"), vec("d")), term("k.y", vec("d"), vec("s")),
+             term("-k.w", vec("d"), vec("d")), term("1D", score, last)]
+    of_times = at.where("d > 0").selectExpr("g", f"explode({array(terms)}) AS t").select("g", "t.*")
+    hazard = at.selectExpr("g", "time", "before + ka AS h", "kb")
+    of_rows = rows.join(hazard, ["g", "time"]).selectExpr(
+        "g", "w * (h - event * kb) AS coef", "concat(z, array(0D)) AS u", "concat(z, array(0D)) AS v")
     return of_rows.unionByName(of_times)
 
 
