@@ -40,3 +40,17 @@ def text_of(name: str = "text") -> Column:
 def space_words(text: Column) -> Column:
     """Words between spaces and the characters from tab to carriage return."""
     return F.array_remove(F.split(text, f"{SPACE}+"), "")
+
+
+def text_slices(batch, column: int, limit: int = 1 << 21):
+    """Row slices of an Arrow batch whose strings in ``column`` have about ``limit`` bytes."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at, total = 0, np.cumsum(sizes)
+    while at < len(sizes):
+        before = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, before + limit, side="right")))
+        yield batch.slice(at, end - at)
+        at = end

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from voxcohort.llm import licenses, quality_rules
+import public_tokenizers
+
+from voxcohort.llm import bpe, licenses, packing, pii, quality_rules
 from voxcohort.llm.common import table
 
 QUERIES: dict = {}
@@ -14,11 +16,26 @@ def _query(fn):
     return fn
 
 
+@_query
+def op6_best_fit_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @_query
 def op7_license_scan(spark, sf_dir):
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op8_personal_data(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_word_bpe(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @_query
 def op10_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
