@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from voxcohort.llm import bpe, licenses, packing, pii, quality_gam, quality_rules, toxicity
+from voxcohort.llm import bpe, licenses, neardup, packing, pii, quality_gam, quality_rules, toxicity
 from voxcohort.llm.common import table
 
 QUERIES: dict = {}
@@ -26,6 +26,11 @@ def op3_quality_classifier(spark, sf_dir):
     return quality_gam.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@_query
+def op5_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 @_query
 def op6_best_fit_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
