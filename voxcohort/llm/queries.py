@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from voxcohort.llm import bpe, licenses, neardup, packing, pii, quality_gam, quality_rules, toxicity
+from voxcohort.llm import ann, bpe, licenses, neardup, packing, pii, quality_gam, quality_rules, toxicity, warc
 from voxcohort.llm.common import table
 
 QUERIES: dict = {}
@@ -16,6 +16,11 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_learned_partitions(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @_query
 def op2_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -26,6 +31,11 @@ def op3_quality_classifier(spark, sf_dir):
     return quality_gam.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@_query
+def op4_warc_round_trip(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 @_query
 def op5_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
