@@ -34,7 +34,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _HINT = {"email": "@", "phone": "+"}
-_TERM = r"(?<!\p{L})\p{L}{4,}+"
+_TERM = r"(?<![\p{L}\p{N}])\p{L}{4,}+(?!\p{N})"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 CONTEXT = 48
 SUPPORT = 2
