@@ -10,7 +10,6 @@ from voxcohort.operators.ranks import exact_quantiles
 BODY_HU = -500
 SLAB_MM = 400.0
 MARGIN_MM = 25.0
-GATE_VOXELS = 120e6
 TARGET_SPACING = (0.9765620231628418, 0.9765620231628418, 1.5)
 
 
@@ -64,13 +63,13 @@ def crop_box(slices: DataFrame, headers: DataFrame, slab_mm: float = SLAB_MM, ma
         (high("y") - low("y") + 1).alias("dy"), (k1 - k0 + 1).alias("dz"))
 
 
-def gated_box(box: DataFrame, headers: DataFrame, gate: float = GATE_VOXELS, unmeasurable: str = "keep") -> DataFrame:
-    """Use the crop box only on large images; the whole image otherwise.
+def gated_box(box: DataFrame, headers: DataFrame, gate: float | None = None, unmeasurable: str = "keep") -> DataFrame:
+    """The crop box of every image; with a ``gate`` that the caller names, only of images above it.
 
     ``unmeasurable`` says what happens when the size cannot be told: keep or crop.
     """
     estimate = resampled_voxels()
-    small = F.coalesce(estimate <= gate, F.lit(unmeasurable == "keep"))
+    small = F.lit(False) if gate is None else F.coalesce(estimate <= gate, F.lit(unmeasurable == "keep"))
     pick = lambda name, full: F.when(F.col("small"), full).otherwise(F.col(name)).alias(name)
     return headers.withColumn("small", small).join(box, "case_id").select(
         "case_id", *[pick(f"{a}0", F.lit(0)) for a in "xyz"], *[pick(f"d{a}", F.col(f"n{a}")) for a in "xyz"],

@@ -23,10 +23,6 @@ def train_rows(df: DataFrame, held_out: DataFrame) -> DataFrame:
     return df.join(held_out.select("PatientID"), "PatientID", "left_anti")
 
 
-def validation_rows(df: DataFrame, held_out: DataFrame) -> DataFrame:
-    return df.join(held_out.select("PatientID"), "PatientID", "left_semi")
-
-
 def remaining(todo: DataFrame, done: DataFrame, available: DataFrame, on: str = "PatientID") -> DataFrame:
     """Work that is not finished yet and has its mandatory input."""
     return todo.join(done.select(on), on, "left_anti").join(available.select(on), on, "left_semi")

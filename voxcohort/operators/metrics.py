@@ -126,10 +126,6 @@ def fold_coverage(patients: DataFrame, folds: DataFrame) -> DataFrame:
     return matched.select("matched", total.scalar().alias("listed"), missing.scalar().alias("in_no_fold"))
 
 
-def fit_guard(train_n: Column, valid_n: Column, min_train: int, min_valid: int) -> Column:
-    return (train_n >= min_train) & (valid_n >= min_valid)
-
-
 def class_weights(df: DataFrame, label: str, group: list[str] | None = None) -> DataFrame:
     """Balanced class weight n / (k * n_c) per group and class."""
     group = list(group or [])

@@ -48,9 +48,15 @@ def merged_nodes(voxels: DataFrame, headers: DataFrame, label: int = 2, merge_mm
 
 
 def _with_bridge_pet(closed: DataFrame, voxels: DataFrame) -> DataFrame:
-    bridge = closed.where("not is_original").drop("pet").join(
-        voxels.select("case_id", "z", "y", "x", "pet"), ["case_id", "z", "y", "x"], "left")
-    return closed.where("is_original").unionByName(bridge)
+    """``closed`` with the PET of the voxels that the closing added.
+
+    The inner join keeps the large table on the streamed side, so it is not shuffled
+    where the few added voxels are small enough to broadcast or to filter its scan.
+    """
+    at = ["case_id", "z", "y", "x"]
+    bridge = closed.where("not is_original").drop("pet")
+    hits = voxels.select(*at, "pet").join(bridge.select(*at).distinct(), at)
+    return closed.where("is_original").unionByName(bridge.join(hits, at, "left"))
 
 
 def measure_nodes(merged: DataFrame, headers: DataFrame, missing_pet: float = 0.0) -> DataFrame:
@@ -89,7 +95,7 @@ def _largest(comps: DataFrame) -> DataFrame:
 
 
 def clean_mask(voxels: DataFrame, headers: DataFrame, gate: NodeGate = NodeGate(), merge_mm: float = 2.0,
-               missing_pet: float = 0.0, border: str = "erode") -> DataFrame:
+               missing_pet: float = 0.0, border: str = "erode", block: int = 32) -> DataFrame:
     """Lesion voxels left after dropping refused nodes and secondary primaries.
 
     The decision is made on merged groups; the output only ever holds original
@@ -97,7 +103,7 @@ def clean_mask(voxels: DataFrame, headers: DataFrame, gate: NodeGate = NodeGate(
     """
     lesion = voxels.where("label in (1, 2)").select("case_id", "label", "z", "y", "x", "pet")
     radius = F.when(F.col("label") == 2, float(merge_mm)).otherwise(0.0)
-    comps = label_components(lesion, headers, ["case_id", "label"], merge_mm=radius, border=border, carry="pet")
+    comps = label_components(lesion, headers, ["case_id", "label"], merge_mm=radius, border=border, carry="pet", block=block)
     merged = _with_bridge_pet(comps.where("label = 2").drop("label"), voxels).withColumn("merge_mm", F.lit(float(merge_mm)))
     drop = rejected_voxels(merged, measure_nodes(merged, headers, missing_pet), gate)
     nodes = lesion.where("label = 2").join(drop, ["case_id", "z", "y", "x"], "left_anti")
@@ -106,15 +112,10 @@ def clean_mask(voxels: DataFrame, headers: DataFrame, gate: NodeGate = NodeGate(
 
 
 def body_midline(voxels: DataFrame, headers: DataFrame) -> DataFrame:
-    """x of the body centroid in mm from a stride subsample; image centre if no body."""
-    step = lambda n, parts: F.greatest(F.lit(1), F.floor(F.col(n) / parts).cast("int"))
-    head = headers.select("case_id", "nx", "sx", step("nz", 64).alias("kz"), step("ny", 128).alias("ky"),
-                          step("nx", 128).alias("kx"))
-    body = voxels.where("ct > -500").select("case_id", "z", "y", "x").join(head, "case_id").where(
-        "z % kz = 0 and y % ky = 0 and x % kx = 0")
-    mean = body.groupBy("case_id").agg(F.avg(F.expr("x div kx")).alias("mx"))
-    return head.join(mean, "case_id", "left").select(
-        "case_id", F.coalesce(F.col("mx") * F.col("kx") * F.col("sx"), F.col("nx") / 2.0 * F.col("sx")).alias("midline_mm"))
+    """x of the body centroid in mm over all body voxels; image centre if no body."""
+    mean = voxels.where("ct > -500").groupBy("case_id").agg(F.avg("x").alias("mx"))
+    return headers.select("case_id", "nx", "sx").join(mean, "case_id", "left").select(
+        "case_id", F.coalesce(F.col("mx") * F.col("sx"), F.col("nx") / 2.0 * F.col("sx")).alias("midline_mm"))
 
 
 def image_midline(headers: DataFrame) -> DataFrame:
@@ -131,13 +132,13 @@ def laterality_of(n: Column, any_left: Column, any_right: Column) -> Column:
 
 
 def case_geometry(clean: DataFrame, headers: DataFrame, midline: DataFrame, merge_mm: float = 2.0,
-                  border: str = "erode", x_mm: Column | None = None) -> DataFrame:
+                  border: str = "erode", x_mm: Column | None = None, block: int = 32) -> DataFrame:
     """Staging geometry per case from a cleaned mask; cases without nodes included.
 
     ``x_mm`` picks the coordinate a side is judged on (voxel-space by default).
     """
     full = clean.select("case_id", "z", "y", "x", "label", "pet")
-    nodes = measure_nodes(merged_nodes(full, headers, 2, merge_mm, border), headers)
+    nodes = measure_nodes(merged_nodes(full, headers, 2, merge_mm, border, block), headers)
     side = side_of(F.col("cx_mm") if x_mm is None else x_mm, F.col("midline_mm"))
     per_case = nodes.join(midline, "case_id").withColumn("side", side).groupBy("case_id").agg(
         F.count("*").cast("int").alias("n"), F.max("max_mm").alias("mm"), F.sum("nvox").alias("nv"),

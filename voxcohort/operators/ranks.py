@@ -14,7 +14,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ROWS_PER_RANGE = 2_000_000
-MAX_RANGES = 4096
 
 
 def range_bounds(df: DataFrame, col: str, rows_per_range: int = ROWS_PER_RANGE, at_most: int | None = None) -> list[float]:
@@ -25,7 +24,7 @@ def range_bounds(df: DataFrame, col: str, rows_per_range: int = ROWS_PER_RANGE,
     """
     if at_most is not None and at_most <= rows_per_range:
         return []
-    ranges = min(MAX_RANGES, math.ceil(df.count() / rows_per_range))
+    ranges = math.ceil(df.count() / rows_per_range)
     if ranges <= 1:
         return []
     points = df.approxQuantile(col, [i / ranges for i in range(1, ranges)], 1.0 / (4 * ranges))
@@ -131,11 +130,12 @@ def poisson_bootstrap(df: DataFrame, replicates: int, key: str = "PatientID") ->
     """Bootstrap replicates by Poisson(1) multiplicities drawn from a hash of the row key."""
     rows = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     u = uniform_key(F.lit("boot"), F.col("replicate"), F.col(key)) / float(1 << 48)
-    draw, p, cdf = F.lit(0), math.exp(-1), 0.0
-    for k in range(10):
-        cdf += p
+    draw, p, cdf, k = F.lit(0), math.exp(-1), math.exp(-1), 0
+    while cdf <= 1 - 1 / (1 << 48):      # the largest value u can take
         draw = draw + F.when(u >= cdf, 1).otherwise(0)
-        p /= k + 1
+        k += 1
+        p /= k
+        cdf += p
     return rows.withColumn("multiplicity", draw).where("multiplicity > 0")
 
 

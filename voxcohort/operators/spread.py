@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from voxcohort.operators.components import label_components
 from voxcohort.operators.crop import body_length, body_slices
 
-POINT_CAP = 4000
 POINTS_PER_BLOCK = 1000
 
 
@@ -26,18 +25,6 @@ def hull_candidates(voxels: DataFrame, keys: list[str]) -> DataFrame:
     return rows
 
 
-def sample_points(voxels: DataFrame, keys: list[str], cap: int = POINT_CAP) -> DataFrame:
-    """At most ``cap`` points per key, the first in hash order; all of them when fewer.
-
-    A hash threshold thins large groups to about twice the cap before they are ranked.
-    """
-    sizes = voxels.groupBy(*keys).agg(F.count("*").alias("_n"))
-    share = (F.xxhash64("z", "y", "x").cast("double") / float(1 << 63) + 1) / 2
-    thin = voxels.join(sizes, keys).withColumn("_u", share).where(F.col("_u") * F.col("_n") <= 2.0 * cap)
-    w = Window.partitionBy(*keys).orderBy("_u", "z", "y", "x")
-    return thin.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_u", "_rn", "_n")
-
-
 def _block_kernel():
     """Vectorised distance sum and maximum of two point blocks, shipped by value."""
 
@@ -85,12 +72,63 @@ def _in_mm(df: DataFrame, headers: DataFrame, keys: list[str]) -> DataFrame:
         *keys, *[(F.col(a) * F.col(f"s{a}")).alias(f"p{a}") for a in "zyx"])
 
 
+def _offset_kernel():
+    """Sum of the distances between the voxels of two slices, shipped by value."""
+
+    @F.pandas_udf("double")
+    def offset_total(a: pd.Series, b: pd.Series, dz: pd.Series, sy: pd.Series, sx: pd.Series, same: pd.Series) -> pd.Series:
+        import numpy as np
+        import pandas as pd
+
+        def one(p, q, dz, sy, sx, own):
+            p, q = np.asarray(p).reshape(-1, 2), np.asarray(q).reshape(-1, 2)
+            if len(p) * len(q) <= 1_000_000:
+                d = p[:, None, :] - q[None, :, :]
+                total = np.sqrt(dz ** 2 + (d[..., 0] * sy) ** 2 + (d[..., 1] * sx) ** 2).sum()
+            else:      # how often each in-plane offset occurs, from the correlation of the two bitmaps
+                low = np.minimum(p.min(0), q.min(0))
+                size = np.maximum(p.max(0), q.max(0)) - low + 1
+                maps = []
+                for points in (p, q):
+                    bitmap = np.zeros(2 * size)
+                    bitmap[tuple((points - low).T)] = 1
+                    maps.append(np.fft.rfft2(bitmap))
+                counts = np.rint(np.fft.irfft2(maps[0] * maps[1].conj(), s=tuple(2 * size)))
+                dy, dx = (np.fft.fftfreq(n, 1 / n) for n in counts.shape)
+                total = (counts * np.sqrt(dz ** 2 + (dy[:, None] * sy) ** 2 + (dx[None, :] * sx) ** 2)).sum()
+            return total / 2 if own else total
+
+        return pd.Series([one(*row) for row in zip(a, b, dz, sy, sx, same)], dtype="float64")
+
+    return offset_total
+
+
+def mean_distance(lesion: DataFrame, headers: DataFrame) -> DataFrame:
+    """(case_id, mean_mm) over all pairs of a case's voxels.
+
+    A row is a pair of slices; within it the offsets of the two bitmaps are counted, so
+    work grows with the bitmap and not with the pairs of voxels, and a large lesion
+    spreads over as many tasks as it has pairs of slices.
+    """
+    slices = lesion.groupBy("case_id", "z").agg(F.flatten(F.collect_list(F.array("y", "x"))).alias("at"), F.count("*").alias("n"))
+    sizes = slices.groupBy("case_id").agg(F.sum("n").alias("n"), F.array_sort(F.collect_set("z")).alias("zs"))
+    offered = slices.drop("n").join(sizes, "case_id").withColumn("other", F.explode("zs")).select(
+        "case_id", "n", F.least("z", "other").alias("lo"), F.greatest("z", "other").alias("hi"), "z", "at")
+    pairs = offered.groupBy("case_id", "n", "lo", "hi").agg(
+        F.any_value(F.when(F.col("z") == F.col("lo"), F.col("at")), True).alias("a"),
+        F.any_value(F.when(F.col("z") == F.col("hi"), F.col("at")), True).alias("b"))
+    total = _offset_kernel()("a", "b", (F.col("hi") - F.col("lo")) * F.col("sz"), "sy", "sx", F.col("lo") == F.col("hi"))
+    sums = pairs.join(headers.select("case_id", "sx", "sy", "sz"), "case_id").withColumn("total", total) \
+        .groupBy("case_id", "n").agg(F.sum("total").alias("total"))
+    count = F.col("n") * (F.col("n") - 1) / 2
+    return sums.select("case_id", F.when(count > 0, F.col("total") / count).otherwise(0.0).alias("mean_mm"))
+
+
 def lesion_spread(lesion: DataFrame, headers: DataFrame) -> DataFrame:
-    """Largest voxel distance (exact) and mean distance over at most 4000 points."""
+    """Largest and mean voxel distance, both over all pairs."""
     far = distance_stats(_in_mm(hull_candidates(lesion, ["case_id"]), headers, ["case_id"]), ["case_id"])
-    mid = distance_stats(_in_mm(sample_points(lesion.select("case_id", "z", "y", "x"), ["case_id"]), headers, ["case_id"]), ["case_id"])
     return far.select("case_id", F.col("max_mm").alias("Dmax_mm")).join(
-        mid.select("case_id", F.col("mean_mm").alias("spread_mean_mm")), "case_id")
+        mean_distance(lesion, headers).select("case_id", F.col("mean_mm").alias("spread_mean_mm")), "case_id")
 
 
 def lesion_components(mask: DataFrame) -> DataFrame:
@@ -129,7 +167,7 @@ def primary_to_nodes(mask: DataFrame, comps: DataFrame, headers: DataFrame) -> D
 
 def uptake(mask: DataFrame, headers: DataFrame) -> DataFrame:
     """Node to primary volume ratio and whole-lesion uptake statistics."""
-    value = F.when(~F.isnan("pet"), F.col("pet"))
+    value = F.when(~F.isnan("pet") & (F.abs("pet") != float("inf")), F.col("pet"))
     sums = mask.where("label > 0").groupBy("case_id").agg(
         F.count_if(F.col("label") == 2).alias("nn"), F.count_if(F.col("label") == 1).alias("np"),
         F.max(value).alias("top"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))

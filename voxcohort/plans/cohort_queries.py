@@ -821,12 +821,15 @@ def w8(spark, sf):
     return b.groupBy("replicate").agg(F.sum("multiplicity").alias("n"), F.sum(F.col("multiplicity") * F.col("event")).alias("events"))
 
 
-@query("w8_feature_subsets", "SELECT cast(replicate AS INT) AS replicate, feature FROM (SELECT unnest([" + ", ".join(f"'{f}'" for f in SIGNALS) + """]) AS feature), range(0, 40) r(replicate)
-  QUALIFY row_number() OVER (PARTITION BY replicate ORDER BY substr(md5(concat('cols-', replicate, '-', feature)), 1, 12), feature) <= 4""")
+@query("w8_feature_subsets", "SELECT cast(replicate AS INT) AS replicate, feature FROM (" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature FROM fx_cohort WHERE RFS > 0 HAVING count(DISTINCT {f}) > 1" for f in SIGNALS) + """), range(0, 40) r(replicate)
+  QUALIFY row_number() OVER (PARTITION BY replicate ORDER BY substr(md5(concat('cols-', replicate, '-', feature)), 1, 12), feature) <= greatest(2, round(0.6 * count(*) OVER (PARTITION BY replicate)))""")
 def w8f(spark, sf):
-    df = valid(spark, sf)
-    features = df.select(F.explode(F.array(*map(F.lit, SIGNALS))).alias("feature")).distinct()
-    return ranks.random_subset(features, 40, 0.6)
+    """Subsets of the columns that vary over the rows."""
+    value = lambda f: F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v"))
+    long = valid(spark, sf).select(F.explode(F.array(*map(value, SIGNALS))).alias("i")).select("i.*").where("v IS NOT NULL")
+    varying = long.groupBy("feature").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low < high")
+    return ranks.random_subset(varying, 40, 0.6)
 
 
 @query("w9_set_checks", """SELECT 'union' AS kind, count(*) AS n FROM (SELECT PatientID FROM fx_clinical WHERE fold = 0 UNION SELECT PatientID FROM fx_cohort)

@@ -19,11 +19,22 @@ def safe_outputs(cases: DataFrame, scored: DataFrame, on: str = "case_id") -> Da
 
 
 def risk_from_state(df: DataFrame, state: DataFrame) -> DataFrame:
-    """Partial hazard from a saved state (feature, med, mu, sd, beta), one row per feature."""
-    lin = F.lit(0.0)
-    for r in state.orderBy("feature").limit(1000).collect():   # as many rows as the model has features
-        lin = lin + r["beta"] * (F.coalesce(F.col(r["feature"]).cast("double"), F.lit(r["med"])) - r["mu"]) / r["sd"]
-    return df.withColumn("risk", F.exp(lin))
+    """Partial hazard from a saved state (feature, med, mu, sd, beta), one row per feature.
+
+    The state becomes a single row, its terms in the order of the columns they belong
+    to; features that ``df`` lacks count with their median.
+    """
+    columns = [c for c, t in df.dtypes if t.split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean", "string")]
+    place = df.sparkSession.createDataFrame(list(enumerate(columns)), "pos int, feature string")
+    own, known = F.struct("pos", "med", "mu", "sd", "beta"), F.col("pos").isNotNull()
+    effect = lambda v, t: t["beta"] * (F.coalesce(v, t["med"]) - t["mu"]) / t["sd"]
+    terms = place.join(state.select("feature", "med", "mu", "sd", "beta"), "feature", "full").agg(
+        F.sort_array(F.collect_list(F.when(known, own))).alias("_terms"),
+        F.coalesce(F.sum(F.when(~known, effect(F.col("med"), own))), F.lit(0.0)).alias("_rest"))
+    values = F.array(*[F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in columns])
+    effects = F.zip_with(values, "_terms", lambda v, t: F.coalesce(effect(v, t), F.lit(0.0)))
+    risk = F.exp(F.col("_rest") + F.aggregate(effects, F.lit(0.0), lambda x, y: x + y))
+    return df.crossJoin(F.broadcast(terms)).withColumn("risk", risk).drop("_terms", "_rest")      # one row of terms
 
 
 def score_cases(voxels: DataFrame, headers: DataFrame, records: DataFrame, state: DataFrame,

@@ -34,7 +34,7 @@ def m29(spark, sf):
 
 @query("st1_incremental_features", None)
 def st1(spark, sf):
-    """Four drops, the first delivered twice, over two runs of the stream."""
+    """Four drops over two runs of the stream: one delivered twice, and one case in each run's files in part."""
     root = _scratch(spark, "arrivals")
     head = fx.volumes(spark, sf)
 
@@ -42,11 +42,14 @@ def st1(spark, sf):
         h = head.join(voxels.select("case_id").distinct(), "case_id", "left_semi")
         return spread.dissemination(nodes.clean_mask(voxels, h), voxels, h)
 
-    vox = fx.voxels(spark, sf).withColumn("drop", F.col("case_id") % 4)
+    vox = fx.voxels(spark, sf)
+    expected = vox.groupBy("case_id").agg(F.count("*").alias("n_voxels"))
+    late = (F.col("case_id") % 5 == 0) & (F.col("z") % 2 == 1)      # half of every fifth case arrives in the second run
+    vox = vox.withColumn("drop", F.when(late, 3).otherwise(F.col("case_id") % 3))
     for run, drops in enumerate(((0, 1), (0, 2, 3))):
         for d in drops:
             vox.where(F.col("drop") == d).drop("drop").write.parquet(f"{root}/in/run{run}-{d}")
-        incremental.run_available(spark, f"{root}/in", f"{root}/out", f"{root}/ckpt", compute)
+        incremental.run_available(spark, f"{root}/in", f"{root}/out", f"{root}/ckpt", compute, expected)
     out = spark.read.parquet(f"{root}/out")
     return out.select("case_id", "has_lesion", "n_lesions", *voxel_queries.r6(*voxel_queries.DIS))
 

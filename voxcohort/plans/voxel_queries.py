@@ -42,6 +42,12 @@ def v12(spark, sf):
     return nodes.merged_nodes(fx.voxels(spark, sf), fx.volumes(spark, sf)).select("case_id", "z", "y", "x", "comp_id")
 
 
+@query("v12_components_small_cubes", "SELECT case_id, z, y, x, comp_id FROM m2_comp")
+def v12_small(spark, sf):
+    """Cubes of four voxels, so components cross their faces."""
+    return nodes.merged_nodes(fx.voxels(spark, sf), fx.volumes(spark, sf), block=4).select("case_id", "z", "y", "x", "comp_id")
+
+
 MEASURES = ("vol_ml", "max_mm", "suvmax", "cx_mm", "cy_mm", "cz_mm")
 
 
@@ -67,6 +73,13 @@ def n_stage_per_case(spark, sf):
 query("n_stage_per_case", f"SELECT *, {views.rule()} AS n_stage FROM geometry_image")(n_stage_per_case)
 
 
+@query("n_stage_small_cubes", f"SELECT *, {views.rule()} AS n_stage FROM geometry_image")
+def n_stage_small(spark, sf):
+    vox, head = fx.voxels(spark, sf), fx.volumes(spark, sf)
+    geometry = nodes.case_geometry(nodes.clean_mask(vox, head, block=4), head, nodes.image_midline(head), block=4)
+    return geometry.withColumn("n_stage", staging.rule_n("n_gtvn", "max_node_mm", "laterality"))
+
+
 # ------------------------------------------------------------- V14-V21 more nodes
 GATES = {"both": nodes.NodeGate(), "either": nodes.NodeGate(mode="either"), "legacy": nodes.LEGACY_GATE}
 

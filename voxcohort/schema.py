@@ -17,11 +17,6 @@ VOXELS = _struct(
     ("case_id", T.LongType()), ("z", T.IntegerType()), ("y", T.IntegerType()), ("x", T.IntegerType()),
     ("label", T.IntegerType()), ("pet", T.DoubleType()), ("ct", T.DoubleType()),
 )
-CASE_META = _struct(
-    ("PatientID", T.StringType()), ("center", T.StringType()), ("gtvp_ml", T.DoubleType()),
-    ("n_gtvn", T.IntegerType()), ("max_node_mm", T.DoubleType()), ("gtvn_total_ml", T.DoubleType()),
-    ("laterality", T.StringType()), ("error", T.StringType()),
-)
 CLINICAL_RECORD = _struct(
     ("CenterID", T.IntegerType()), ("Age", T.IntegerType()), ("Gender", T.IntegerType()),
     ("Tobacco Consumption", T.IntegerType()), ("Alcohol Consumption", T.IntegerType()),
@@ -42,7 +37,7 @@ STAGING_CONFIG = _struct(
     ("T_classes", T.ArrayType(T.StringType())),
     ("cv_scores", T.MapType(T.StringType(), T.DoubleType())),
 )
-DISEASE_EXTENT = ["PatientID", "ct_z_extent_mm", "depth_top_mm", "depth_bot_mm", "lesion_span_mm", "n_lesion_vox"]
+# fixed values: output columns, in order
 DISSEMINATION = [
     "case_id", "has_lesion", "Dmax_mm", "spread_mean_mm", "body_len_mm", "Dmax_norm", "n_lesions",
     "frac_largest", "total_lesion_ml", "centroid_spread_mm", "centroid_max_mm", "dist_p_to_n_max_mm",

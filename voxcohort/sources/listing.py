@@ -6,10 +6,12 @@ a folder without reading file contents.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# fixed values: role patterns, in order of preference (name = file, id = its folder)
-PET_PATTERNS = ["{id}.*PT.*", ".*__PT", ".*_PT", ".*PT", "{id}.*PET.*", ".*PET"]
+# fixed values: PET file names in order of preference ({id} is the folder's name)
+PET_GLOBS = ["*{id}*PT*.nii.gz", "*__PT.nii.gz", "*_PT.nii.gz", "*PT.nii.gz", "*{id}*PET*.nii.gz", "*PET.nii.gz"]
 LABEL_EXCLUDED = r"(?i)__?(CT|PT|PET)\.nii\.gz$"
 CHANNELS = {"0": "CT", "1": "PET"}
 LABELS = {"background": 0, "GTVp": 1, "GTVn": 2}
@@ -26,25 +28,25 @@ def _parts(files: DataFrame) -> DataFrame:
         F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("dir"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
 
 
+def fits_glob(name: Column, glob: str, case: Column) -> Column:
+    """Whether a file name fits a glob in which {id} stands for the case."""
+    texts = ["".join(".*" if c == "*" else re.escape(c) for c in part) for part in glob.split("{id}")]
+    pieces = [F.lit(texts[0])]
+    for text in texts[1:]:
+        pieces += [F.lit("\\Q"), case, F.lit("\\E" + text)]
+    return F.rlike(name, F.concat(F.lit("^"), *pieces, F.lit("$")))
+
+
 def pet_priority(name: Column, case: Column) -> Column:
-    """Position of the first PET pattern a name fits; NULL when none does."""
-    body = F.regexp_replace(name, r"\.nii\.gz$", "")
-    tests = []
-    for i, pattern in enumerate(PET_PATTERNS):
-        if pattern.startswith("{id}"):
-            tail = "PT" if "PET" not in pattern else "PET"
-            fits = body.contains(case) & F.call_function("substring_index", body, case, F.lit(-1)).contains(tail)
-        else:
-            fits = body.rlike(pattern.removeprefix(".*") + "$")
-        tests.append(F.when(fits, i))
-    return F.coalesce(*tests)
+    """Position of the first PET glob a name fits; NULL when none does."""
+    return F.coalesce(*[F.when(fits_glob(name, glob, case), i) for i, glob in enumerate(PET_GLOBS)])
 
 
 def find_cases(files: DataFrame, pet: bool = True) -> DataFrame:
-    """Complete cases (case, ct, pet, label): every role present in one folder.
+    """Complete cases (case, ct, pet, label), one per CT file with every role in its folder.
 
     CT is the ``__CT`` file where any folder has one, else any CT name; PET follows
-    the ordered patterns; the label is the first remaining volume.
+    the ordered globs; the label is the first remaining volume.
     """
     f = _parts(files)
     strict = F.col("name").endswith("__CT.nii.gz")
@@ -52,12 +54,12 @@ def find_cases(files: DataFrame, pet: bool = True) -> DataFrame:
     is_ct = F.when(any_strict, strict).otherwise(F.col("name").endswith("CT.nii.gz"))
     rank = pet_priority(F.col("name"), F.col("case"))
     label = ~F.col("name").rlike(LABEL_EXCLUDED)
-    cases = f.groupBy("dir", "case").agg(
-        F.min(F.when(is_ct, F.col("path"))).alias("ct"),
+    folders = f.groupBy("dir", "case").agg(
+        F.collect_list(F.when(is_ct, F.col("path"))).alias("cts"),
         F.min(F.when(rank.isNotNull(), F.struct(rank.alias("r"), F.col("path").alias("path")))).alias("p"),
         F.min(F.when(label, F.col("path"))).alias("label"))
     roles = ["ct", "label"] + (["pet"] if pet else [])
-    return cases.select("case", "ct", F.col("p.path").alias("pet"), "label").dropna(subset=roles).select("case", *roles)
+    return folders.select("case", F.explode("cts").alias("ct"), F.col("p.path").alias("pet"), "label").dropna(subset=roles).select("case", *roles)
 
 
 def file_index(files: DataFrame) -> DataFrame:

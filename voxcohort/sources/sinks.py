@@ -23,11 +23,13 @@ def read_mask(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_or_none(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame | None:
-    """Load an optional table; None where it is missing."""
+    """Load an optional table; None where it is missing or holds no file yet."""
     try:
         return spark.read.format(fmt).load(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def append_missing(todo: DataFrame, compute, path: str, on: str = "PatientID") -> None:

@@ -4,31 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxcohort import schema
 from voxcohort.sources.sinks import read_or_none
 
 
-def run_available(spark: SparkSession, source: str, out: str, checkpoint: str,
-                  compute: Callable[[DataFrame], DataFrame], key: str = "case_id", max_files: int = 1000) -> None:
-    """Process every voxel file not seen yet and append one row per new case.
+def run_available(spark: SparkSession, source: str, out: str, checkpoint: str, compute: Callable[[DataFrame], DataFrame],
+                  expected: DataFrame, key: str = "case_id", max_files: int = 1000) -> None:
+    """Process every voxel file not seen yet and append one row per case that is now complete.
 
-    A file delivered twice, or a batch replayed after a failure, adds nothing: voxels
-    are deduplicated inside the batch and finished cases are left out by an anti-join.
+    ``expected`` (key, n_voxels) says how many voxels a case has. Voxels are kept beside
+    the output, one folder per batch, until their case is complete, so a case may arrive
+    over many files, batches and runs. A file delivered twice, or a batch replayed after
+    a failure, adds nothing: a batch rewrites its own folder, voxels are deduplicated,
+    and finished cases are left out by an anti-join on the key alone.
     """
+    held = f"{out}_waiting"
 
-    def one_batch(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates([key, "z", "y", "x"])
-        done = read_or_none(batch.sparkSession, out, "parquet")
+    def one_batch(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{held}/batch={number}")
+        waiting = session.read.schema(schema.VOXELS).parquet(held).drop("batch")
+        done = read_or_none(session, out, "parquet")
         if done is not None:
-            fresh = fresh.join(done.select(key).distinct(), key, "left_anti")
-        fresh = fresh.persist()
+            waiting = waiting.join(done.select(key).distinct(), key, "left_anti")
+        waiting = waiting.dropDuplicates([key, "z", "y", "x"])
+        complete = waiting.groupBy(key).agg(F.count("*").alias("n")).join(expected, key).where("n >= n_voxels").select(key).persist()
         try:
-            if not fresh.isEmpty():
-                compute(fresh).write.mode("append").parquet(out)
+            if not complete.isEmpty():
+                compute(waiting.join(complete, key, "left_semi")).write.mode("append").parquet(out)
         finally:
-            fresh.unpersist()
+            complete.unpersist()
 
     stream = (spark.readStream.schema(schema.VOXELS).option("maxFilesPerTrigger", max_files)
               .option("recursiveFileLookup", True).parquet(source))
