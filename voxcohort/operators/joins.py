@@ -39,8 +39,14 @@ def assemble_cases(ct: DataFrame, pet: DataFrame, label: DataFrame, on: str = "c
 
 
 def overlay(mask: DataFrame, image: DataFrame) -> DataFrame:
-    """Mask voxels with the image value at the same grid position."""
-    return mask.join(image, ["case_id", "z", "y", "x"])
+    """Mask voxels with the image value at the same grid position.
+
+    The image is first narrowed to the mask's box in each case, by a join with one row
+    per case, so only what lies near a mask is shuffled.
+    """
+    box = mask.groupBy("case_id").agg(*[f(a).alias(f"_{a}{n}") for a in "zyx" for n, f in ((0, F.min), (1, F.max))])
+    near = image.join(box, "case_id").where(" AND ".join(f"{a} BETWEEN _{a}0 AND _{a}1" for a in "zyx")).select(*image.columns)
+    return mask.join(near, ["case_id", "z", "y", "x"])
 
 
 def with_settings(df: DataFrame, **grids) -> DataFrame:

@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxcohort.operators.components import _HALF_NEIGHBOURS, label_components
+from voxcohort.operators.joins import overlay
 from voxcohort.operators.ranks import exact_quantiles
-from voxcohort.operators.spread import distance_stats
+from voxcohort.operators.spread import distance_stats, hull_candidates
 from voxcohort.session import cut
 
 ROI = ["case_id", "modality", "region"]
@@ -28,8 +29,7 @@ def presence(mask: DataFrame, headers: DataFrame) -> DataFrame:
 
 def roi_values(mask: DataFrame, voxels: DataFrame) -> DataFrame:
     """Long table of lesion voxels: (case_id, modality, region, z, y, x, value)."""
-    hit = mask.where("label in (1, 2)").select("case_id", "z", "y", "x", "label").join(
-        voxels.select("case_id", "z", "y", "x", "ct", "pet"), ["case_id", "z", "y", "x"])
+    hit = overlay(mask.where("label in (1, 2)").select("case_id", "z", "y", "x", "label"), voxels.select("case_id", "z", "y", "x", "ct", "pet"))
     both = F.explode(F.array(F.struct(F.lit("ct").alias("modality"), F.col("ct").alias("value")),
                              F.struct(F.lit("pt").alias("modality"), F.col("pet").alias("value"))))
     region = F.when(F.col("label") == 1, "gtvp").otherwise("gtvn").alias("region")
@@ -104,7 +104,9 @@ def shape(mask: DataFrame, headers: DataFrame) -> DataFrame:
     third = 2.0943951023931953
     m = m.withColumns({"l1": root(F.lit(0.0)), "l3": root(F.lit(third))}).withColumn(
         "l2", F.greatest(F.lit(0.0), 3 * q - F.col("l1") - F.col("l3")))
-    far = distance_stats(mm.select(*key, "pz", "py", "px"), key).select(*key, F.col("max_mm").alias("Maximum3DDiameter"))
+    ends = hull_candidates(rows, key).join(headers.select("case_id", "sx", "sy", "sz"), "case_id").select(
+        *key, *[(F.col(a) * F.col(f"s{a}")).alias(f"p{a}") for a in "zyx"])
+    far = distance_stats(ends, key).select(*key, F.col("max_mm").alias("Maximum3DDiameter"))
     ratio = lambda l: F.coalesce(F.sqrt(F.try_divide(F.col(l), F.col("l1"))), F.lit(0.0))
     return m.join(far, key).select(
         *key, (F.col("n") * F.col("vv")).alias("VoxelVolume"), (4 * F.sqrt("l1")).alias("MajorAxisLength"),
@@ -112,6 +114,26 @@ def shape(mask: DataFrame, headers: DataFrame) -> DataFrame:
         ratio("l2").alias("Elongation"), ratio("l3").alias("Flatness"), "Maximum3DDiameter")
 
 
+def in_plane_diameters(mask: DataFrame, headers: DataFrame) -> DataFrame:
+    """Largest distance within an axial, coronal or sagittal plane per (case_id, region).
+
+    Only the ends of the lines of a plane can be ends of its diameter; each plane is a
+    key of its own.
+    """
+    key = ["case_id", "region"]
+    rows = mask.where("label in (1, 2)").select(
+        "case_id", F.when(F.col("label") == 1, "gtvp").otherwise("gtvn").alias("region"), "z", "y", "x")
+    out = rows.select(*key).distinct()
+    for name, plane, u, v in (("Slice", "z", "y", "x"), ("Column", "y", "z", "x"), ("Row", "x", "z", "y")):
+        ends = rows.groupBy(*key, plane, u).agg(F.min(v).alias("_a"), F.max(v).alias("_b")).select(
+            *key, plane, u, F.explode(F.array_distinct(F.array("_a", "_b"))).alias(v))
+        points = ends.join(headers.select("case_id", "sx", "sy", "sz"), "case_id").select(
+            *key, F.col(plane).alias("plane"), *[(F.col(a) * F.col(f"s{a}")).alias(f"p{a}") for a in "zyx"])
+        far = distance_stats(points, [*key, "plane"]).groupBy(*key).agg(F.max("max_mm").alias(f"Maximum2DDiameter{name}"))
+        out = out.join(far, key)
+    return out
+
+
 # ---------------------------------------------------------------- neighbourhoods
 def neighbour_pairs(levels: DataFrame) -> DataFrame:
     """One row per touching voxel pair and direction: levels i and j with both indices."""
@@ -275,10 +297,10 @@ def long_form(wide: DataFrame, feature_class: str) -> DataFrame:
 
 def radiomics_long(mask: DataFrame, voxels: DataFrame, headers: DataFrame) -> DataFrame:
     levels = cut(discretise(roi_values(mask, voxels)))   # read by every class below
-    pairs = neighbour_pairs(levels)
+    pairs = cut(neighbour_pairs(levels))   # read twice
     around = cut(neighbourhood(levels, pairs))
     modality = F.explode(F.array(F.lit("ct"), F.lit("pt"))).alias("modality")
-    body = shape(mask, headers)
+    body = shape(mask, headers).join(in_plane_diameters(mask, headers), ["case_id", "region"])
     parts = {
         "firstorder": first_order(levels, headers),
         "shape": body.select("case_id", modality, "region", *[c for c in body.columns if c not in ROI]),

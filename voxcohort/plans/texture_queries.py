@@ -136,6 +136,19 @@ def v41(spark, sf):
     return rounded(s, "case_id", "region", digits=5)
 
 
+PLANES = {"Slice": "z", "Column": "y", "Row": "x"}
+
+
+view("plane_pts", "SELECT case_id, CASE WHEN label = 1 THEN 'gtvp' ELSE 'gtvn' END AS region, z, y, x, z*sz AS pz, y*sy AS py, x*sx AS px FROM fx_voxels JOIN fx_volumes USING (case_id) WHERE label > 0", ("fx_voxels", "fx_volumes"))
+
+
+@query("v41_in_plane_diameters", "SELECT case_id, region, " + ", ".join(
+    f"""round(max(sqrt((a.pz-b.pz)**2 + (a.py-b.py)**2 + (a.px-b.px)**2)) FILTER (a.{p} = b.{p}) + 0.000000314159, 5) AS "Maximum2DDiameter{n}" """ for n, p in PLANES.items())
+    + " FROM plane_pts a JOIN plane_pts b USING (case_id, region) GROUP BY ALL")
+def v41_planes(spark, sf):
+    return rounded(texture.in_plane_diameters(fx.voxels(spark, sf).where("label > 0"), fx.volumes(spark, sf)), "case_id", "region", digits=5)
+
+
 # --------------------------------------------------------------- V42-V46 textures
 view("half13", "SELECT row_number() OVER (ORDER BY dz, dy, dx) - 1 AS dir, dz, dy, dx FROM steps26 WHERE dz > 0 OR (dz = 0 AND (dy > 0 OR (dy = 0 AND dx > 0)))", ("steps26",))
 view("pairs13", f"""SELECT a.case_id, a.modality, a.region, dir, a.level AS i, b.level AS j FROM lev a CROSS JOIN half13 d JOIN lev b

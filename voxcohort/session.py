@@ -14,6 +14,7 @@ def get_session(app: str = "voxcohort", master: str | None = None, **conf) -> Sp
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # call sites are not recorded per column expression, which wide plans pay for
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
