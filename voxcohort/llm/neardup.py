@@ -7,8 +7,8 @@ rows that share a tree's first values form a region. Candidates are neighbours b
 longest common prefix: every row with the first row of its regions, and all pairs of
 small regions. A region too large for that is divided by more values of its order, as
 deep as that region needs. Links already implied by confirmed ones are not looked at
-again, and what a deep division may have parted is settled by comparing signatures,
-in blocks, between the components that still meet in one region: no region is capped.
+again, and what a deep division may have parted is settled in blocks between
+the components that still meet in one region: no region is capped.
 A candidate is a link only if the full shingle sets reach the similarity.
 
 With 20 trees of 3 values, a pair at similarity 0.8 shares no region with probability
@@ -135,18 +135,20 @@ def _near(pairs: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
     return both.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(work, "a long, b long")
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    inter = int((large[at] == small).sum())
+    return 100 * inter >= percent * (len(x) + len(y) - inter)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     def work(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                inter = int((large[at] == small).sum())
-                keep.append(100 * inter >= percent * (len(x) + len(y) - inter))
-            keep = pa.array(keep, pa.bool_())
+            keep = pa.array([_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+                             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
     side = lambda x: sets.select(F.col("rid").alias(x), F.col("shingles").alias(f"set_{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(work, "a long, b long")
@@ -195,28 +197,37 @@ def _deeper(rows: DataFrame, sigs: DataFrame) -> DataFrame:
     return rows.join(sigs.select("rid", "sig"), "rid").select("rid", "comp", "tree", "sig").mapInArrow(work, schema)
 
 
-def _between(rows: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
-    """Near pairs across the components of large regions, all of them, block by block."""
-    rows = rows.join(sigs.select("rid", "sig"), "rid")
+def _between(rows: DataFrame, sigs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links across the components that meet in a large region, found block by block.
+
+    Rows outside a region's main component meet all its rows; within a block a near
+    signature is confirmed on the full sets, and one link to a component is enough.
+    """
+    rows = rows.join(sigs.select("rid", "sig"), "rid").join(sets, "rid")
     main = rows.groupBy("k", "comp").count().groupBy("k").agg(F.max(F.struct("count", "comp")).alias("main"), F.sum("count").alias("rows"))
     rows = rows.join(main, "k")
     rest = F.col("rows") - F.col("main.count")
     lefts, rights = F.ceil(rest / LEFT).cast("int"), F.ceil(F.col("rows") / RIGHT).cast("int")
     block = lambda n: F.pmod(F.xxhash64("rid"), n).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = rows.where("comp <> main.comp").withColumn("x", block(lefts)).withColumn("y", all_of(rights)).select("k", "x", "y", "rid", "comp", "sig")
+    left = rows.where("comp <> main.comp").withColumn("x", block(lefts)).withColumn("y", all_of(rights)).select("k", "x", "y", "rid", "comp", "sig", "shingles")
     right = rows.withColumn("y", block(rights)).withColumn("x", all_of(lefts)).select(
-        F.col("k").alias("rk"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("rid").alias("rrid"), F.col("comp").alias("rcomp"), F.col("sig").alias("rsig"))
+        *[F.col(c).alias(f"r{c}") for c in ("k", "x", "y", "rid", "comp", "sig", "shingles")])
+    percent = round(100 * similarity)
 
     def work(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if p.empty or q.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sig = [np.frombuffer(b"".join(d), np.uint32).reshape(-1, VALUES) for d in (p["sig"], q["rsig"])]
-        comp, rid, out = q["rcomp"].to_numpy(), q["rrid"].to_numpy(), []
-        for s, c, r in zip(sig[0], p["comp"], p["rid"]):
-            hit = ((sig[1] == s).mean(1) >= similarity - NEAR) & (comp != c)
-            out += [(max(r, o), min(r, o)) for o in rid[hit]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
+        out = []
+        if len(p) and len(q):
+            sig = [np.frombuffer(b"".join(d), np.uint32).reshape(-1, VALUES) for d in (p["sig"], q["rsig"])]
+            sets = [np.frombuffer(x, np.uint64) for x in q["rshingles"]]
+            comp, rid = q["rcomp"].to_numpy(), q["rrid"].to_numpy()
+            for s, c, r, own in zip(sig[0], p["comp"], p["rid"], map(lambda x: np.frombuffer(x, np.uint64), p["shingles"])):
+                met = {c}
+                for n in np.flatnonzero((sig[1] == s).mean(1) >= similarity - NEAR):
+                    if comp[n] not in met and _linked(own, sets[n], percent):
+                        met.add(comp[n])
+                        out.append((max(r, rid[n]), min(r, rid[n])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
     return left.groupBy("k", "x", "y").cogroup(right.groupBy("rk", "rx", "ry")).applyInPandas(work, "a long, b long")
 
 
@@ -252,10 +263,11 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     edges.append(written(_confirmed(second, sets, percent)))
 
     roots = _roots(edges)
-    again = _mixed(_located(large.select("k", "tree", "rid"), roots)).select("k", "rid", "comp")
-    last = written(_between(again, sigs, similarity).distinct().join(first.union(second), ["a", "b"], "left_anti"))
+    # regions of several trees with one first row have much the same rows, and are taken as one
+    again = _mixed(_located(large.select("k", "rid"), roots)).select(F.col("head.rid").alias("k"), "rid", "comp").distinct()
+    last = written(_between(again, sigs, sets, similarity))
     if not last.isEmpty():
-        edges.append(written(_confirmed(last, sets, percent)))
+        edges.append(last)
         roots = _roots(edges)
 
     named = _located(copies.select("key", "head", F.col("head.rid").alias("rid")), roots)
