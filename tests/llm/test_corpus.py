@@ -387,7 +387,7 @@ def test_quality_rules_equal_brute_force(spark, docs, labels, texts):
 
 def test_log_ratio_prefers_trusted_words(spark):
     good = [" ".join(random.Random(n).choices(PROSE.split(), k=80)) for n in range(40)]
-    bad = [" ".join(f"{w}%%{n}" for w in random.Random(n).choices(PROSE.split(), k=80)) for n in range(20)]
+    bad = [" ".join(f"{w}%%" for w in random.Random(n).choices(PROSE.split(), k=80)) for n in range(20)]
     df = frame(spark, good + bad)
     labels = spark.createDataFrame([(n, int(n < 40)) for n in range(60)], "doc_id long, quality int")
     kept = {r.doc_id for r in quality_rules.keep_good(df, labels).collect()}
