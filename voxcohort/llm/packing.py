@@ -16,70 +16,61 @@ as documents of their own; other columns are ignored; an empty table gives no ro
 
 from __future__ import annotations
 
-import os
-import re
+import json
 import zlib
 from bisect import bisect_left, insort
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
+from voxcohort.llm.bpe import byte_symbols
 from voxcohort.llm.common import text_slices, written
 
 CAPACITY = 2048
 END = 0              # id behind every document
 GROUP = 50_000       # pieces ranked in one window
-CACHE = 300_000      # chunks kept by a process
-_LOADED: dict[str, ChunkEncoder] = {}
-_SPACE_BEFORE = re.compile(r"\s ")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"      # fixed value of the vocabulary file
+_LOADED: dict[str, ByteEncoder] = {}
 
 
-class ChunkEncoder:
-    """Ids of a byte-level vocabulary, kept per chunk.
+class ByteEncoder:
+    """Ids of a byte-level vocabulary file, as the tokenizers library gives them.
 
-    Before a space that follows another character than white space a token always
-    ends, so the chunks between such places are encoded apart; texts that hold a
-    special token are encoded whole.
+    The ids of merged pairs follow the order of the merges, so they serve as ranks for
+    the faster tiktoken. Texts that hold a special token go to the library itself.
     """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [b"".join([i.to_bytes(4, "little") for i in e.ids]) for e in found]
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        if _SPACE_BEFORE.search(text):
-            return re.split(r"(?<=\S)(?= )", text)
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        whole = {n for n, t in enumerate(texts) if t and any(s in t for s in self.special)}
-        cut = [[] if n in whole or not t else self.chunks(t) for n, t in enumerate(texts)]
-        new = {c for x in cut for c in x if c not in self.cache}
-        if len(self.cache) + len(new) > CACHE:
-            self.cache = {"": b""}
-            new = {c for x in cut for c in x}
-        if new:
-            order = list(new)
-            self.cache.update(zip(order, self._ids(order)))
-        of = self.cache.__getitem__
-        return [self._ids([texts[n]])[0] if n in whole else b"".join(map(of, x)) for n, x in enumerate(cut)]
-
-
-def loaded(path: str) -> ChunkEncoder:
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        byte = {s: b for b, s in enumerate(byte_symbols())}
+        ranks = {bytes([byte[c] for c in token]): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
+        self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian 32-bit ids."""
+        if not text:
+            return b""
+        if any(s in text for s in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+
+
+def loaded(path: str) -> ByteEncoder:
     if path not in _LOADED:
-        _LOADED[path] = ChunkEncoder(path)
+        _LOADED[path] = ByteEncoder(path)
     return _LOADED[path]
 
 
@@ -95,8 +86,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         for batch in batches:
             for part in text_slices(batch, 1):
                 rows = [[], [], [], [], []]
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    ids += end
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    ids = encoder.encode(text) + end
                     n = len(ids) // 4
                     cuts = [0, *range(n % capacity or min(n, capacity), n + 1, capacity)]
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
