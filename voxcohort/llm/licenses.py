@@ -86,10 +86,11 @@ def license_scan(docs: DataFrame, templates=None, k: int = K, cover: float = COV
     base phrase stands, else 0.
     """
     spark = docs.sparkSession
-    places = template_positions(spark, templates, k).cache()
-    bits = ["0"] * BITS
-    for (b,) in places.select(F.pmod("gram", F.lit(BITS))).collect():   # fixed templates
-        bits[b] = "1"
+    positions = template_positions(spark, templates, k)
+    fixed = positions.collect()      # fixed templates
+    places, bits = spark.createDataFrame(fixed, positions.schema), ["0"] * BITS
+    for r in fixed:
+        bits[r["gram"] % BITS] = "1"
     table = F.split(F.lit(" ".join(bits)), " ").cast("array<boolean>")
     maybe = lambda g: F.get(table, F.pmod(g, F.lit(BITS)).cast("int"))
 
