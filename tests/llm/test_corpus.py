@@ -396,6 +396,19 @@ def test_log_ratio_prefers_trusted_words(spark):
     assert len(weights) == 64 and quality_rules.gram_weights(df, labels.where("false"), buckets=8) == [0.0] * 8
 
 
+def test_log_ratio_rejects_junk_of_each_document(spark):
+    good = [" ".join(random.Random(n).choices(PROSE.split(), k=80)) for n in range(40)]
+    bad = [" ".join(f"{w}%%{n}" for w in random.Random(n).choices(PROSE.split(), k=80)) for n in range(20)]
+    labels = spark.createDataFrame([(n, int(n < 40)) for n in range(60)], "doc_id long, quality int")
+    assert {r.doc_id for r in quality_rules.keep_good(frame(spark, good + bad), labels).collect()} == set(range(40))
+
+
+def test_rules_follow_the_labels(spark):
+    d, l = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_rules.quality_rules(d, l).where("not base_failed").join(l, "doc_id").groupBy("quality", "kept").count().collect()
+    assert {(r.quality, r.kept) for r in rows} == {(0, False), (1, True)}
+
+
 # all operators on awkward tables
 
 CALLS = {
