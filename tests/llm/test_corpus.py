@@ -351,6 +351,16 @@ def test_telling_terms_are_generalised_beside_their_entity(spark):
     assert spans[1] == "email:24:36,term:12:19" and spans[204] == "email:9:25" and spans[7] == ""
 
 
+def test_terms_of_the_whole_document_tell(spark):
+    far = " ".join(["today thanks with about others"] * 8)
+    texts = [f"Zebulon and Lee {far} {n} zeb@corp.org {far} Zebulon" for n in range(4)] + [f"today thanks with about others {n}" for n in range(200)]
+    texts += [texts[0]] * 500      # copies of one text count once
+    out = {r.doc_id: r.text for r in pii.sanitised(frame(spark, texts)).collect()}
+    want = [f" and  {far} {n} [EMAIL] {far} " for n in range(4)]
+    assert [out[n] for n in range(4)] == want and {out[n] for n in range(204, 704)} == {want[0]}
+    assert all(out[n] == texts[n] for n in range(4, 204))
+
+
 # BPE
 
 def test_word_bpe_equals_the_library(spark, docs, texts):

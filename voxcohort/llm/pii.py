@@ -1,16 +1,19 @@
 """Personal data: patterns, and information-theoretic sanitisation of telling terms.
 
 Patterns find emails, addresses, card and phone numbers. Every found value is a
-protected entity. The words around its mentions are counted over the whole corpus:
-with N documents, n_e contexts of entity e, n_t documents holding term t and n_te
-contexts of e holding t, the pointwise mutual information log(n_te N / (n_t n_e))
-as a share of the entity's information content log(N / n_e) says how much of the
-entity t discloses. Terms at or above ``disclose`` are generalised to [WORD] beside
-that entity, terms at or above ``remove`` are removed. Equal contexts (copies) count
-once, and a term needs ``support`` contexts. Only documents with a mention change.
-
-All of it is SQL functions; mentions and terms are pre-aggregated before they are
-shuffled, and rows are joined by the row id of a written table.
+protected entity. The words of the documents that hold it are counted over the whole
+corpus: with N distinct texts, n_e of them holding entity e, n_t term t and n_te both,
+the pointwise mutual information log(n_te N / (n_t n_e)) as a share of the entity's
+information content log(N / n_e) says how much of the entity t discloses. Terms at or
+above ``disclose`` are generalised to [WORD] everywhere in that entity's documents,
+terms at or above ``remove`` are removed. All four counts are of distinct texts, so
+copies count once, and an entity and a term need ``support`` texts in common. A term is
+a whole word outside the found values, of four letters or more, or shorter and
+capitalised (or of a script without case). Only documents with a mention change.
+
+All of it is SQL functions. Copies are combined before they are shuffled, entities of
+fewer than ``support`` texts go before pairs are made, pairs are pre-aggregated, and
+joins on entities, terms and texts are salted.
 
 Cases: null or empty text has no spans; repeated rows and null ids give one row
 each; overlapping spans of several kinds are all reported, and rewritten once;
@@ -34,21 +37,21 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _HINT = {"email": "@", "phone": "+"}
-_TERM = r"(?<![\p{L}\p{N}])\p{L}{4,}+(?!\p{N})"
+_TERM = r"(?<![\p{L}\p{N}])(?:\p{L}{4,}+|[\p{Lu}\p{Lt}\p{Lo}]\p{L}{0,2}+)(?![\p{L}\p{N}])"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-CONTEXT = 48
+SALTS = 16
 SUPPORT = 2
 DISCLOSE, REMOVE = 0.8, 0.99
 _FOUND = "array<struct<start:int,end:int,value:string>>"
-_TERMS = "array<struct<term:string,start:int,end:int>>"
+_PLACES = "array<struct<start:int,end:int,gone:boolean>>"
 
 
-def _matches(text: Column, pattern: str) -> Column:
+def _matches(text: Column, pattern: Column) -> Column:
     """Matches with code point offsets: the pieces between them give the places."""
     step = lambda acc, x: let(acc["at"] + F.length(x["piece"]), lambda start: F.struct(
         (start + F.length(x["value"])).alias("at"),
         F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value")))).alias("out")))
-    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1),
+    pairs = F.zip_with(F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1),
                        lambda m, p: F.struct(m.alias("value"), p.alias("piece")))
     return F.aggregate(F.filter(pairs, lambda x: x["value"].isNotNull()), F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out")),
                        step, lambda acc: acc["out"])
@@ -73,85 +76,96 @@ def base_spans(text: Column) -> Column:
     """Array of (kind, start, end, value), by kind and then start."""
     def of_kind(kind, pattern):
         there = F.contains(text, F.lit(_HINT[kind])) if kind in _HINT else text.rlike(pattern)
-        found = F.when(there, _matches(text, pattern)).otherwise(F.array().cast(_FOUND))
+        found = F.when(there, _matches(text, F.lit(pattern))).otherwise(F.array().cast(_FOUND))
         return F.transform(F.filter(found, lambda m: _valid(kind, m["value"])), lambda m: F.struct(
             F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
     return F.concat(*[of_kind(*x) for x in PATTERNS.items()])
 
 
-def _contexts(text: Column, spans: Column, width: int) -> Column:
-    """Per span: the entity, a hash of its surroundings, and the whole words there outside spans."""
-    def around(s):
-        left = F.greatest(s["start"] - width, F.lit(0))
-        before, after = F.substring(text, left + 1, s["start"] - left), F.substring(text, s["end"] + 1, F.lit(width))
-        cut = lambda ctx, at, first, last: F.transform(
-            F.filter(_matches(ctx, _TERM), lambda m: ~((m["start"] == 0) & first) & ~((m["end"] == F.length(ctx)) & last)),
-            lambda m: F.struct(F.lower(m["value"]).alias("term"), (m["start"] + at).alias("start"), (m["end"] + at).alias("end")))
-        words = F.concat(cut(before, left, left > 0, F.lit(False)), cut(after, s["end"], F.lit(False), s["end"] + width < F.length(text)))
-        free = F.filter(words, lambda t: ~F.exists(spans, lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"])))
-        return F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), F.xxhash64(before, after).alias("context"), free.alias("terms"))
-    return F.transform(spans, around)
-
-
-def disclosing(docs: DataFrame, mentions: DataFrame, support: int = SUPPORT, disclose: float = DISCLOSE, remove: float = REMOVE) -> DataFrame:
-    """(entity, term, gone) of the terms that tell too much; ``mentions`` has entity, context, terms."""
-    n = docs.count()
-    entities = mentions.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = (mentions.select("entity", "context", F.explode("terms.term").alias("term")).distinct()
-             .groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support))
-    seen = F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(_TERM), F.lit(0)))
-    terms = docs.select(F.explode(seen).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    counted = pairs.join(terms, "term").join(entities, "entity").where(F.col("n_e") < n)
-    n_t = F.greatest("n_t", "n_te")
-    share = F.log2(F.col("n_te") * F.lit(float(n)) / (n_t * F.col("n_e"))) / F.log2(F.lit(float(n)) / F.col("n_e"))
-    return counted.withColumn("share", share).where(F.col("share") >= disclose).select("entity", "term", (F.col("share") >= remove).alias("gone"))
-
-
-def _with_spans(docs: DataFrame, width: int) -> DataFrame:
-    return docs.withColumn("__spans", let(text_of(), base_spans)).withColumn(
-        "__contexts", F.when(F.size("__spans") > 0, let(text_of(), lambda t: _contexts(t, F.col("__spans"), width))))
-
-
-def _term_spans(rows: DataFrame, docs: DataFrame, **limits) -> DataFrame:
-    """Per row id the places of disclosing terms. ``rows``: __rid and __contexts."""
-    mentions = rows.where("__contexts IS NOT NULL").select("__rid", F.inline("__contexts"))
-    tell = disclosing(docs, mentions, **limits)
-    places = mentions.select("__rid", "entity", F.explode("terms").alias("t")).select("__rid", "entity", "t.*")
-    return places.join(tell, ["entity", "term"]).groupBy("__rid", "start", "end").agg(F.max("gone").alias("gone")) \
-        .groupBy("__rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "gone"))).alias("__terms"))
-
-
-_NO_TERMS = "array<struct<start:int,end:int,gone:boolean>>"
-
-
-def personal_data(docs: DataFrame, width: int = CONTEXT, **limits) -> DataFrame:
+def _rewritten(text: Column, marks: Column) -> Column:
+    """``text`` with each of ``marks`` (start, end, by) replaced; of overlapping ones the first."""
+    step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
+        s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), s["by"]).alias("out")))
+    return F.aggregate(F.sort_array(marks), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+                       lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def _mark(s: Column, by: Column) -> Column:
+    return F.struct(s["start"].alias("start"), s["end"].alias("end"), by.alias("by"))
+
+
+def _masked() -> Column:
+    """The text with blanks for found values, so that offsets stay; of overlapping ones each blanks what is left of it."""
+    blank = lambda s, k: F.repeat(F.lit(" "), s["end"] - F.greatest(s["start"], F.coalesce(
+        F.array_max(F.transform(F.slice("__ordered", 1, k), lambda o: o["end"])), F.lit(0))))
+    return F.when(F.size("__spans") == 0, text_of()).otherwise(_rewritten(text_of(), F.transform("__ordered", lambda s, k: _mark(s, blank(s, k)))))
+
+
+def _prepared(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of ``docs`` written with spans, a text hash, the entities and the distinct terms; ``__text`` is the masked text of mentions."""
+    found = docs.withColumn("__spans", let(text_of(), base_spans))
+    found = found.withColumn("__ordered", F.sort_array(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+    found = found.withColumn("__text", _masked()).drop("__ordered")
+    return written(found.select(
+        *columns, "__spans", F.monotonically_increasing_id().alias("__rid"), F.xxhash64(text_of()).alias("__hash"),
+        F.array_distinct(F.transform("__spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"])))).alias("__entities"),
+        F.array_distinct(F.transform(F.regexp_extract_all("__text", F.lit(_TERM), F.lit(0)), F.lower)).alias("__words"),
+        F.when(F.size("__spans") > 0, F.col("__text")).alias("__text")))
+
+
+def _salted(rows: DataFrame, by: str, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join of ``rows`` with ``other``, whose keys are unique; a common key is dealt out by a hash of ``by``."""
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    each = other.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(each, [*on, "__salt"], how).drop("__salt")
+
+
+def _told(rows: DataFrame, support: int = SUPPORT, disclose: float = DISCLOSE, remove: float = REMOVE) -> DataFrame:
+    """Per text hash the (term, gone) that tell too much of an entity there."""
+    texts = written(rows.groupBy("__hash").agg(F.first("__entities").alias("__entities"), F.first("__words").alias("__words")))
+    n = texts.count()
+    entities = (texts.select(F.explode("__entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+                .where((F.col("n_e") >= support) & (F.col("n_e") < n)))
+    terms = texts.select(F.explode("__words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
+    mentions = _salted(texts.select("__hash", F.explode("__entities").alias("entity")), "__hash", entities, ["entity"])
+    wanted = mentions.groupBy("__hash").agg(F.collect_list(F.struct("entity", "n_e")).alias("m"))
+    pairs = texts.where(F.size("__entities") > 0).select("__hash", "__words").join(wanted, "__hash").select("__hash", "__words", F.inline("m")) \
+        .select("__hash", "entity", "n_e", F.explode("__words").alias("term"))
+    both = pairs.groupBy("entity", "term", "n_e").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+    share = F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e"))) / F.log2(F.lit(float(n)) / F.col("n_e"))
+    tell = _salted(both, "entity", terms, ["term"]).withColumn("share", share).where(F.col("share") >= disclose) \
+        .select("entity", "term", (F.col("share") >= remove).alias("gone"))
+    return _salted(pairs.select("__hash", "entity", "term"), "__hash", tell, ["entity", "term"]) \
+        .groupBy("__hash", "term").agg(F.max("gone").alias("gone")) \
+        .groupBy("__hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("__told"))
+
+
+def _with_terms(rows: DataFrame, corpus: DataFrame, **limits) -> DataFrame:
+    """``rows`` with ``__terms``: every place (start, end, gone) of a disclosing term of the row's text."""
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?iu:"), F.array_join(F.map_keys("__told"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    places = F.transform(_matches(F.col("__text"), pattern), lambda m: F.struct(
+        m["start"].alias("start"), m["end"].alias("end"), F.coalesce(F.try_element_at(F.col("__told"), F.lower(m["value"])), F.lit(False)).alias("gone")))
+    return _salted(rows, "__rid", _told(corpus, **limits), ["__hash"], "left") \
+        .withColumn("__terms", F.when(F.col("__told").isNotNull() & F.col("__text").isNotNull(), places).otherwise(F.array().cast(_PLACES)))
+
+
+def personal_data(docs: DataFrame, **limits) -> DataFrame:
     """One row per document: counts per kind, a digest of the base spans, and all spans."""
-    docs = docs.select("doc_id", "text")
-    rows = written(_with_spans(docs, width).select(F.monotonically_increasing_id().alias("__rid"), "doc_id", "__spans", "__contexts"))
-    out = rows.drop("__contexts").join(_term_spans(rows, docs, **limits), "__rid", "left")
+    rows = _prepared(docs.select("doc_id", "text"), ["doc_id"])
+    out = _with_terms(rows, rows, **limits)
     count = lambda kind: F.size(F.filter("__spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     told = F.transform("__spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
-    more = F.transform(F.coalesce("__terms", F.array().cast(_NO_TERMS)), lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["end"]))
+    more = F.transform("__terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["end"]))
     return out.select("doc_id", *map(count, PATTERNS), F.sha2(F.array_join(told, ","), 256).alias("base_sha256"),
                       F.array_join(F.concat(told, more), ",").alias("spans"))
 
 
-def sanitised(docs: DataFrame, width: int = CONTEXT, **limits) -> DataFrame:
+def sanitised(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` with found values replaced by their kind, and disclosing terms generalised or removed."""
-    columns = docs.columns
-    found = _with_spans(docs, width)
-    rows = written(found.where(F.size("__spans") > 0).withColumn("__rid", F.monotonically_increasing_id()))
-    joined = rows.join(_term_spans(rows, docs, **limits), "__rid", "left")
-    marked = F.concat(
-        F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by"))),
-        F.transform(F.coalesce("__terms", F.array().cast(_NO_TERMS)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["gone"], "").otherwise("[WORD]").alias("by"))))
-    text = F.col("text")
-    step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
-        s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), s["by"]).alias("out")))
-    new = F.aggregate(F.sort_array(marked), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-                      lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    changed = joined.withColumn("text", new)
-    if "n_chars" in columns:
+    rows = _prepared(docs, docs.columns)
+    marks = F.concat(F.transform("__spans", lambda s: _mark(s, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))),
+                     F.transform("__terms", lambda s: _mark(s, F.when(s["gone"], "").otherwise("[WORD]"))))
+    changed = _with_terms(rows.where(F.size("__spans") > 0), rows, **limits).withColumn("text", _rewritten(F.col("text"), marks))
+    if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    untouched = docs.where(F.size(let(text_of(), base_spans)) == 0)
-    return untouched.select(columns).unionByName(changed.select(columns))
+    return rows.where(F.size("__spans") == 0).select(docs.columns).unionByName(changed.select(docs.columns))
