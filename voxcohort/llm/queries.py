@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from voxcohort.llm import ann, bpe, licenses, neardup, packing, pii, quality_gam, quality_rules, toxicity, warc
+from voxcohort.llm import align, ann, bpe, licenses, neardup, packing, pii, quality_gam, quality_rules, toxicity, warc
 from voxcohort.llm.common import table
 
 QUERIES: dict = {}
@@ -64,3 +64,8 @@ def op9_word_bpe(spark, sf_dir):
 @_query
 def op10_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op13_tokenizer_alignment(spark, sf_dir):
+    return align.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
