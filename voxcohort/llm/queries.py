@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from voxcohort.llm import align, ann, bpe, licenses, neardup, packing, pii, quality_gam, quality_rules, toxicity, warc
+from voxcohort.llm import align, ann, bpe, licenses, neardup, packing, pii, quality_gam, quality_rules, toxicity, warc, whiten
 from voxcohort.llm.common import table
 
 QUERIES: dict = {}
@@ -69,3 +69,8 @@ def op10_quality_rules(spark, sf_dir):
 @_query
 def op13_tokenizer_alignment(spark, sf_dir):
     return align.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query
+def op12_embedding_whitening(spark, sf_dir):
+    return whiten.whitening(table(spark, sf_dir, "embeddings"))
