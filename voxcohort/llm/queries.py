@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from voxcohort.llm import align, ann, bpe, licenses, neardup, packing, pii, quality_gam, quality_rules, toxicity, warc, whiten
+from voxcohort.llm import align, ann, bpe, countjoin, licenses, neardup, packing, pii, quality_gam, quality_rules, toxicity, warc, whiten
 from voxcohort.llm.common import table
 
 QUERIES: dict = {}
@@ -74,3 +74,8 @@ def op13_tokenizer_alignment(spark, sf_dir):
 @_query
 def op12_embedding_whitening(spark, sf_dir):
     return whiten.whitening(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op11_ngram_join(spark, sf_dir):
+    return countjoin.joined(table(spark, sf_dir, "documents"))
