@@ -8,11 +8,7 @@ Fragments compose associatively: the left suffix and the right prefix close one
 A document beyond ``chunk`` bytes becomes one fragment per byte range, and a tree of
 grouped reductions, ``FAN`` neighbours at a time, composes them across tasks.
 
-A space between two visible characters ends a token of both (the byte-level splitter
-starts a new piece there, and no piece of the other vocabulary goes on over one), so
-texts are tokenized in units cut at such spaces, and a unit's closed fragment is kept in
-a bounded cache of the task's process. A piece vocabulary without that property is
-given whole texts.
+Documents of a slice are aligned together, in flat arrays of token ends.
 
 Counts of linked id pairs are summed per task, then by Spark. Every document's pairs
 meet them in slices: a slice of the count table (at most ``SLICE`` pairs) is sent to
@@ -29,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -39,18 +34,15 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from voxcohort.llm.bpe import byte_symbols
+from voxcohort.llm import packing
 from voxcohort.llm.common import text_slices, written
 
 CHUNK = 1 << 16        # bytes of a fragment of a long document
 FAN = 16               # neighbouring fragments composed by one group
 SLICE = 1 << 20        # id pairs of a slice of the count table
-CACHE = 200_000        # units kept by a process
 PAIRS = 1 << 20        # id pairs a task sums before it passes them on
 MIX = 1_000_003        # deals id pairs to slices
-_CUT = re.compile(r"(?<=\S) (?=\S)")
 _SPACE = "▁"
 _LOADED: dict[tuple[str, str], Tokens] = {}
 
@@ -81,23 +73,60 @@ class Fragment:
 
 
 class Tokens:
-    """Both vocabularies: token bytes, and closed fragments of units."""
+    """Both tokenizers and the bytes of their tokens."""
 
     def __init__(self, a_path: str, b_path: str):
-        with open(a_path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation(), self.a.no_padding()
-        byte = {s: b for b, s in enumerate(byte_symbols())}
-        special = {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
-        names = {i: bytes(byte[c] for c in s) for s, i in spec["model"]["vocab"].items() if i not in special} | special
-        self.a_bytes = [names.get(i, b"") for i in range(max(names) + 1)]
+        self.a = packing.loaded(a_path).fast
+        self.a_bytes = [b""] * self.a.n_vocab
+        for i, name in packing.loaded(a_path).names.items():
+            self.a_bytes[i] = name
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.in_units = not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
-        self.cache: dict[str, tuple] = {}
+        self.a_size, self.b_size = (np.array(list(map(len, names)), np.int64) for names in (self.a_bytes, self.b_bytes))
+        self.marked = [f"{i}{mark}" for i in range(max(len(self.a_bytes), len(self.b_bytes))) for mark in ",|;"]
+
+    def encoded(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of both tokenizers; None for texts without tokens."""
+        out, theirs = [], self.b.encode([t or "" for t in texts], num_threads=1)
+        for t, b in zip(texts, theirs):
+            if not t:
+                out.append(None)
+                continue
+            text, raw = " " + t, b" " + t.encode()
+            a = self.a.encode_to_numpy(text, disallowed_special=())
+            same = b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
+            out.append((a.astype(np.int64), np.array(b, np.int64)) if same else None)
+        return out
+
+    def flat(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, bytes, int, bytes, bytes, bytes]]:
+        """n_groups, n_links, digest and histogram of the links of whole documents, aligned together."""
+        a, b = (np.concatenate(side) for side in zip(*pairs))
+        ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        stops = ends[0][np.cumsum([len(x) for x, _ in pairs]) - 1]
+        place = np.minimum(np.searchsorted(ends[1], ends[0]), len(b) - 1)
+        common = ends[0][ends[1][place] == ends[0]]
+        every = np.unique(np.concatenate(ends))
+        doc = np.searchsorted(stops, every)
+        width = len(self.b_bytes)
+        code = a[np.searchsorted(ends[0], every)] * width + b[np.searchsorted(ends[1], every)]
+        span = len(self.a_bytes) * width
+        found, times = np.unique(doc * span + code, return_counts=True)
+        links, groups = (np.bincount(x, minlength=len(pairs)) for x in (doc, np.searchsorted(stops, common)))
+        # every group's A ids, then its B ids, each with the mark behind it
+        key = np.concatenate([2 * np.searchsorted(common, ends[0]), 2 * np.searchsorted(common, ends[1]) + 1])
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        last = np.r_[key[1:] != key[:-1], True]
+        text = list(map(self.marked.__getitem__, (np.concatenate([a, b])[order] * 3 + np.where(last, 1 + key % 2, 0)).tolist()))
+        size = np.cumsum([0, *(len(x) + len(y) for x, y in pairs)]).tolist()
+        cut = np.searchsorted(found, np.arange(len(pairs) + 1) * span).tolist()
+        out = []
+        for n in range(len(pairs)):
+            own = found[cut[n]:cut[n + 1]] - n * span
+            body = hashlib.sha256("".join(text[size[n]:size[n + 1]])[:-1].encode()).hexdigest().encode()
+            out.append((int(groups[n]), int(links[n]), body, len(own), packed(own // width), packed(own % width), packed(times[cut[n]:cut[n + 1]])))
+        return out
 
     def closed(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]], bool]:
         """Groups and links of tokens that start together, and whether they end together."""
@@ -121,40 +150,9 @@ class Tokens:
                 right = len(lb[b[j]]) if j < len(b) else 0
         return groups, links, i0 == len(a) and j0 == len(b)
 
-    def learn(self, units: list[str]) -> None:
-        """Tokenize and align units, all of which start behind a space."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        ours = self.a.encode_batch([" " + u for u in units], add_special_tokens=False)
-        theirs = self.b.encode(units, num_threads=1)
-        for u, one, b in zip(units, ours, theirs):
-            a, raw = one.ids, b" " + u.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
-                self.cache[u] = None
-                continue
-            groups, links, _ = self.closed(a, b)
-            code = np.array([x << 32 | y for x, y in links], np.int64).tobytes()
-            self.cache[u] = a, b, len(raw), len(groups), code, ";".join(group_text(*g) for g in groups)
-
-    def units(self, texts: list[str | None]) -> list[list[tuple] | None]:
-        """Every text's units; None where it has no tokens."""
-        cut = [(_CUT.split(t) if self.in_units else [t]) if t else [] for t in texts]
-        new = {u for us in cut for u in us if u not in self.cache}
-        if len(self.cache) + len(new) > CACHE and new:
-            new = {u for us in cut for u in us}
-            self.cache.clear()
-        if new:
-            self.learn(list(new))
-        out = []
-        for us in cut:
-            found = list(map(self.cache.__getitem__, us))
-            out.append(found if found and None not in found else None)
-        return out
-
-    def fragments(self, a: list[int], b: list[int], chunk: int) -> list[Fragment]:
+    def fragments(self, a_ids: np.ndarray, b_ids: np.ndarray, chunk: int) -> list[Fragment]:
         """A document's tokens cut by the bytes at which they end."""
-        a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
-        ends = [np.cumsum([len(names[i]) for i in ids]) for names, ids in ((self.a_bytes, a), (self.b_bytes, b))]
+        ends = [np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])]
         common = np.intersect1d(*ends)
         out = []
         for k in range(-(-int(ends[0][-1]) // chunk)):
@@ -228,23 +226,26 @@ def _fragment(row) -> Fragment:
 
 def _document_rows(docs: DataFrame, a_path: str, b_path: str, chunk: int) -> DataFrame:
     """A row per document, or one per fragment of a document beyond ``chunk`` bytes."""
-    def rows(tokens, rid, doc, units):
-        if units is None:
-            return [(rid, doc, 0, 1, 0, 0, 0, 0, None, 0, b"", b"", b"", None)]
-        a, b = ([i for u in units for i in u[n]] for n in (0, 1))
-        if sum(u[2] for u in units) <= chunk:
-            codes, times = np.unique(np.frombuffer(b"".join(u[4] for u in units), np.int64), return_counts=True)
-            body = hashlib.sha256(";".join(u[5] for u in units).encode()).hexdigest().encode()
-            return [(rid, doc, 0, 1, len(a), len(b), sum(u[3] for u in units), int(times.sum()), body, *_histogram(codes, times), None)]
-        parts = tokens.fragments(a, b, chunk)
-        return [(rid, doc, k, len(parts), len(a) if k == 0 else 0, len(b) if k == 0 else 0, x.groups, 0, x.body.encode(), *_fragment_row(x)) for k, x in enumerate(parts)]
+    def rows(tokens, rids, ids, texts):
+        found, short = tokens.encoded(texts), []
+        for rid, doc, pair in zip(rids, ids, found):
+            if pair is None:
+                yield rid, doc, 0, 1, 0, 0, 0, 0, None, 0, b"", b"", b"", None
+            elif tokens.a_size[pair[0]].sum() <= chunk:
+                short.append((rid, doc, pair))
+            else:
+                parts = tokens.fragments(*pair, chunk)
+                for k, x in enumerate(parts):
+                    yield rid, doc, k, len(parts), 0 if k else len(pair[0]), 0 if k else len(pair[1]), x.groups, 0, x.body.encode(), *_fragment_row(x)
+        if short:
+            for (rid, doc, (a, b)), (groups, links, body, *histogram) in zip(short, tokens.flat([p for _, _, p in short])):
+                yield rid, doc, 0, 1, len(a), len(b), groups, links, body, *histogram, None
 
     def work(batches):
         tokens = loaded(a_path, b_path)
         for batch in batches:
             for part in text_slices(batch, 2, 1 << 20):
-                out = [r for rid, doc, units in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), tokens.units(part.column(2).to_pylist()))
-                       for r in rows(tokens, rid, doc, units)]
+                out = list(rows(tokens, *(c.to_pylist() for c in part.columns)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], _COLUMNS)
     return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), "text").mapInArrow(work, _ROW)
 

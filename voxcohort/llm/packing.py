@@ -53,6 +53,7 @@ class ByteEncoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         byte = {s: b for b, s in enumerate(byte_symbols())}
         ranks = {bytes([byte[c] for c in token]): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
+        self.names = {i: name for name, i in ranks.items()}
         self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     @cached_property
