@@ -1,15 +1,21 @@
-"""Stage classifiers under cross-validation, on Spark ML estimators."""
+"""Stage classifiers under cross-validation.
+
+Logistic models and boosted trees fit all training sets together; any other Spark ML
+estimator can be plugged in and is fitted set by set.
+"""
 
 from __future__ import annotations
 
 import os
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier)
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
+from voxcohort.operators import boosting, logistic as grouped
 from voxcohort.operators import survival as sv
 from voxcohort.operators.metrics import balanced_accuracy, class_weights, fold_mean_std
 from voxcohort.session import cut
@@ -17,6 +23,25 @@ from voxcohort.session import cut
 PARALLEL_FITS = 4
 
 
+@dataclass(frozen=True)
+class Ridge:
+    """Multinomial logistic model with an L2 penalty."""
+
+    C: float = 0.5
+    balanced: bool = True
+
+
+@dataclass(frozen=True)
+class Boost:
+    """Boosted trees on histograms."""
+
+    rounds: int = 300
+    step: float = 0.06
+    l2: float = 1.0
+    depth: int = 3
+    balanced: bool = True
+
+
 # ---------------------------------------------------------------- preparation
 def labelled_sets(sets: DataFrame, features: list[str], label: str, classes: list[str]) -> DataFrame:
     """Scaled feature vector, class index and balanced weight per group and row.
@@ -88,20 +113,49 @@ def _on_pool(jobs, parallel: int):
         return list(pool.map(lambda job: job(), jobs))
 
 
+def usable_sets(sets: DataFrame, min_valid: int, min_train: int) -> DataFrame:
+    """The rows of training sets that are large enough; see ``set_sizes`` for the others."""
+    good = set_sizes(sets, min_valid, min_train).where("reason IS NULL").select("g")
+    return sets.join(good, "g", "left_semi")
+
+
+def set_sizes(sets: DataFrame, min_valid: int, min_train: int) -> DataFrame:
+    """(g, train, valid, reason): sizes of every training set and why it is not used, if so."""
+    size = sets.groupBy("g").agg(F.count_if("train").alias("train"), F.count_if(~F.col("train")).alias("valid"))
+    return size.withColumn("reason", F.when(F.col("valid") < min_valid, f"fewer than {min_valid} rows to judge")
+                           .when(F.col("train") < min_train, f"fewer than {min_train} rows to train"))
+
+
+def design(sets: DataFrame, features: list[str], label: str, classes: list[str], top_k: int | None = None) -> tuple[DataFrame, int]:
+    """Labelled sets with the feature array ``x``, cut to the ``top_k`` of each set, and its width."""
+    rows = labelled_sets(sets, features, label, classes)
+    if top_k is None or top_k >= len(features):
+        return rows, len(features)
+    chosen = select_top(anova_f(sets, features, label), top_k)
+    place = F.array(*map(F.lit, features))
+    rows = rows.join(chosen, "g").withColumn("x", F.transform("chosen", lambda f: F.element_at("x", F.array_position(place, f).cast("int"))))
+    return rows.withColumn("features", array_to_vector("x")), top_k
+
+
 def cv_predictions(sets: DataFrame, features: list[str], label: str, classes: list[str], make, keep: tuple = ("PatientID",),
                    min_valid: int = 1, min_train: int = 1, top_k: int | None = None) -> DataFrame:
-    """Out-of-group predictions (g, keep, y, p) of one estimator per group.
+    """Out-of-group predictions (g, keep, y, p) of one model per training set.
 
-    ``make`` is an estimator factory called with the training size; a few groups are
-    fitted at a time from driver threads, as Spark's own cross-validator does.
+    ``make`` is a ``Ridge`` or ``Boost``, fitted for all sets together, or an estimator
+    factory called with the training size; then a few sets are fitted at a time from
+    driver threads, as Spark's own cross-validator does.
     """
-    rows = labelled_sets(sets, features, label, classes)
-    if top_k is not None and top_k < len(features):
-        chosen = select_top(anova_f(sets, features, label), top_k)
-        place = F.array(*map(F.lit, features))
-        rows = rows.join(F.broadcast(chosen), "g").withColumn("features", array_to_vector(
-            F.transform("chosen", lambda f: F.element_at("x", F.array_position(place, f).cast("int")))))
-    rows = rows.persist()
+    if isinstance(make, Ridge):
+        rows, p = design(usable_sets(sets, min_valid, min_train), features, label, classes, top_k)
+        rows = cut(rows.select("g", "train", *keep, F.col(label).alias("_label"), "x", "y", "weight"))
+        model = grouped.fit(rows.where("train").withColumn("weight", F.col("weight") if make.balanced else F.lit(1.0)), p, len(classes), make.C)
+        return grouped.predict(rows.where("not train"), model, p, classes).select("g", *keep, F.col("_label").alias("y"), "p")
+    if isinstance(make, Boost):
+        rows, p = design(usable_sets(sets, min_valid, min_train), features, label, classes, top_k)
+        rows = rows.select("g", "train", *keep, label, F.col("weight") if make.balanced else F.lit(1.0).alias("weight"), *[F.col("x")[j].alias(f"x{j}") for j in range(p)])
+        return boosting.boosted_predictions(rows, [f"x{j}" for j in range(p)], label, classes, keep, rounds=make.rounds, depth=make.depth, step=make.step, l2=make.l2)
+    rows, _ = design(sets, features, label, classes, top_k)
+    rows = cut(rows).persist()
     size = {r["g"]: r for r in rows.groupBy("g").agg(F.count_if("train").alias("t"), F.count_if(~F.col("train")).alias("v")).collect()}
     usable = sorted(g for g, r in size.items() if r["t"] >= min_train and r["v"] >= min_valid)
     names = F.array(*map(F.lit, classes))
@@ -112,44 +166,35 @@ def cv_predictions(sets: DataFrame, features: list[str], label: str, classes: li
         out = model.transform(part.where("not train"))
         return out.select("g", *keep, F.col(label).alias("y"), names[F.col("prediction").cast("int")].alias("p"))
 
-    return reduce(DataFrame.unionByName, _on_pool([lambda g=g: job(g) for g in usable], PARALLEL_FITS))
+    out = cut(reduce(DataFrame.unionByName, _on_pool([lambda g=g: job(g) for g in usable], PARALLEL_FITS)))
+    rows.unpersist()
+    return out
 
 
 def ordinal_predictions(sets: DataFrame, features: list[str], label: str, classes: list[str], C: float = 0.5,
                         keep: tuple = ("PatientID",), min_valid: int = 5, min_train: int = 20) -> DataFrame:
     """Ordinal class from the binary models P(class >= k): largest clipped difference wins.
 
-    A threshold the training labels never cross contributes probability 0.
+    All thresholds of all sets are fitted together, each balanced over its two sides. A
+    threshold the training labels never cross contributes probability 0.
     """
-    base = cut(sets).withColumn("rank", F.array_position(F.array(*map(F.lit, classes)), F.col(label)) - 1)
-    x = sv.standardise(base, sv.prep_params(base, features), features).withColumn("features", array_to_vector("x")).persist()
+    base = usable_sets(cut(sets), min_valid, min_train).withColumn("rank", F.array_position(F.array(*map(F.lit, classes)), F.col(label)) - 1)
+    x = cut(sv.standardise(base, sv.prep_params(base, features), features).select("g", "train", *keep, F.col(label).alias("y"), "rank", "x", F.monotonically_increasing_id().alias("_row")))
     steps = range(1, len(classes))
-    size = {r["g"]: r for r in x.groupBy("g").agg(
-        F.count_if("train").alias("t"), F.count_if(~F.col("train")).alias("v"),
-        *[F.count_if(F.col("train") & (F.col("rank") >= k)).alias(f"k{k}") for k in steps]).collect()}
-    usable = sorted(g for g, r in size.items() if r["t"] >= min_train and r["v"] >= min_valid)
+    step = F.explode(F.array(*map(F.lit, steps))).alias("k")
+    up = (F.col("rank") >= F.col("k")).cast("int")
+    train = x.where("train").select("g", "rank", "x", step).withColumn("up", up)
+    sides = train.groupBy("g", "k").agg(F.count("*").alias("n"), F.sum("up").alias("ones")).where("ones > 0 AND ones < n")
+    weight = F.when(F.col("up") == 1, F.col("n") / (2.0 * F.col("ones"))).otherwise(F.col("n") / (2.0 * (F.col("n") - F.col("ones"))))
+    name = F.concat_ws("|", "g", "k")
+    model = grouped.fit(train.join(sides, ["g", "k"]).select(name.alias("g"), "x", F.col("up").alias("y"), weight.alias("weight")), len(features), 2, C)
+    asked = x.where("not train").select(F.col("g").alias("_set"), "_row", *keep, "y", "x", step).withColumn("g", F.concat_ws("|", "_set", "k"))
+    at = grouped.probability(asked, model, len(features), "ge").groupBy(F.col("_set").alias("g"), "_row", *keep, "y").agg(
+        *[F.coalesce(F.max(F.when(F.col("k") == k, F.col("ge"))), F.lit(0.0)).alias(f"ge{k}") for k in steps])
+    ge = [F.lit(1.0), *[F.col(f"ge{k}") for k in steps], F.lit(0.0)]
+    share = F.array(*[F.greatest(ge[k] - ge[k + 1], F.lit(0.0)) for k in range(len(classes))])
     names = F.array(*map(F.lit, classes))
-
-    def job(g):
-        part = x.where(F.col("g") == g)
-        train, out = part.where("train"), part.where("not train")
-        n = size[g]["t"]
-        for k in steps:
-            ones = size[g][f"k{k}"]
-            if ones in (0, n):
-                out = out.withColumn(f"ge{k}", F.lit(0.0))
-                continue
-            up = F.col("rank") >= k
-            rows = train.withColumns({"y": up.cast("double"), "weight": F.when(up, n / (2.0 * ones)).otherwise(n / (2.0 * (n - ones)))})
-            model = logistic(n, C, binary=True).fit(rows)
-            model.setProbabilityCol(f"prob{k}").setRawPredictionCol(f"raw{k}").setPredictionCol(f"pred{k}")
-            out = model.transform(out).withColumn(f"ge{k}", vector_to_array(f"prob{k}")[1])
-        ge = [F.lit(1.0), *[F.col(f"ge{k}") for k in steps], F.lit(0.0)]
-        share = F.array(*[F.greatest(ge[k] - ge[k + 1], F.lit(0.0)) for k in range(len(classes))])
-        best = F.array_position(share, F.array_max(share)).cast("int") - 1
-        return out.select("g", *keep, F.col(label).alias("y"), names[best].alias("p"))
-
-    return reduce(DataFrame.unionByName, _on_pool([lambda g=g: job(g) for g in usable], PARALLEL_FITS))
+    return at.select("g", *keep, "y", names[(F.array_position(share, F.array_max(share)) - 1).cast("int")].alias("p"))
 
 
 def pooled_score(predictions: DataFrame) -> DataFrame:

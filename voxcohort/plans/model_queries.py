@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from voxcohort import fixtures as fx
 from voxcohort.functions import clinical as cl
 from voxcohort.functions import staging
-from voxcohort.operators import classify as cy
+from voxcohort.operators import boosting, classify as cy
+from voxcohort.operators import logistic as grouped
 from voxcohort.operators import metrics, ranks
 from voxcohort.operators import survival as sv
+from voxcohort.plans import logistic_sql as lsql
 from voxcohort.plans.cohort_queries import _scratch, pair_sql, r6, sql6, staged
 from voxcohort.plans.registry import query, view
 from voxcohort.plans.views import rule
@@ -81,18 +83,29 @@ def m7(spark, sf):
 
 
 # ------------------------------------------------------------- M3-M12 classifiers
-def by_kind(kind):
-    return lambda n: cy.estimator(kind, n)
-
-
 def small_forest(n):
     return cy.forest(trees=400, depth=6)
 
 
-@query("m3_logistic_cv")
+lsql.multinomial_views("m3c", SIZE[:2], cl.N_CLASSES, min_valid=5, min_train=20)
+lsql.multinomial_views("m3l", SIZE + LAT, cl.N_CLASSES, min_valid=5, min_train=20)
+lsql.score_views("m3l")
+
+
+@query("m3_logistic_coefficients", """SELECT g, k - 1 AS class, j - 1 AS term, round(CASE WHEN j = 1 THEN b[k][j] - (b[1][1] + b[2][1] + b[3][1] + b[4][1]) / 4 ELSE b[k][j] END, 5) AS coefficient
+  FROM m3c_fit, range(1, 5) t(k), range(1, 4) u(j)""")
+def m3_coefficients(spark, sf):
+    """Intercept (centred over the classes) and slopes of every fold's model."""
+    rows, p = cy.design(cy.usable_sets(stage_sets(spark, sf), 5, 20), SIZE[:2], "N", cl.N_CLASSES)
+    model = grouped.fit(rows.where("train"), p, len(cl.N_CLASSES))
+    cell = model.where("converged").select("g", F.posexplode("beta").alias("at", "coefficient"))
+    return cell.select("g", F.expr("at div 3").cast("long").alias("class"), (F.col("at") % 3).cast("long").alias("term"), F.round("coefficient", 5).alias("coefficient"))
+
+
+@query("m3_logistic_cv", f"SELECT g, {sql6('balanced_accuracy')}, n FROM m3l_by")
 def m3(spark, sf):
-    p = cy.cv_predictions(stage_sets(spark, sf), SIZE + LAT, "N", cl.N_CLASSES, by_kind("LogReg"), min_valid=5, min_train=20)
-    return metrics.balanced_accuracy(p, group=["g"])
+    p = cy.cv_predictions(stage_sets(spark, sf), SIZE + LAT, "N", cl.N_CLASSES, cy.Ridge(), min_valid=5, min_train=20)
+    return metrics.balanced_accuracy(p, group=["g"]).select("g", *r6("balanced_accuracy"), "n")
 
 
 @query("m3_logistic_score_residual", "SELECT true AS at_optimum")
@@ -114,10 +127,35 @@ def m3_residual(spark, sf):
     return prob.agg(all_small.alias("at_optimum"))
 
 
+view("m4_base", "SELECT cast(f AS VARCHAR) AS g, fold IS DISTINCT FROM f AS train, y, cast(max_node_mm AS DOUBLE) AS f0, cast(gtvn_total_ml AS DOUBLE) AS f1, cast(gtvp_ml AS DOUBLE) AS f2 FROM staged, (VALUES (0),(1),(2),(3),(4)) t(f)", ("staged",))
+view("m4_rows", """SELECT g, y, f, v, row_number() OVER (PARTITION BY g, f ORDER BY v) AS r, count(*) OVER (PARTITION BY g, f) AS n
+  FROM (SELECT g, y, unnest([0, 1, 2]) AS f, unnest([f0, f1, f2]) AS v FROM m4_base WHERE train)""", ("m4_base",))
+view("m4_edges", "SELECT g, f, k, v AS edge FROM m4_rows JOIN range(1, 256) t(k) ON r = greatest(1, ceil(k / 256 * n))", ("m4_rows",))
+view("m4_w", "SELECT g, y, sum(count(*)) OVER (PARTITION BY g) / (count(*) OVER (PARTITION BY g) * count(*)) AS w FROM m4_base WHERE train GROUP BY g, y", ("m4_base",))
+view("m4_gh", """SELECT g, f, v, 'N' || c AS class, w * (sh - (y = 'N' || c)::INT) AS gr, w * sh * (1 - sh) AS he FROM m4_rows JOIN m4_w USING (g, y), range(0, 4) t(c)
+  JOIN (SELECT g AS g2, y AS y2, w * cnt / sum(w * cnt) OVER (PARTITION BY g) AS sh FROM m4_w JOIN (SELECT g, y, count(*) AS cnt FROM m4_base WHERE train GROUP BY 1, 2) USING (g, y)) q ON q.g2 = g AND q.y2 = 'N' || c""", ("m4_rows", "m4_w", "m4_base"))
+view("m4_left", """SELECT e.g, e.f, e.k, class, sum(gr) AS gl, sum(he) AS hl, count(*) AS nl FROM m4_edges e JOIN m4_gh r ON r.g = e.g AND r.f = e.f AND r.v <= e.edge GROUP BY 1, 2, 3, 4""", ("m4_edges", "m4_gh"))
+view("m4_all", "SELECT g, f, class, sum(gr) AS ga, sum(he) AS ha, count(*) AS na FROM m4_gh GROUP BY 1, 2, 3", ("m4_gh",))
+
+
+@query("m4_first_splits", """SELECT g, class, feature, gain FROM (
+  SELECT g, class, f AS feature, k, round(gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1), 7) AS gain
+  FROM m4_left JOIN m4_all USING (g, f, class) WHERE nl >= 20 AND na - nl >= 20 AND hl >= 0.001 AND ha - hl >= 0.001)
+  QUALIFY row_number() OVER (PARTITION BY g, class ORDER BY gain DESC, feature, k) = 1""")
+def m4_first(spark, sf):
+    """Feature and gain of the first split of every fold's and class's first tree."""
+    sets = cy.usable_sets(stage_sets(spark, sf), 1, 1)
+    weights = metrics.class_weights(sets.where("train"), "N", ["g"]).select("g", "N", "weight")
+    coded = sets.join(weights, ["g", "N"]).withColumn("y", F.array_position(F.array(*map(F.lit, cl.N_CLASSES)), F.col("N")) - 1)
+    _, trees = boosting.boosted(coded.select("g", "train", "y", "weight", *SIZE), SIZE, 4, rounds=1)
+    first = trees.where("round = 0 AND node = 1 AND feature >= 0")
+    return first.select("g", F.concat(F.lit("N"), F.col("class")).alias("class"), "feature", *r6("gain"))
+
+
 @query("m4_boosted_cv")
 def m4(spark, sf):
-    p = cy.cv_predictions(stage_sets(spark, sf), SIZE, "N", cl.N_CLASSES, lambda n: cy.boosted(rounds=10))
-    return cy.pooled_score(p)
+    """300 rounds for every fold."""
+    return cy.pooled_score(cy.cv_predictions(stage_sets(spark, sf), SIZE, "N", cl.N_CLASSES, cy.Boost()))
 
 
 @query("m5_forest_cv")
@@ -126,28 +164,50 @@ def m5(spark, sf):
     return cy.mean_score(p)
 
 
-@query("m6_ordinal_cv")
+lsql.ordinal_views("m6o", SIZE + LAT, cl.N_CLASSES, min_valid=5, min_train=20)
+lsql.score_views("m6o")
+FOLDS = "SELECT round(avg(balanced_accuracy), 7) AS mean, round(stddev_pop(balanced_accuracy), 7) AS std, count(*) AS folds FROM "
+
+
+@query("m6_ordinal_cv", FOLDS + "m6o_by")
 def m6(spark, sf):
     p = cy.ordinal_predictions(stage_sets(spark, sf), SIZE + LAT, "N", cl.N_CLASSES)
-    return cy.mean_score(p)
+    return cy.mean_score(p).select(*r6("mean", "std"), "folds")
+
 
+lsql.multinomial_views("m8l", SIZE, cl.N_CLASSES)
 
-@query("m8_pooled_oof")
+
+@query("m8_pooled_oof", "SELECT round(avg(recall), 7) AS balanced_accuracy, cast(sum(n) AS BIGINT) AS n FROM (SELECT y, avg(CASE WHEN p = y THEN 1.0 ELSE 0.0 END) AS recall, count(*) AS n FROM m8l_pred GROUP BY 1)")
 def m8(spark, sf):
-    p = cy.cv_predictions(stage_sets(spark, sf), SIZE, "N", cl.N_CLASSES, by_kind("LogReg"))
-    return cy.pooled_score(p)
+    p = cy.cv_predictions(stage_sets(spark, sf), SIZE, "N", cl.N_CLASSES, cy.Ridge())
+    return cy.pooled_score(p).select(*r6("balanced_accuracy"), "n")
 
 
 @query("m9_fold_mean")
 def m9(spark, sf):
-    p = cy.cv_predictions(stage_sets(spark, sf), NUM, "N", cl.N_CLASSES, by_kind("LogRegPlain"), top_k=4)
+    p = cy.cv_predictions(stage_sets(spark, sf), NUM, "N", cl.N_CLASSES, cy.Ridge(balanced=False), top_k=4)
     return cy.mean_score(p)
 
 
-@query("m10_leave_one_center_out")
+lsql.multinomial_views("m9l", NUM, cl.N_CLASSES, balanced=False)
+lsql.score_views("m9l")
+
+
+@query("m9_fold_mean_all_features", FOLDS + "m9l_by")
+def m9_all(spark, sf):
+    p = cy.cv_predictions(stage_sets(spark, sf), NUM, "N", cl.N_CLASSES, cy.Ridge(balanced=False))
+    return cy.mean_score(p).select(*r6("mean", "std"), "folds")
+
+
+lsql.multinomial_views("m10l", SIZE + LAT, cl.N_CLASSES, by="center", min_valid=5, min_train=20)
+lsql.score_views("m10l")
+
+
+@query("m10_leave_one_center_out", FOLDS + "m10l_by")
 def m10(spark, sf):
-    p = cy.cv_predictions(stage_sets(spark, sf, "center"), SIZE + LAT, "N", cl.N_CLASSES, by_kind("LogReg"), min_valid=5, min_train=20)
-    return cy.mean_score(p)
+    p = cy.cv_predictions(stage_sets(spark, sf, "center"), SIZE + LAT, "N", cl.N_CLASSES, cy.Ridge(), min_valid=5, min_train=20)
+    return cy.mean_score(p).select(*r6("mean", "std"), "folds")
 
 
 @query("m11_rule_scores", """SELECT 'cv' AS scheme, round(avg(ba), 7) AS score FROM by_fold UNION ALL SELECT 'loco', round(avg(ba), 7) FROM by_center
@@ -165,7 +225,7 @@ def m12(spark, sf):
         sets = stage_sets(spark, sf, scheme).persist()
         for name, feats in (("size", SIZE), ("geometry", cl.GEOMETRY + LAT)):
             for k in (2, len(feats)):
-                p = cy.cv_predictions(sets, feats, "N", cl.N_CLASSES, by_kind("LogReg"), min_valid=5, min_train=20, top_k=k)
+                p = cy.cv_predictions(sets, feats, "N", cl.N_CLASSES, cy.Ridge(), min_valid=5, min_train=20, top_k=k)
                 row = cy.mean_score(p).select(F.lit(order).alias("ord"), F.lit(scheme).alias("scheme"), F.lit(name).alias("features"), F.lit(k).alias("k"), "mean", "std")
                 out = row if out is None else out.unionByName(row)
                 order += 1
@@ -376,7 +436,7 @@ def m27(spark, sf):
 def m28(spark, sf):
     df = fx.cohort(spark, sf).withColumn("T", cl.t_label("T_raw", "first_char"))
     feats = cl.GEOMETRY + ["Age", "Gender", "HPV"]
-    polluted = cy.cv_predictions(sv.training_sets(df, "fold"), feats, "T", ["0", "1", "2", "3", "4", "N"], by_kind("LogReg"), min_train=20)
-    clean = cy.cv_predictions(sv.training_sets(df.where(F.col("T").isin(cl.T_CLASSES)), "fold"), feats, "T", cl.T_CLASSES, by_kind("LogReg"), min_train=20)
+    polluted = cy.cv_predictions(sv.training_sets(df, "fold"), feats, "T", ["0", "1", "2", "3", "4", "N"], cy.Ridge(), min_train=20)
+    clean = cy.cv_predictions(sv.training_sets(df.where(F.col("T").isin(cl.T_CLASSES)), "fold"), feats, "T", cl.T_CLASSES, cy.Ridge(), min_train=20)
     tag = lambda p, s: cy.pooled_score(p).withColumn("labels", F.lit(s))
     return tag(polluted, "polluted").unionByName(tag(clean, "clean"))
