@@ -95,7 +95,7 @@ class Tokens:
                 continue
             text, raw = " " + t, b" " + t.encode()
             a = self.a.encode_to_numpy(text, disallowed_special=())
-            same = b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
+            same = self.a_size[a].sum() == len(raw) and b"".join(map(self.b_bytes.__getitem__, b)) == raw        # byte-level tokens spell what they cover
             out.append((a.astype(np.int64), np.array(b, np.int64)) if same else None)
         return out
 
@@ -106,7 +106,8 @@ class Tokens:
         stops = ends[0][np.cumsum([len(x) for x, _ in pairs]) - 1]
         place = np.minimum(np.searchsorted(ends[1], ends[0]), len(b) - 1)
         common = ends[0][ends[1][place] == ends[0]]
-        every = np.unique(np.concatenate(ends))
+        every = np.sort(np.concatenate(ends), kind="stable")        # two sorted runs
+        every = every[np.r_[True, every[1:] != every[:-1]]]
         doc = np.searchsorted(stops, every)
         width = len(self.b_bytes)
         code = a[np.searchsorted(ends[0], every)] * width + b[np.searchsorted(ends[1], every)]
