@@ -45,11 +45,17 @@ def whole_set(df: DataFrame) -> DataFrame:
     return df.withColumns({"g": F.lit("all"), "train": F.lit(True)})
 
 
-def guard_sets(sets: DataFrame, min_valid: int = 8, min_train: int = 30, min_events: int = 3) -> DataFrame:
-    """Drop the groups too small to fit or to judge."""
-    size = sets.groupBy("g").agg(F.count_if("train").alias("nt"), F.count_if(~F.col("train")).alias("nv"),
-                                 F.sum(F.when(~F.col("train"), F.col("event")).otherwise(0)).alias("ev"))
-    good = size.where((F.col("nv") >= min_valid) & (F.col("nt") >= min_train) & (F.col("ev") >= min_events)).select("g")
+def set_guard(sets: DataFrame, min_valid: int = 8, min_train: int = 30, min_events: int = 3, min_train_events: int = 0) -> DataFrame:
+    """(g, train, valid, reason): sizes of every training set, and why it is too small to fit or to judge, if so."""
+    size = sets.groupBy("g").agg(F.count_if("train").alias("train"), F.count_if(~F.col("train")).alias("valid"),
+                                 F.sum(F.when(~F.col("train"), F.col("event")).otherwise(0)).alias("ev"), F.sum(F.when(F.col("train"), F.col("event")).otherwise(0)).alias("evt"))
+    return size.select("g", "train", "valid", F.when(F.col("valid") < min_valid, f"fewer than {min_valid} rows to judge").when(F.col("train") < min_train, f"fewer than {min_train} rows to train")
+                       .when(F.col("ev") < min_events, f"fewer than {min_events} events to judge").when(F.col("evt") < min_train_events, f"fewer than {min_train_events} events to train").alias("reason"))
+
+
+def guard_sets(sets: DataFrame, min_valid: int = 8, min_train: int = 30, min_events: int = 3, min_train_events: int = 0) -> DataFrame:
+    """The sets that are large enough to fit and to judge; ``set_guard`` names the others."""
+    good = set_guard(sets, min_valid, min_train, min_events, min_train_events).where("reason IS NULL").select("g")
     return cut(sets.join(good, "g", "left_semi"))   # read by preparation, fit and scoring
 
 
@@ -163,7 +169,7 @@ def cox_information(z: DataFrame, betas: dict[str, np.ndarray], p: int, bounds:
 
 
 def cox_fit(train: DataFrame, p: int, penalizer: float, tol: float = 1e-8, max_steps: int = 30) -> DataFrame:
-    """Ridge Cox fits of every group of (g, time, event, x): rows (g, beta, shift, steps, gradient).
+    """Ridge Cox fits of every group of (g, time, event, x): rows (g, beta, shift, steps, gradient, converged).
 
     Efron ties; the penalty is half penalizer times n times the squared norm of the
     coefficients on columns scaled to unit sample standard deviation.
@@ -196,10 +202,10 @@ def cox_fit(train: DataFrame, p: int, penalizer: float, tol: float = 1e-8, max_s
                 move = np.linalg.solve(inform + penalizer * n[g] * np.eye(p) + 1e-12 * np.eye(p), score)
                 beta[g] = beta[g] + move * min(1.0, 2.0 / max(np.abs(move).max(), 1e-12))
                 steps[g] += 1
-        rows = [(g, (beta[g] / sd[g]).tolist(), mu[g].tolist(), steps[g], gap[g]) for g in mu]
+        rows = [(g, (beta[g] / sd[g]).tolist(), mu[g].tolist(), steps[g], gap[g], bool(gap[g] < tol)) for g in mu]
     finally:
         z.unpersist()
-    return spark.createDataFrame(rows, "g string, beta array<double>, shift array<double>, steps int, gradient double")
+    return spark.createDataFrame(rows, "g string, beta array<double>, shift array<double>, steps int, gradient double, converged boolean")
 
 
 def partial_hazard(rows: DataFrame, model: DataFrame, p: int, out: str = "risk") -> DataFrame:

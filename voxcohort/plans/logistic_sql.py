@@ -19,11 +19,15 @@ def expression(feature: str) -> str:
     return f"cast({feature} AS DOUBLE)"
 
 
-def design_views(name: str, features: list[str], by: str = "fold", min_valid: int = 1, min_train: int = 1, source: str = "staged", label: str = "y") -> None:
+def design_views(name: str, features: list[str], by: str | None = "fold", min_valid: int = 1, min_train: int = 1, source: str = "staged", label: str = "y") -> None:
     """<name>_x: (g, PatientID, y, train, x) with x = [1, standardised features], sets filled, scaled and guarded as in the plans."""
     n = range(len(features))
     cols = lambda f: ", ".join(f(k) for k in n)
-    view(f"{name}_base", f"""SELECT cast(v.v AS VARCHAR) AS g, PatientID, {label} AS y, s.{by} IS DISTINCT FROM v.v AS train,
+    if by is None:      # one set that trains on all rows
+        view(f"{name}_base", f"SELECT 'all' AS g, PatientID, {label} AS y, true AS train, {cols(lambda k: f'{expression(features[k])} AS f{k}')} FROM {source} s", (source,))
+        min_valid = 0
+    else:
+        view(f"{name}_base", f"""SELECT cast(v.v AS VARCHAR) AS g, PatientID, {label} AS y, s.{by} IS DISTINCT FROM v.v AS train,
       {cols(lambda k: f'{expression(features[k])} AS f{k}')} FROM {source} s, (SELECT DISTINCT {by} AS v FROM {source} WHERE {by} IS NOT NULL) v""", (source,))
     view(f"{name}_good", f"SELECT g FROM {name}_base GROUP BY g HAVING count(*) FILTER (WHERE train) >= {min_train} AND count(*) FILTER (WHERE NOT train) >= {min_valid}", (f"{name}_base",))
     view(f"{name}_med", f"SELECT g, {cols(lambda k: f'coalesce(median(f{k}) FILTER (WHERE train), 0) AS m{k}')} FROM {name}_base JOIN {name}_good USING (g) GROUP BY g", (f"{name}_base", f"{name}_good"))
@@ -72,6 +76,34 @@ def multinomial_views(name: str, features: list[str], classes: list[str], balanc
          (f"{name}_x", f"{name}_fit"))
 
 
+def score_rows_view(out: str, name: str, features: list[str], classes: list[str], source: str, keys: str) -> None:
+    """<out>: (keys, p) of other rows under the one model of ``multinomial_views(name, by=None)``."""
+    n = range(len(features))
+    z = ", ".join(f"(coalesce({expression(features[k])}, m{k}) - u{k}) / CASE WHEN s{k} > 0 THEN s{k} ELSE 1 END" for k in n)
+    h = ", ".join(f"list_dot_product(x, b[{c + 1}])" for c in range(len(classes)))
+    names = "[" + ", ".join(f"'{c}'" for c in classes) + "]"
+    view(out, f"SELECT {keys}, {names}[list_position(h, list_max(h))] AS p FROM (SELECT *, [{h}] AS h FROM (SELECT *, [1.0::DOUBLE, {z}] AS x FROM {source}, {name}_med, {name}_par), {name}_fit)",
+         (source, f"{name}_med", f"{name}_par", f"{name}_fit"))
+
+
+def cox_newton_views(name: str, source: str, penalizer: float, steps: int = 8) -> None:
+    """<name>_fit: (b1, b2) of a ridge Cox model on <source> (t, e, z1, z2): Newton steps written out one after another."""
+    view(f"{name}_b0", "SELECT 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2")
+    for k in range(steps):
+        at = f"{name}_b{k}"
+        view(f"{name}_w{k}", f"SELECT t, e, z1, z2, exp(b1 * z1 + b2 * z2) AS w FROM {source}, {at}", (source, at))
+        view(f"{name}_t{k}", f"""SELECT t, d, ds, d1, d2, e1, e2, d11, d12, d22, {', '.join(f'sum({c}) OVER (ORDER BY t DESC) AS {c}' for c in ('s0', 's1', 's2', 's11', 's12', 's22'))} FROM (
+          SELECT t, sum(e) AS d, sum(w * e) AS ds, sum(w * e * z1) AS d1, sum(w * e * z2) AS d2, sum(e * z1) AS e1, sum(e * z2) AS e2, sum(w * e * z1 * z1) AS d11, sum(w * e * z1 * z2) AS d12,
+            sum(w * e * z2 * z2) AS d22, sum(w) AS s0, sum(w * z1) AS s1, sum(w * z2) AS s2, sum(w * z1 * z1) AS s11, sum(w * z1 * z2) AS s12, sum(w * z2 * z2) AS s22 FROM {name}_w{k} GROUP BY t)""", (f"{name}_w{k}",))
+        view(f"{name}_m{k}", f"""SELECT *, (s1 - f * d1) / phi AS m1, (s2 - f * d2) / phi AS m2 FROM (SELECT *, l / d AS f, s0 - l / d * ds AS phi FROM (SELECT *, unnest(range(0, cast(d AS BIGINT))) AS l FROM {name}_t{k} WHERE d > 0))""", (f"{name}_t{k}",))
+        view(f"{name}_n{k}", f"""SELECT b1, b2, e1 - m1 - p * b1 AS u1, e2 - m2 - p * b2 AS u2, i11 + p AS i11, i12, i22 + p AS i22 FROM {at},
+          (SELECT sum(e1) AS e1, sum(e2) AS e2 FROM {name}_t{k} WHERE d > 0), (SELECT {penalizer} * count(*) AS p FROM {source}),
+          (SELECT sum(m1) AS m1, sum(m2) AS m2, sum((s11 - f * d11) / phi - m1 * m1) AS i11, sum((s12 - f * d12) / phi - m1 * m2) AS i12, sum((s22 - f * d22) / phi - m2 * m2) AS i22 FROM {name}_m{k})""",
+             (at, f"{name}_t{k}", f"{name}_m{k}", source))
+        view(f"{name}_b{k + 1}", f"SELECT b1 + (i22 * u1 - i12 * u2) / (i11 * i22 - i12 * i12) AS b1, b2 + (i11 * u2 - i12 * u1) / (i11 * i22 - i12 * i12) AS b2 FROM {name}_n{k}", (f"{name}_n{k}",))
+    view(f"{name}_fit", f"SELECT b1, b2 FROM {name}_b{steps}", (f"{name}_b{steps}",))
+
+
 def ordinal_views(name: str, features: list[str], classes: list[str], **sets) -> None:
     """<name>_pred of the ordinal model: a binary fit per threshold."""
     design_views(name, features, **sets)

@@ -9,9 +9,9 @@ from voxcohort.functions import clinical as cl
 from voxcohort.functions import staging
 from voxcohort.operators import boosting, classify as cy
 from voxcohort.operators import logistic as grouped
-from voxcohort.operators import metrics, ranks
+from voxcohort.operators import metrics, modelstate as ms, ranks
 from voxcohort.operators import survival as sv
-from voxcohort.plans import logistic_sql as lsql
+from voxcohort.plans import logistic_sql as lsql, scoring
 from voxcohort.plans.cohort_queries import _scratch, pair_sql, r6, sql6, staged
 from voxcohort.plans.registry import query, view
 from voxcohort.plans.views import rule
@@ -269,6 +269,18 @@ def m14_fixed(spark, sf):
     return cox_at(spark, sf, [0.3, -0.2])
 
 
+lsql.cox_newton_views("cxn", "cox_all", 0.1)
+
+
+@query("m14_cox_coefficients", "SELECT round(b1, 7) AS b1, round(b2, 7) AS b2, true AS converged FROM cxn_fit")
+def m14_coefficients(spark, sf):
+    """Ridge Cox on two scaled features, against written-out Newton steps."""
+    sets = sv.whole_set(outcome(spark, sf))
+    x = sv.standardise(sets, sv.prep_params(sets, ["gtvp_ml", "max_node_mm"], sample_std=True), ["gtvp_ml", "max_node_mm"])
+    fit = sv.cox_fit(x.select("g", F.col("RFS").alias("time"), "event", "x"), 2, 0.1)
+    return fit.select(F.round(F.col("beta")[0], 7).alias("b1"), F.round(F.col("beta")[1], 7).alias("b2"), "converged")
+
+
 @query("m14_cox_fit", "SELECT 'all' AS g, true AS solved")
 def m14(spark, sf):
     sets = sv.whole_set(outcome(spark, sf))
@@ -289,6 +301,21 @@ def m13(spark, sf):
     return x.select("PatientID", F.round(F.col("x")[0], 7).alias("age_z"), F.round(F.col("x")[1], 7).alias("hpv_z"), F.col(flags[0]).alias("hpv_missing"))
 
 
+view("m13_codes", """SELECT PatientID, Age, HPV, cast(dense_rank() OVER (ORDER BY laterality) - 1 AS DOUBLE) AS lat FROM fx_cohort WHERE RFS > 0""", ("fx_cohort",))
+view("m13_full", "SELECT PatientID, Age, lat, coalesce(HPV, median(HPV) OVER ()) AS h, cast(HPV IS NULL AS DOUBLE) AS miss FROM m13_codes", ("m13_codes",))
+
+
+@query("m13_state_of_text_and_constant", """SELECT PatientID, ['HPV_missing', 'Age', 'HPV', 'laterality'] AS terms, [miss, round((Age - avg(Age) OVER ()) / stddev_samp(Age) OVER (), 7),
+  round((h - avg(h) OVER ()) / stddev_samp(h) OVER (), 7), round((lat - avg(lat) OVER ()) / stddev_samp(lat) OVER (), 7)] AS x FROM m13_full""")
+def m13_state(spark, sf):
+    """Codes of a text column, a missing flag and a dropped constant, saved, read back and applied."""
+    df = outcome(spark, sf).drop("HPV_missing").withColumn("always", F.lit(3.0))
+    path = _scratch(spark, "state")
+    ms.save(ms.fit_preparation(df, ["Age", "HPV", "laterality", "always"]), path, "preparation")
+    x, names = ms.prepared(df, ms.load(spark, path, "preparation"))
+    return x.select("PatientID", F.array(*map(F.lit, names)).alias("terms"), F.transform("x", lambda v: F.round(v, 7)).alias("x"))
+
+
 @query("m15_partial_hazard", """SELECT PatientID, round(exp(0.4 * ((gtvp_ml - m1)) / 10 - 0.02 * (Age - m2)), 6) AS risk FROM fx_cohort,
   (SELECT avg(gtvp_ml) AS m1, avg(Age) AS m2 FROM fx_cohort WHERE RFS > 0) WHERE RFS > 0""")
 def m15(spark, sf):
@@ -301,12 +328,22 @@ def m15(spark, sf):
 
 @query("m16_cox_report")
 def m16(spark, sf):
-    """Shipped Cox: out-of-fold and per-center concordance with the strict pair rule."""
-    oof = sv.cox_predictions(sv.guard_sets(sv.training_sets(outcome(spark, sf), "fold"), 1, 20, 0), BASE, 0.1, sample_std=True)
-    loco = sv.cox_predictions(sv.guard_sets(sv.training_sets(outcome(spark, sf), "center"), 10, 1, 0), BASE, 0.1, sample_std=True)
-    a = sv.concordance(oof).select(F.lit("oof").alias("scheme"), F.lit("all").alias("g"), "n", "events", "c_index")
-    b = sv.concordance(loco, group=["g"]).select(F.lit("loco").alias("scheme"), "g", "n", "events", "c_index")
-    return a.unionByName(b)
+    """Shipped Cox with the strict pair rule: out of fold, per center, and the final model's line.
+
+    A center with under 10 rows, or under 5 events left to train on, keeps a row without a score.
+    """
+    df = outcome(spark, sf)
+    by_fold, by_center = sv.training_sets(df, "fold"), sv.training_sets(df, "center")
+    oof = sv.concordance(sv.cox_predictions(sv.guard_sets(by_fold, 1, 20, 0), BASE, 0.1, sample_std=True))
+    loco = sv.concordance(sv.cox_predictions(sv.guard_sets(by_center, 10, 1, 0, min_train_events=5), BASE, 0.1, sample_std=True), group=["g"])
+    kept = sv.set_guard(by_center, 10, 1, 0, min_train_events=5)
+    line = ("n", "events", "c_index")
+    a = oof.select(F.lit("oof").alias("scheme"), F.lit("all").alias("g"), *line, F.lit(None).cast("string").alias("reason"))
+    b = kept.join(loco, "g", "left").select(F.lit("loco").alias("scheme"), "g", *line, "reason")
+    rate = df.agg(F.count("*").alias("n"), F.sum("event").cast("long").alias("events"))
+    final = rate.join(oof.select("c_index"), how="full").select(F.lit("final").alias("scheme"), F.lit("all").alias("g"), "n", "events", F.round("c_index", 4).alias("c_index"),      # one row each
+                                                               F.concat(F.lit("event rate "), F.round(F.col("events") / F.col("n"), 4)).alias("reason"))
+    return a.unionByName(b).unionByName(final)
 
 
 # ------------------------------------------------------ M17-M26 survival comparison
@@ -432,6 +469,78 @@ def m27(spark, sf):
                       staging.rule_n("n_gtvn", "max_node_mm", "laterality").alias("n_rule"))
 
 
+N_FEATURES, T_FEATURES = SIZE + LAT, SIZE + ["Age", "Gender", "HPV"]
+view("t_staged", "SELECT *, substr(replace(upper(T_raw), 'T', ''), 1, 1) AS t FROM fx_cohort WHERE substr(replace(upper(T_raw), 'T', ''), 1, 1) IN ('1','2','3','4')", ("fx_cohort",))
+lsql.multinomial_views("fin_n", N_FEATURES, cl.N_CLASSES, by=None)
+lsql.multinomial_views("fin_t", T_FEATURES, cl.T_CLASSES, by=None, source="t_staged", label="t")
+lsql.multinomial_views("cv_n", N_FEATURES, cl.N_CLASSES, min_valid=5, min_train=20)
+lsql.score_views("cv_n")
+lsql.multinomial_views("cv_t", T_FEATURES, cl.T_CLASSES, min_valid=5, min_train=20, source="t_staged", label="t")
+lsql.score_views("cv_t")
+view("demo", """SELECT * FROM (VALUES (0, 12.0, 0, 0.0, 0.0, 'none', 1.0, 1.0, 1.0), (1, 8.0, 1, 24.0, 2.4, 'unilateral', 1.0, 1.0, 1.0), (2, 20.0, 2, 42.0, 12.5, 'bilateral', 1.0, 1.0, 1.0),
+  (3, 30.0, 1, 66.0, 33.0, 'unilateral', 1.0, 1.0, 1.0)) d(demo, gtvp_ml, n_gtvn, max_node_mm, gtvn_total_ml, laterality, "Age", "Gender", "HPV")""")
+lsql.score_rows_view("demo_n", "fin_n", N_FEATURES, cl.N_CLASSES, "demo", "demo")
+lsql.score_rows_view("demo_t", "fin_t", T_FEATURES, cl.T_CLASSES, "demo", "demo")
+
+
+def train_final(df, features, label, classes, path, name, at_least=0.0):
+    """Check a stage model by cross-validation, fit it on all rows and save it as the next version; an unmet check saves nothing."""
+    known = df.where(F.col(label).isin(classes))
+    p = cy.cv_predictions(sv.training_sets(known, "fold"), features, label, classes, cy.Ridge(), min_valid=5, min_train=20)
+    score = cy.mean_score(p).first()["mean"]
+    state = ms.with_score(ms.fit_stage(known, features, label, classes), -1.0 if score is None else score, at_least)
+    ms.save(state, path, name)
+    return ms.load(df.sparkSession, path, name)
+
+
+def final_rows(spark, sf):
+    return cl.laterality_flags(fx.cohort(spark, sf)).withColumns({"N": cl.n_label("N_raw", trim=False), "T": cl.t_label("T_raw", "first_char")})
+
+
+@query("m27_checked_final_models", """SELECT demo, n.p AS n, t.p AS t, (SELECT round(avg(balanced_accuracy), 6) FROM cv_n_by) AS n_cv, (SELECT round(avg(balanced_accuracy), 6) FROM cv_t_by) AS t_cv, true AS refused
+  FROM demo_n n JOIN demo_t t USING (demo)""")
+def m27_checked(spark, sf):
+    """Both stage models: checked, fitted, saved, read back, and asked about four plain geometries; a model under its floor is refused."""
+    df, path = final_rows(spark, sf), _scratch(spark, "models")
+    n, t = train_final(df, N_FEATURES, "N", cl.N_CLASSES, path, "n"), train_final(df, T_FEATURES, "T", cl.T_CLASSES, path, "t")
+    try:
+        ms.with_score(n, n.where("kind = 'score'").first()["value"], 1.01)
+        refused = False
+    except ValueError:
+        refused = True
+    cases = spark.createDataFrame([(0, 12.0, 0, 0.0, 0.0, "none"), (1, 8.0, 1, 24.0, 2.4, "unilateral"), (2, 20.0, 2, 42.0, 12.5, "bilateral"), (3, 30.0, 1, 66.0, 33.0, "unilateral")],
+                                  "demo int, gtvp_ml double, n_gtvn int, max_node_mm double, gtvn_total_ml double, laterality string")
+    cases = cl.laterality_flags(cases).withColumns({c: F.lit(1.0) for c in ("Age", "Gender", "HPV")})
+    score = lambda s: F.lit(round(s.where("kind = 'score'").first()["value"], 6))
+    return ms.stage(ms.stage(cases, n, "n"), t, "t").select("demo", "n", "t", score(n).alias("n_cv"), score(t).alias("t_cv"), F.lit(refused).alias("refused"))
+
+
+view("case_rows", """SELECT g.*, c.Age, c.Gender, c.HPV FROM geometry_image g LEFT JOIN fx_clinical c ON c.c_custkey = g.case_id""", ("geometry_image", "fx_clinical"))
+lsql.score_rows_view("case_n", "fin_n", N_FEATURES, cl.N_CLASSES, "case_rows", "case_id")
+lsql.score_rows_view("case_t", "fin_t", T_FEATURES, cl.T_CLASSES, "case_rows", "case_id")
+
+
+@query("m29_score_fitted", """SELECT case_id, concat('T', t.p) AS t_stage, n.p AS n_stage, round(-exp(b1 * (gtvp_ml - g_m) / g_s + b2 * (max_node_mm - x_m) / x_s), 6) AS rfs
+  FROM case_rows JOIN case_n n USING (case_id) JOIN case_t t USING (case_id), cxn_fit,
+  (SELECT avg(gtvp_ml) AS g_m, stddev_samp(gtvp_ml) AS g_s, avg(max_node_mm) AS x_m, stddev_samp(max_node_mm) AS x_s FROM fx_cohort WHERE RFS > 0)""")
+def m29_fitted(spark, sf):
+    """N, T and risk models fitted on the cohort, saved, read back, and scored on the cases' masks."""
+    path = _scratch(spark, "models")
+    df = final_rows(spark, sf)
+    n, t = train_final(df, N_FEATURES, "N", cl.N_CLASSES, path, "n"), train_final(df, T_FEATURES, "T", cl.T_CLASSES, path, "t")
+    ms.save(ms.fit_cox(outcome(spark, sf), ["gtvp_ml", "max_node_mm"], 0.1), path, "risk")
+    records = fx.clinical(spark, sf).select(F.col("c_custkey").alias("case_id"), "Age", "Gender", "HPV")
+    out = scoring.score_with_models(fx.voxels(spark, sf), fx.volumes(spark, sf), records, ms.load(spark, path, "risk"), n, t)
+    return out.select("case_id", "t_stage", "n_stage", F.round("rfs", 6).alias("rfs"))
+
+
+@query("m29_score_without_models", f"SELECT case_id, 'T2' AS t_stage, {rule()} AS n_stage, 0.0::DOUBLE AS rfs FROM geometry_image")
+def m29_bare(spark, sf):
+    """Without any saved model: the rule's N and the safe values."""
+    absent = ms.load(spark, _scratch(spark, "nothing"), "n")
+    return scoring.score_with_models(fx.voxels(spark, sf), fx.volumes(spark, sf), fx.clinical(spark, sf).select(F.col("c_custkey").alias("case_id"), "Age"), absent, absent, absent)
+
+
 @query("m28_clean_vs_polluted")
 def m28(spark, sf):
     df = fx.cohort(spark, sf).withColumn("T", cl.t_label("T_raw", "first_char"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from voxcohort.functions import staging
-from voxcohort.operators import nodes
+from voxcohort.functions import clinical, staging
+from voxcohort.operators import modelstate, nodes
 
 # fixed values a case gets when its scoring failed
 SAFE = {"t_stage": "T2", "n_stage": "N0", "rfs": 0.0}
@@ -55,3 +55,23 @@ def score_cases(voxels: DataFrame, headers: DataFrame, records: DataFrame, state
     scored = df.select("case_id", F.coalesce("learned_n", "n_rule").alias("n_stage"),
                        F.when(F.col("learned_t").isNotNull(), staging.with_t_prefix("learned_t")).alias("t_stage"), (-F.col("risk")).alias("rfs"))
     return safe_outputs(headers.select("case_id"), scored)
+
+
+def score_with_models(voxels: DataFrame, headers: DataFrame, records: DataFrame, risk: DataFrame | None = None,
+                      n_model: DataFrame | None = None, t_model: DataFrame | None = None,
+                      n3: float = staging.N3_MM, n1: float = staging.N1_MAX_MM) -> DataFrame:
+    """Masks and clinical records to T stage, N stage and risk from saved model states.
+
+    Without an N model the rule's N is reported; without a T or risk model the safe
+    value is. The rule's N always feeds the risk model. Reported ``rfs`` is minus the risk.
+    """
+    geometry = nodes.case_geometry(nodes.clean_mask(voxels, headers), headers, nodes.image_midline(headers))
+    df = clinical.laterality_flags(geometry.join(records, "case_id", "left")).withColumn("n_rule", staging.rule_n("n_gtvn", "max_node_mm", "laterality", n3, n1))
+    df = df.withColumns({"N_ordinal": staging.n_ordinal("n_rule"), "n_stage": F.col("n_rule"), "t_stage": F.lit(None).cast("string"), "risk": F.lit(None).cast("double")})
+    if n_model is not None:
+        df = modelstate.stage(df, n_model, "n_stage")
+    if t_model is not None:
+        df = modelstate.stage(df, t_model, "t_stage").withColumn("t_stage", staging.with_t_prefix("t_stage"))
+    if risk is not None:
+        df = modelstate.risk(df, risk)
+    return safe_outputs(headers.select("case_id"), df.select("case_id", "n_stage", "t_stage", (-F.col("risk")).alias("rfs")))
