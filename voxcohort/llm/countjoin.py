@@ -71,7 +71,8 @@ def gram_set(text: str | None, words: int) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     for k in range(min(words, len(h))):
         out = _mix(out + h[k:k + n] + np.uint64(k + 1))
-    return np.unique(out)
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 class Classes:
@@ -181,27 +182,33 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _sketched(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """rid, doc_id, th, n, digest, sid, point and keys of every row."""
-    schema = "rid long, doc_id long, th long, n long, digest binary, sid long, point binary, keys array<long>"
-    names = ["rid", "doc_id", "th", "n", "digest", "sid", "point", "keys"]
+    """rid, doc_id, th, n, digest, point and keys of every row; of equal sets only the first in a task has keys."""
+    schema = "rid long, doc_id long, th long, n long, digest binary, point binary, keys array<long>"
+    names = ["rid", "doc_id", "th", "n", "digest", "point", "keys"]
 
     def work(batches):
-        classes = Classes(percent)
+        classes, seen = Classes(percent), set()
         for batch in batches:
             for part in text_slices(batch, 3, 1 << 20):
                 sets = [gram_set(t, words) for t in part.column(3).to_pylist()]
-                full = [n for n, s in enumerate(sets) if len(s)]
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                full = []
+                for n, (s, d) in enumerate(zip(sets, digests)):
+                    if len(s) and d not in seen:
+                        seen.add(d)
+                        full.append(n)
                 pts, keys = [None] * len(sets), [None] * len(sets)
                 if full:
-                    some = [sets[n] for n in full]
-                    flat, count = part_keys(some, classes)
-                    for n, p, k in zip(full, points(some), np.split(flat, np.cumsum(count)[:-1])):
-                        pts[n], keys[n] = p.tobytes(), k
+                    flat, count = part_keys([sets[n] for n in full], classes)
+                    for n, k in zip(full, np.split(flat, np.cumsum(count)[:-1])):
+                        keys[n] = k
+                some = [n for n, s in enumerate(sets) if len(s)]
+                if some:
+                    for n, p in zip(some, points([sets[n] for n in some])):
+                        pts[n] = p.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-                     pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()), pa.array(pts, pa.binary()),
-                     pa.array(keys, pa.list_(pa.int64()))], names)
+                     pa.array(pts, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("th"), "text")
     return rows.mapInArrow(work, schema)
 
@@ -214,7 +221,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([gram_set(t, words).tobytes() for t in part.column(1).to_pylist()], pa.binary())],
                                                  ["rid", "grams"])
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text_of()).alias("h"), "text").groupBy("d", "h").agg(F.first("text").alias("text"))
-    met = texts.join(wanted, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")))
+    met = texts.join(wanted.hint("merge"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")))
     return met.select("rid", "text").mapInArrow(work, "rid long, grams binary")
 
 
@@ -237,13 +244,15 @@ def _verified(pairs: DataFrame, pts: DataFrame, sets: DataFrame, percent: int) -
     return some.join(side(sets, "a"), "a").join(side(sets, "b"), "b").select("a", "b", "grams_a", "grams_b").mapInArrow(sure, "a long, b long")
 
 
-def _pages(rows: DataFrame) -> DataFrame:
-    """(k, rid): pages of at least two different sets, one of each list of members."""
-    keys = rows.where("n > 0").select("sid", F.explode("keys").alias("k"))
-    shared = keys.groupBy("k").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("k")
-    members = written(keys.join(shared, "k", "left_semi").distinct())
-    alike = members.groupBy("k").agg(F.count("*").alias("n"), F.min("sid").alias("low"), F.max("sid").alias("high"), F.bit_xor(F.xxhash64("sid")).alias("all"),
-                                     F.bit_xor(F.hash("sid")).alias("again")).groupBy("n", "low", "high", "all", "again").agg(F.min("k").alias("k")).select("k")
+def _pages(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """(k, rid): pages of at least two different sets, one of each list of members; a set goes by the row that stands for its copies."""
+    keys = rows.select("rid", F.explode("keys").alias("k"))
+    shared = keys.groupBy("k").count().where("count > 1").select("k")
+    found = keys.join(shared.hint("merge"), "k", "left_semi")           # one plan at every size
+    sets = rows.select("rid", "digest").join(copies.select("digest", F.col("rid").alias("head")), "digest").select("rid", "head")
+    members = written(found.join(sets, "rid").select("k", F.col("head").alias("rid")).distinct())
+    alike = members.groupBy("k").agg(F.count("*").alias("n"), F.min("rid").alias("low"), F.max("rid").alias("high"), F.bit_xor(F.xxhash64("rid")).alias("all"),
+                                     F.bit_xor(F.hash("rid")).alias("again")).where("n > 1").groupBy("n", "low", "high", "all", "again").agg(F.min("k").alias("k")).select("k")
     return members.join(alike, "k", "left_semi")
 
 
@@ -335,9 +344,8 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, page: in
     rows = written(_sketched(docs, words, percent))
     copies = written(rows.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("head"))
                      .select("digest", "head", F.col("head.rid").alias("rid")))
-    whose = rows.select("rid", "doc_id", "th", "n", "sid", "point").join(copies.select("rid"), "rid", "left_semi")
-    pages = written(_pages(rows).join(whose.select("sid", "rid"), "sid").select("k", "rid"))
-    wanted = written(whose.join(pages.select("rid").distinct(), "rid", "left_semi"))
+    pages = written(_pages(rows, copies))
+    wanted = written(rows.select("rid", "doc_id", "th", "n", "point").join(pages.select("rid").distinct(), "rid", "left_semi"))
     pts = wanted.select("rid", "n", "point")
     sets = written(_sets(docs, wanted.select("rid", "doc_id", "th"), words))
 
