@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxcohort.functions import clinical as cl
-from voxcohort.operators import crop, metrics, resample, texture
+from voxcohort.operators import crop, metrics, resample, texture, texture_kernel as kernel
 from voxcohort.sources import listing, sinks, tables
 
 
@@ -88,12 +88,13 @@ def test_dice_of_equal_and_empty_masks(spark):
     assert rows == {1: 1.0, 2: 1.0}
 
 
-def test_texture_of_a_row(spark):
+@pytest.mark.parametrize("block", [32, 2])
+def test_texture_of_a_row(spark, block):
     rows = [(1, "ct", "gtvp", 0, 0, x, float(v)) for x, v in enumerate([1, 1, 60, 60, 60])]
     levels = texture.discretise(spark.createDataFrame(rows, "case_id long, modality string, region string, z int, y int, x int, value double"))
     assert [r.level for r in levels.orderBy("x").collect()] == [1, 1, 3, 3, 3]
-    runs = {(r.i, r.j): r.c for r in texture.run_lengths(levels).where("dir = 0").collect()}
-    along = [r for r in texture.run_lengths(levels).collect() if r.j > 1]
+    runs = {(r.i, r.j): r.c for r in kernel.run_matrix(kernel.cube_counts(levels, block)).where("dir = 0").collect()}
+    along = [r for r in kernel.run_matrix(kernel.cube_counts(levels, block)).collect() if r.j > 1]
     assert sorted((r.i, r.j, r.c) for r in along) == [(1, 2, 1), (3, 3, 1)] and runs
-    zones = sorted((r.i, r.j, r.c) for r in texture.size_zones(levels).collect())
+    zones = sorted((r.i, r.j, r.c) for r in kernel.zone_matrix(kernel.cube_counts(levels, block)).collect())
     assert zones == [(1, 2, 1), (3, 3, 1)]

@@ -1,16 +1,15 @@
 """First-order, shape and texture features of lesion regions.
 
 Everything is keyed by region of interest: (case_id, modality, region). Texture
-matrices are grouped counts; the features are sums over their few cells, so the
-per-voxel work is one neighbour join (or one ordered pass along lines) and the
-rest is small. Definitions follow the IBSI reference manual.
+matrices are counted cube by cube (``texture_kernel``); the features are sums over their
+few cells. Definitions follow the IBSI reference manual.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voxcohort.operators.components import _HALF_NEIGHBOURS, label_components
+from voxcohort.operators import nodes, resample, texture_kernel as kernel
 from voxcohort.operators.joins import overlay
 from voxcohort.operators.ranks import exact_quantiles
 from voxcohort.operators.spread import distance_stats, hull_candidates
@@ -134,24 +133,7 @@ def in_plane_diameters(mask: DataFrame, headers: DataFrame) -> DataFrame:
     return out
 
 
-# ---------------------------------------------------------------- neighbourhoods
-def neighbour_pairs(levels: DataFrame) -> DataFrame:
-    """One row per touching voxel pair and direction: levels i and j with both indices."""
-    steps = F.posexplode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("dz", "dy", "dx"), o)])
-                                   for o in _HALF_NEIGHBOURS])).alias("dir", "d")
-    reach = levels.select(*ROI, "z", "y", "x", F.col("level").alias("i"), steps).select(
-        *ROI, *[F.col(a).alias(f"{a}1") for a in "zyx"], *[(F.col(a) + F.col(f"d.d{a}")).alias(a) for a in "zyx"], "i", "dir")
-    return reach.join(levels.select(*ROI, "z", "y", "x", F.col("level").alias("j")), [*ROI, "z", "y", "x"])
-
-
-def cooccurrence(pairs: DataFrame) -> DataFrame:
-    """Symmetric co-occurrence counts: (ROI, dir, i, j, c)."""
-    both = F.explode(F.array(F.struct(F.col("i").alias("i"), F.col("j").alias("j")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
-    one_way = pairs.groupBy(*ROI, "dir", "i", "j").agg(F.count("*").alias("c"))
-    return one_way.select(*ROI, "dir", both.alias("ij"), "c").groupBy(
-        *ROI, "dir", F.col("ij.i").alias("i"), F.col("ij.j").alias("j")).agg(F.sum("c").alias("c"))
-
-
+# ------------------------------------------------------------- matrix features
 def _entropy(p: Column) -> Column:
     return -F.sum(F.when(p > 0, p * F.log2(p)).otherwise(0.0))
 
@@ -185,47 +167,6 @@ def cooccurrence_features(levels: DataFrame, matrix: DataFrame) -> DataFrame:
     return all_dirs.groupBy(*ROI).agg(*[F.avg(n).alias(n) for n in names])
 
 
-def run_lengths(levels: DataFrame) -> DataFrame:
-    """Run-length counts (ROI, dir, i, j, c): runs of level i and length j along 13 directions.
-
-    Every voxel is placed on a line and a step along it; runs are gaps-and-islands
-    on that line, which is never longer than the image.
-    """
-    structs = []
-    for o in _HALF_NEIGHBOURS:
-        axis = next(k for k, v in enumerate(o) if v)
-        structs.append(F.struct(*[F.lit(v).alias(n) for n, v in zip(("dz", "dy", "dx"), o)], F.lit(axis).alias("axis")))
-    rows = levels.select(*ROI, "z", "y", "x", "level", F.posexplode(F.array(*structs)).alias("dir", "d"))
-    t = F.when(F.col("d.axis") == 0, F.col("z") * F.col("d.dz")).when(F.col("d.axis") == 1, F.col("y") * F.col("d.dy")).otherwise(F.col("x") * F.col("d.dx"))
-    line = [*ROI, "dir", "lz", "ly", "lx"]
-    rows = rows.withColumn("t", t).select(*ROI, "dir", *[(F.col(a) - F.col("t") * F.col(f"d.d{a}")).alias(f"l{a}") for a in "zyx"], "t", "level")
-    w = Window.partitionBy(*line, "level").orderBy("t")
-    runs = rows.withColumn("run", F.col("t") - F.row_number().over(w)).groupBy(*line, "level", "run").agg(F.count("*").alias("j"))
-    return runs.groupBy(*ROI, "dir", F.col("level").alias("i"), "j").agg(F.count("*").alias("c"))
-
-
-def size_zones(levels: DataFrame) -> DataFrame:
-    """Zone counts (ROI, i, j, c): connected zones of level i and size j."""
-    zones = label_components(levels.select(*ROI, "level", "z", "y", "x"), keys=[*ROI, "level"])
-    return zones.groupBy(*ROI, "level", "comp_id").agg(F.count("*").alias("j")).groupBy(
-        *ROI, F.col("level").alias("i"), "j").agg(F.count("*").alias("c"))
-
-
-def neighbourhood(levels: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per voxel: level, neighbours, neighbours of equal level, sum of neighbour levels."""
-    ends = F.explode(F.array(
-        F.struct(*[F.col(f"{a}1").alias(a) for a in "zyx"], F.col("j").alias("other"), F.col("i").alias("own")),
-        F.struct(*[F.col(a).alias(a) for a in "zyx"], F.col("i").alias("other"), F.col("j").alias("own"))))
-    sums = pairs.select(*ROI, ends.alias("e")).groupBy(*ROI, "e.z", "e.y", "e.x").agg(
-        F.count("*").alias("n"), F.count_if(F.col("e.other") == F.col("e.own")).alias("equal"), F.sum("e.other").alias("total"))
-    return levels.select(*ROI, "z", "y", "x", "level").join(sums, [*ROI, "z", "y", "x"], "left").fillna(0, ["n", "equal", "total"])
-
-
-def dependences(around: DataFrame) -> DataFrame:
-    """Dependence counts (ROI, i, j, c): voxels of level i with j - 1 equal neighbours."""
-    return around.groupBy(*ROI, F.col("level").alias("i"), (F.col("equal") + 1).alias("j")).agg(F.count("*").alias("c"))
-
-
 def size_matrix_features(matrix: DataFrame, kind: str, voxels: DataFrame | None = None) -> DataFrame:
     """Features of a level-by-size matrix; ``kind`` is glrlm, glszm or gldm.
 
@@ -262,10 +203,8 @@ def size_matrix_features(matrix: DataFrame, kind: str, voxels: DataFrame | None
     return out.groupBy(*ROI).agg(*[F.avg(c).alias(c) for c in out.columns if c not in key])
 
 
-def tone_difference_features(around: DataFrame) -> DataFrame:
-    """Neighbourhood gray-tone difference features per region."""
-    valid = around.where("n > 0").withColumn("gap", F.abs(F.col("level") - F.col("total") / F.col("n")))
-    per = valid.groupBy(*ROI, F.col("level").alias("i")).agg(F.count("*").alias("n"), F.sum("gap").alias("s"))
+def tone_difference_features(per: DataFrame) -> DataFrame:
+    """Neighbourhood gray-tone difference features per region, from (ROI, i, n, s)."""
     # one small array of gray levels per region
     arr = per.groupBy(*ROI).agg(F.sum("n").alias("N"), F.sort_array(F.collect_list(F.struct(
         F.col("i").cast("double").alias("i"), F.col("n").cast("double").alias("n"), "s"))).alias("a"))
@@ -295,21 +234,21 @@ def long_form(wide: DataFrame, feature_class: str) -> DataFrame:
     return long.select("case_id", F.concat_ws("_", "modality", "region", F.lit(feature_class), "feature").alias("name"), "value")
 
 
-def radiomics_long(mask: DataFrame, voxels: DataFrame, headers: DataFrame) -> DataFrame:
-    levels = cut(discretise(roi_values(mask, voxels)))   # read by every class below
-    pairs = cut(neighbour_pairs(levels))   # read twice
-    around = cut(neighbourhood(levels, pairs))
-    modality = F.explode(F.array(F.lit("ct"), F.lit("pt"))).alias("modality")
-    body = shape(mask, headers).join(in_plane_diameters(mask, headers), ["case_id", "region"])
-    parts = {
+def texture_classes(levels: DataFrame, headers: DataFrame, block: int = kernel.BLOCK) -> dict[str, DataFrame]:
+    """Wide tables of the intensity and texture classes, the matrices counted in one pass."""
+    counts = kernel.cube_counts(levels, block)
+    pairs = kernel.pair_matrix(counts)
+    return {
         "firstorder": first_order(levels, headers),
-        "shape": body.select("case_id", modality, "region", *[c for c in body.columns if c not in ROI]),
-        "glcm": cooccurrence_features(levels, cooccurrence(pairs)),
-        "glrlm": size_matrix_features(run_lengths(levels), "glrlm", levels),
-        "glszm": size_matrix_features(size_zones(levels), "glszm", levels),
-        "gldm": size_matrix_features(dependences(around), "gldm"),
-        "ngtdm": tone_difference_features(around),
+        "glcm": cooccurrence_features(levels, pairs).join(kernel.maximal_correlation(pairs), ROI),
+        "glrlm": size_matrix_features(kernel.run_matrix(counts), "glrlm", levels),
+        "glszm": size_matrix_features(kernel.zone_matrix(counts), "glszm", levels),
+        "gldm": size_matrix_features(kernel.dependence_matrix(counts), "gldm"),
+        "ngtdm": tone_difference_features(kernel.tone_sums(counts)),
     }
+
+
+def _stacked(parts: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, wide in parts.items():
         part = long_form(wide, name)
@@ -317,6 +256,65 @@ def radiomics_long(mask: DataFrame, voxels: DataFrame, headers: DataFrame) -> Da
     return out
 
 
+def radiomics_long(mask: DataFrame, voxels: DataFrame, headers: DataFrame) -> DataFrame:
+    """All classes over a mask on its own grid."""
+    levels = cut(discretise(roi_values(mask, voxels)))   # read by every class below
+    modality = F.explode(F.array(F.lit("ct"), F.lit("pt"))).alias("modality")
+    body = shape(mask, headers).join(in_plane_diameters(mask, headers), ["case_id", "region"])
+    return _stacked(texture_classes(levels, headers) | {"shape": body.select("case_id", modality, "region", *[c for c in body.columns if c not in ROI])})
+
+
+def resampled_regions(mask: DataFrame, voxels: DataFrame, headers: DataFrame, spacing: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """Every region on an isotropic grid over its own bounds: (rows of ROI, z, y, x, value), (grids by case and region).
+
+    Images are interpolated linearly; the region holds where its interpolated indicator reaches one half (to nine digits).
+    """
+    named = mask.where("label IN (1, 2)").select("case_id", F.when(F.col("label") == 1, "gtvp").otherwise("gtvn").alias("region"), "z", "y", "x")
+    key = ["case_id", "region"]
+    own = headers.join(named.select(*key).distinct(), "case_id")
+    grid = cut(resample.isotropic_grid(named, own, spacing, key))
+    near = voxels.select("case_id", "z", "y", "x", F.col("ct").cast("double").alias("ct"), F.col("pet").cast("double").alias("pt")).join(own.select(*key), "case_id")
+    inside = named.select(*key, "z", "y", "x", F.lit(1.0).alias("value"))
+    at = [*key, "z", "y", "x"]
+    held = cut(resample.resample(inside, own, grid, 0.0, key).where("value >= 0.5 - 1e-9").select(*at))
+    out = None
+    for modality, default in (("ct", -1000.0), ("pt", 0.0)):
+        values = resample.resample(near.select(*at, F.col(modality).alias("value")), own, grid, default, key)
+        part = held.join(values, at).select("case_id", F.lit(modality).alias("modality"), "region", "z", "y", "x", "value")
+        out = part if out is None else out.unionByName(part)
+    return cut(out), grid
+
+
+def radiomics_rows(mask: DataFrame, voxels: DataFrame, headers: DataFrame, spacing: float = 2.0) -> DataFrame:
+    """(case_id, region, modality, name, value, error): cleanup, isotropic grid, every class.
+
+    A region that can't be measured keeps one row with the reason in ``error`` and
+    does not stop the others: a case without a header or an image, a grid spacing that
+    is not positive, or a region that vanishes on the new grid.
+    """
+    fine = F.least("sx", "sy", "sz") > 0
+    good = headers.where(fine)
+    clean = cut(nodes.clean_mask(voxels.join(good.select("case_id"), "case_id", "left_semi"), good))
+    regions = mask.where("label IN (1, 2)").select("case_id", F.when(F.col("label") == 1, "gtvp").otherwise("gtvn").alias("region")).distinct()
+    rows, grid = resampled_regions(clean, voxels, good, spacing)
+    levels = cut(discretise(rows))
+    one = good.select("case_id", *[F.lit(float(spacing)).alias(f"s{a}") for a in "xyz"])
+    parts = texture_classes(levels, one)
+    modality = F.explode(F.array(F.lit("ct"), F.lit("pt"))).alias("modality")
+    solid = levels.where("modality = 'ct'").select("case_id", F.when(F.col("region") == "gtvp", 1).otherwise(2).alias("label"), "z", "y", "x")
+    body = shape(solid, one).join(in_plane_diameters(solid, one), ["case_id", "region"])
+    parts["shape"] = body.select("case_id", modality, "region", *[c for c in body.columns if c not in ROI])
+    found = cut(_stacked(parts))
+    split = F.split("name", "_")
+    measured = found.select("case_id", split[1].alias("region"), split[0].alias("modality"), "name", "value", F.lit(None).cast("string").alias("error"))
+    kept = clean.where("label IN (1, 2)").select("case_id", F.when(F.col("label") == 1, "gtvp").otherwise("gtvn").alias("region"), F.lit(True).alias("_kept")).distinct()
+    known = headers.select("case_id", F.lit(True).alias("_header"), fine.alias("_fine"))
+    lost = regions.join(measured.select("case_id", "region").distinct(), ["case_id", "region"], "left_anti").join(known, "case_id", "left").join(kept, ["case_id", "region"], "left")
+    reason = F.when(F.col("_header").isNull(), "no image header").when(~F.coalesce("_fine", F.lit(False)), "voxel spacing is not positive") \
+        .when(F.col("_kept").isNull(), "nothing left after cleanup").otherwise(f"nothing left on the {spacing:g} mm grid")
+    return measured.unionByName(lost.select("case_id", "region", F.lit(None).cast("string").alias("modality"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("value"), reason.alias("error")))
+
+
 def pivot_features(long: DataFrame, names: list[str]) -> DataFrame:
     """Wide row per case over a known list of names; missing regions leave NULLs."""
     return long.groupBy("case_id").pivot("name", names).agg(F.first("value"))

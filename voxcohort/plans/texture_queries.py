@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from voxcohort import fixtures as fx
-from voxcohort.operators import resample, texture
-from voxcohort.plans.registry import query, view
+from voxcohort.operators import resample, texture, texture_kernel as kernel
+from voxcohort.plans.registry import VIEWS, query, view
 from voxcohort.plans.views import component_views
 
 K = "case_id, modality, region"
@@ -175,12 +177,12 @@ GLCM_MORE = {"SumEntropy": '"SumEntropy"', "DifferenceEntropy": '"DifferenceEntr
        + f" FROM glcm_m JOIN glcm_h USING ({K}, dir) GROUP BY {K}")
 def v42(spark, sf):
     lv = levels(spark, sf)
-    return rounded(texture.cooccurrence_features(lv, texture.cooccurrence(texture.neighbour_pairs(lv))), *ROI, digits=4)
+    return rounded(texture.cooccurrence_features(lv, kernel.pair_matrix(kernel.cube_counts(lv))), *ROI, digits=4)
 
 
 @query("v42_cooccurrence_matrix", f"SELECT {K}, cast(dir AS INT) AS dir, i, j, c FROM glcm")
 def v42m(spark, sf):
-    return texture.cooccurrence(texture.neighbour_pairs(levels(spark, sf)))
+    return kernel.pair_matrix(kernel.cube_counts(levels(spark, sf)))
 
 
 SIZE_NAMES = {"glrlm": ("ShortRun", "LongRun", "Run", "RunLengthNonUniformity", "GrayLevelRunEmphasis"),
@@ -216,7 +218,7 @@ view("glrlm", f"""SELECT {K}, dir, level AS i, j, count(*) AS c FROM (SELECT {K}
 @query("v43_run_lengths", size_sql("glrlm", "glrlm"))
 def v43(spark, sf):
     lv = levels(spark, sf)
-    return rounded(texture.size_matrix_features(texture.run_lengths(lv), "glrlm", lv), *ROI, digits=4)
+    return rounded(texture.size_matrix_features(kernel.run_matrix(kernel.cube_counts(lv)), "glrlm", lv), *ROI, digits=4)
 
 
 component_views("lz", "lev", ["case_id", "modality", "region", "level"])
@@ -226,7 +228,7 @@ view("glszm", f"SELECT {K}, 0 AS dir, level AS i, j, count(*) AS c FROM (SELECT
 @query("v44_size_zones", size_sql("glszm", "glszm"))
 def v44(spark, sf):
     lv = levels(spark, sf)
-    return rounded(texture.size_matrix_features(texture.size_zones(lv), "glszm", lv), *ROI, digits=4)
+    return rounded(texture.size_matrix_features(kernel.zone_matrix(kernel.cube_counts(lv)), "glszm", lv), *ROI, digits=4)
 
 
 view("around", f"""SELECT a.case_id, a.modality, a.region, a.z, a.y, a.x, any_value(a.level) AS level, count(b.level) AS n, count(CASE WHEN b.level = a.level THEN 1 END) AS equal, sum(b.level) AS total
@@ -238,8 +240,7 @@ view("gldm", f"SELECT {K}, 0 AS dir, level AS i, equal + 1 AS j, count(*) AS c F
 @query("v45_dependences", size_sql("gldm", "gldm"))
 def v45(spark, sf):
     lv = levels(spark, sf)
-    around = texture.neighbourhood(lv, texture.neighbour_pairs(lv))
-    return rounded(texture.size_matrix_features(texture.dependences(around), "gldm"), *ROI, digits=4)
+    return rounded(texture.size_matrix_features(kernel.dependence_matrix(kernel.cube_counts(lv)), "gldm"), *ROI, digits=4)
 
 
 view("ngtdm", f"""SELECT {K}, level::DOUBLE AS i, count(*)::DOUBLE AS n, count(*) / sum(count(*)) OVER (PARTITION BY {K}) AS p, sum(abs(level - total / n)) AS s
@@ -254,7 +255,7 @@ view("ngtdm", f"""SELECT {K}, level::DOUBLE AS i, count(*)::DOUBLE AS n, count(*
     sum((a.p+b.p)*(a.i-b.i)**2) AS str FROM ngtdm a JOIN ngtdm b USING ({K}) GROUP BY {K}) USING ({K})""")
 def v46(spark, sf):
     lv = levels(spark, sf)
-    return rounded(texture.tone_difference_features(texture.neighbourhood(lv, texture.neighbour_pairs(lv))), *ROI, digits=4)
+    return rounded(texture.tone_difference_features(kernel.tone_sums(kernel.cube_counts(lv))), *ROI, digits=4)
 
 
 WIDE = [f"{m}_{r}_firstorder_{n}" for m in ("ct", "pt") for r in ("gtvp", "gtvn") for n in ("Mean", "Maximum", "Energy")]
@@ -271,3 +272,69 @@ def v47(spark, sf):
 def v47_long(spark, sf):
     vox = fx.voxels(spark, sf)
     return texture.radiomics_long(vox.where("label > 0"), vox, fx.volumes(spark, sf))
+
+
+# ------------------------------------------------- V47 over the isotropic grids
+view("r_region", "SELECT case_id, CASE label WHEN 1 THEN 'gtvp' ELSE 'gtvn' END AS region, z, y, x FROM cleaned", ("cleaned",))
+view("r_points", """SELECT h.case_id, region, cast(a.i AS INT) AS z, cast(b.i AS INT) AS y, cast(c.i AS INT) AS x,
+  round(zlo + 2.0*a.i/sz, 9) AS cz, round(ylo + 2.0*b.i/sy, 9) AS cy, round(xlo + 2.0*c.i/sx, 9) AS cx FROM fx_volumes h
+  JOIN (SELECT case_id, region, min(z) AS zlo, max(z) AS zhi, min(y) AS ylo, max(y) AS yhi, min(x) AS xlo, max(x) AS xhi FROM r_region GROUP BY 1, 2) m ON h.case_id = m.case_id,
+  range(0, 64) a(i), range(0, 64) b(i), range(0, 64) c(i)
+  WHERE a.i <= floor((zhi-zlo)*sz/2.0) AND b.i <= floor((yhi-ylo)*sy/2.0) AND c.i <= floor((xhi-xlo)*sx/2.0)""", ("fx_volumes", "r_region"))
+_q = lambda a, d: f"greatest(0, least(11, cast(floor(c{a}) AS INT) + {d}.d))"
+_w = lambda a, d: f"(CASE {d}.d WHEN 1 THEN c{a} - floor(c{a}) ELSE 1 - (c{a} - floor(c{a})) END)"
+view("r_taps", f"""SELECT p.*, {_q('z', 'a')} AS qz, {_q('y', 'b')} AS qy, {_q('x', 'c')} AS qx, {_w('z', 'a')} * {_w('y', 'b')} * {_w('x', 'c')} AS w
+  FROM r_points p, (VALUES (0),(1)) a(d), (VALUES (0),(1)) b(d), (VALUES (0),(1)) c(d)""", ("r_points",))
+view("r_values", """SELECT t.case_id, t.region, t.z, t.y, t.x, sum(w * coalesce(s.ct, -1000.0)) AS ct, sum(w * coalesce(s.pet, 0.0)) AS pt FROM r_taps t
+  LEFT JOIN fx_voxels s ON s.case_id = t.case_id AND s.z = qz AND s.y = qy AND s.x = qx
+  LEFT JOIN r_region r ON r.case_id = t.case_id AND r.region = t.region AND r.z = qz AND r.y = qy AND r.x = qx
+  GROUP BY ALL HAVING sum(w * CASE WHEN r.z IS NULL THEN 0.0 ELSE 1.0 END) >= 0.5 - 1e-9""", ("r_taps", "fx_voxels", "r_region"))
+view("r_roi", "SELECT case_id, m.modality, region, z, y, x, CASE m.modality WHEN 'ct' THEN ct ELSE pt END AS value FROM r_values, (VALUES ('ct'),('pt')) m(modality)", ("r_values",))
+view("r_grid", "SELECT DISTINCT case_id, 2.0::DOUBLE AS sx, 2.0::DOUBLE AS sy, 2.0::DOUBLE AS sz FROM r_values", ("r_values",))
+view("r_solid", "SELECT case_id, CASE region WHEN 'gtvp' THEN 1 ELSE 2 END AS label, z, y, x FROM r_values", ("r_values",))
+_COPIED = ["lev", "fo_q", "fo_r", "fo_h", "fo", "shape_m", "shape_e", "shape_p", "shape_d", "plane_pts", "pairs13", "glcm", "glcm_p", "glcm_h", "glcm_m", "line13", "glrlm", "lz_walk", "lz_comp", "glszm",
+           "around", "gldm", "ngtdm"]
+_RENAMED = {**{n: f"r_{n}" for n in _COPIED}, "roi": "r_roi", "fx_voxels": "r_solid", "fx_volumes": "r_grid"}
+
+
+def on_grids(sql):
+    """SQL of a region query, read over the isotropic grids instead."""
+    return re.sub(r"\b(" + "|".join(sorted(_RENAMED, key=len, reverse=True)) + r")\b", lambda m: _RENAMED[m[0]], sql)
+
+
+for _name in _COPIED:
+    view(f"r_{_name}", on_grids(VIEWS[_name][1]), tuple(_RENAMED.get(d, d) for d in VIEWS[_name][0]))
+
+
+def long_sql(feature_class, sql, keys=K):
+    tail = "concat_ws('_', modality, region, '" + feature_class + "', feature)"
+    wide = f"(SELECT m.modality, s.* FROM ({on_grids(sql)}) s, (VALUES ('ct'),('pt')) m(modality))" if keys != K else f"({on_grids(sql)})"
+    return f"SELECT case_id, region, modality, {tail} AS name, round(value, 3) AS value FROM (UNPIVOT {wide} ON COLUMNS(* EXCLUDE (case_id, modality, region)) INTO NAME feature VALUE value)"
+
+
+SHAPE_SQL = """SELECT case_id, region, n*vv AS "VoxelVolume", 4*sqrt(l1) AS "MajorAxisLength", 4*sqrt(greatest(0, 3*q-l1-l3)) AS "MinorAxisLength",
+  4*sqrt(l3) AS "LeastAxisLength", coalesce(sqrt(greatest(0, 3*q-l1-l3)/nullif(l1, 0)), 0) AS "Elongation", coalesce(sqrt(l3/nullif(l1, 0)), 0) AS "Flatness", far AS "Maximum3DDiameter" FROM shape_e JOIN shape_d USING (case_id, region)"""
+PLANE_SQL = "SELECT case_id, region, " + ", ".join(f"""max(sqrt((a.pz-b.pz)**2 + (a.py-b.py)**2 + (a.px-b.px)**2)) FILTER (a.{p} = b.{p}) AS "Maximum2DDiameter{n}" """ for n, p in PLANES.items()) \
+    + " FROM plane_pts a JOIN plane_pts b USING (case_id, region) GROUP BY ALL"
+GLCM_SQL = f"SELECT {K}, " + ", ".join(f'avg({e}) AS "{n}"' for n, e in {**{n: f'"{n}"' for n in GLCM}, **GLCM_MORE}.items()) + f" FROM glcm_m JOIN glcm_h USING ({K}, dir) GROUP BY {K}"
+NGTDM_SQL = f"""SELECT {K}, CASE WHEN ps = 0 THEN 1e6 ELSE 1/ps END AS "Coarseness", CASE WHEN ng <= 1 THEN 0 ELSE con / (ng*(ng-1)) * ts / nv END AS "Contrast", coalesce(ps / nullif(busy, 0), 0) AS "Busyness",
+  comp / nv AS "Complexity", coalesce(str / nullif(ts, 0), 0) AS "Strength" FROM (SELECT {K}, sum(p*s) AS ps, count(*) AS ng, sum(s) AS ts, sum(n) AS nv FROM ngtdm GROUP BY {K}) JOIN
+  (SELECT {K}, sum(a.p*b.p*(a.i-b.i)**2) AS con, sum(abs(a.i*a.p - b.i*b.p)) AS busy, sum(abs(a.i-b.i)*(a.p*a.s+b.p*b.s)/(a.p+b.p)) AS comp, sum((a.p+b.p)*(a.i-b.i)**2) AS str
+   FROM ngtdm a JOIN ngtdm b USING ({K}) GROUP BY {K}) USING ({K})"""
+
+
+@query("v47_radiomics_resampled", " UNION ALL ".join([
+    long_sql("firstorder", "SELECT * FROM fo"), long_sql("glcm", GLCM_SQL), long_sql("glrlm", size_sql("glrlm", "glrlm")), long_sql("glszm", size_sql("glszm", "glszm")),
+    long_sql("gldm", size_sql("gldm", "gldm")), long_sql("ngtdm", NGTDM_SQL), long_sql("shape", SHAPE_SQL, "case"), long_sql("shape", PLANE_SQL, "case")]))
+def v47_resampled(spark, sf):
+    """Every class after cleanup, on the 2 mm grid of each region."""
+    vox = fx.voxels(spark, sf)
+    rows = texture.radiomics_rows(vox, vox, fx.volumes(spark, sf)).where("error IS NULL AND name NOT LIKE '%_MCC'")
+    return rows.select("case_id", "region", "modality", "name", F.round("value", 3).alias("value"))
+
+
+@query("v47_failed_regions", "SELECT DISTINCT case_id, CASE label WHEN 1 THEN 'gtvp' ELSE 'gtvn' END AS region, 'nothing left after cleanup' AS error FROM fx_voxels v WHERE label > 0 AND NOT EXISTS (SELECT 1 FROM cleaned c WHERE c.case_id = v.case_id AND c.label = v.label)")
+def v47_failed(spark, sf):
+    """Regions that yield no features, with the reason."""
+    vox = fx.voxels(spark, sf)
+    return texture.radiomics_rows(vox, vox, fx.volumes(spark, sf)).where("error IS NOT NULL").select("case_id", "region", "error")
