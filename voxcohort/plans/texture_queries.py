@@ -190,8 +190,9 @@ SIZE_NAMES = {"glrlm": ("ShortRun", "LongRun", "Run", "RunLengthNonUniformity",
               "gldm": ("SmallDependence", "LargeDependence", "Dependence", "DependenceNonUniformity", "GrayLevelEmphasis")}
 
 
-def size_sql(matrix, kind):
-    """Oracle of the level-by-size features over a view (K, dir, i, j, c)."""
+def size_sql(matrix, kind, digits=4):
+    """Oracle of the level-by-size features over a view (K, dir, i, j, c), rounded unless ``digits`` is None."""
+    shown = lambda e: e if digits is None else off_tie(e, digits)
     short, long, size, nonuni, gray = SIZE_NAMES[kind]
     f = {f"{short}Emphasis": "sum(p/(j*j))", f"{long}Emphasis": "sum(p*j*j)", "GrayLevelVariance": "sum(p*(i-ui)**2)", f"{size}Variance": "sum(p*(j-uj)**2)",
          f"{size}Entropy": "-sum(p*log2(p))", f"Low{gray}": "sum(p/(i*i))", f"High{gray}": "sum(p*i*i)", f"{short}LowGrayLevelEmphasis": "sum(p/(i*i*j*j))",
@@ -201,7 +202,7 @@ def size_sql(matrix, kind):
         f["GrayLevelNonUniformityNormalized"] = "any_value(gi)/any_value(n)**2"
         f[f"{size}Percentage"] = "any_value(n)/any_value(np)"
     by = f"{K}, dir"
-    return f"SELECT {K}, " + ", ".join(f"""{off_tie(f'avg("{n}")', 4)} AS "{n}" """ for n in f) + f" FROM (SELECT {by}, " + ", ".join(f'{e} AS "{n}"' for n, e in f.items()) + f"""
+    return f"SELECT {K}, " + ", ".join(f"""{shown(f'avg("{n}")')} AS "{n}" """ for n in f) + f" FROM (SELECT {by}, " + ", ".join(f'{e} AS "{n}"' for n, e in f.items()) + f"""
       FROM (SELECT *, sum(p*i) OVER (PARTITION BY {by}) AS ui, sum(p*j) OVER (PARTITION BY {by}) AS uj FROM (
         SELECT {by}, i::DOUBLE AS i, j::DOUBLE AS j, c, c::DOUBLE / sum(c) OVER (PARTITION BY {by}) AS p, (sum(c) OVER (PARTITION BY {by}))::DOUBLE AS n FROM {matrix}))
       JOIN (SELECT {by}, sum(s*s)::DOUBLE AS gi FROM (SELECT {by}, i, sum(c) AS s FROM {matrix} GROUP BY ALL) GROUP BY {by}) USING ({by})
@@ -309,7 +310,7 @@ for _name in _COPIED:
 def long_sql(feature_class, sql, keys=K):
     tail = "concat_ws('_', modality, region, '" + feature_class + "', feature)"
     wide = f"(SELECT m.modality, s.* FROM ({on_grids(sql)}) s, (VALUES ('ct'),('pt')) m(modality))" if keys != K else f"({on_grids(sql)})"
-    return f"SELECT case_id, region, modality, {tail} AS name, round(value, 3) AS value FROM (UNPIVOT {wide} ON COLUMNS(* EXCLUDE (case_id, modality, region)) INTO NAME feature VALUE value)"
+    return f"SELECT case_id, region, modality, {tail} AS name, {off_tie('value', 3)} AS value FROM (UNPIVOT {wide} ON COLUMNS(* EXCLUDE (case_id, modality, region)) INTO NAME feature VALUE value)"
 
 
 SHAPE_SQL = """SELECT case_id, region, n*vv AS "VoxelVolume", 4*sqrt(l1) AS "MajorAxisLength", 4*sqrt(greatest(0, 3*q-l1-l3)) AS "MinorAxisLength",
@@ -324,13 +325,13 @@ NGTDM_SQL = f"""SELECT {K}, CASE WHEN ps = 0 THEN 1e6 ELSE 1/ps END AS "Coarsene
 
 
 @query("v47_radiomics_resampled", " UNION ALL ".join([
-    long_sql("firstorder", "SELECT * FROM fo"), long_sql("glcm", GLCM_SQL), long_sql("glrlm", size_sql("glrlm", "glrlm")), long_sql("glszm", size_sql("glszm", "glszm")),
-    long_sql("gldm", size_sql("gldm", "gldm")), long_sql("ngtdm", NGTDM_SQL), long_sql("shape", SHAPE_SQL, "case"), long_sql("shape", PLANE_SQL, "case")]))
+    long_sql("firstorder", "SELECT * FROM fo"), long_sql("glcm", GLCM_SQL), long_sql("glrlm", size_sql("glrlm", "glrlm", None)), long_sql("glszm", size_sql("glszm", "glszm", None)),
+    long_sql("gldm", size_sql("gldm", "gldm", None)), long_sql("ngtdm", NGTDM_SQL), long_sql("shape", SHAPE_SQL, "case"), long_sql("shape", PLANE_SQL, "case")]))
 def v47_resampled(spark, sf):
     """Every class after cleanup, on the 2 mm grid of each region."""
     vox = fx.voxels(spark, sf)
     rows = texture.radiomics_rows(vox, vox, fx.volumes(spark, sf)).where("error IS NULL AND name NOT LIKE '%_MCC'")
-    return rows.select("case_id", "region", "modality", "name", F.round("value", 3).alias("value"))
+    return rows.select("case_id", "region", "modality", "name", F.round(F.col("value") + NUDGE, 3).alias("value"))
 
 
 @query("v47_failed_regions", "SELECT DISTINCT case_id, CASE label WHEN 1 THEN 'gtvp' ELSE 'gtvn' END AS region, 'nothing left after cleanup' AS error FROM fx_voxels v WHERE label > 0 AND NOT EXISTS (SELECT 1 FROM cleaned c WHERE c.case_id = v.case_id AND c.label = v.label)")
