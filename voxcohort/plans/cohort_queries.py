@@ -187,12 +187,12 @@ def s13(spark, sf):
         "PatientID", cl.number("max_node_mm").alias("max_node_mm"), cl.number("HPV").cast("int").alias("HPV"))
 
 
-@query("s14_state_or_fallback", "SELECT avg(gtvp_ml) > 0 AS has_state, true AS missing_falls_back FROM fx_cohort")
+@query("s14_state_or_fallback", "SELECT center, round(avg(gtvp_ml), 6) AS mean, round(stddev_pop(gtvp_ml), 6) AS sd, true AS missing_falls_back FROM fx_cohort GROUP BY 1")
 def s14(spark, sf):
     path = _scratch(spark, "state")
-    sinks.save_params(fx.cohort(spark, sf).agg(F.avg("gtvp_ml").alias("mean")), path)
+    sinks.save_params(fx.cohort(spark, sf).groupBy("center").agg(F.avg("gtvp_ml").alias("mean"), F.stddev_pop("gtvp_ml").alias("sd")), path)
     found, absent = sinks.load_params(spark, path), sinks.load_params(spark, path + "-absent")
-    return found.select((F.col("mean") > 0).alias("has_state"), F.lit(absent is None).alias("missing_falls_back"))
+    return found.select("center", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.lit(absent is None).alias("missing_falls_back"))
 
 
 @query("s15_manifest", """SELECT "case", channel, source, target FROM (

@@ -15,6 +15,7 @@ from voxcohort.plans import logistic_sql as lsql, scoring
 from voxcohort.plans.cohort_queries import _scratch, pair_sql, r6, sql6, staged
 from voxcohort.plans.registry import query, view
 from voxcohort.plans.views import rule
+from voxcohort.session import cut
 
 BASE = ["gtvp_ml", "n_gtvn", "max_node_mm", "gtvn_total_ml", "N_ordinal", "Age", "Gender", "HPV", "HPV_missing"]
 NUM = ["gtvp_ml", "n_gtvn", "max_node_mm", "gtvn_total_ml", "Age", "HPV"]
@@ -216,20 +217,83 @@ def m11(spark, sf):
     return cy.rule_scores(staged(spark, sf)).select("scheme", *r6("score"))
 
 
+view("t_staged", "SELECT *, substr(replace(upper(T_raw), 'T', ''), 1, 1) AS t FROM fx_cohort WHERE substr(replace(upper(T_raw), 'T', ''), 1, 1) IN ('1','2','3','4')", ("fx_cohort",))
+CLINICAL = ["Age", "Gender", "HPV"]
+T_SETS = {"geometry_only": cl.GEOMETRY, "geometry+clinical": cl.GEOMETRY + CLINICAL, "features_only": POOL, "features+geometry+clinical": POOL + cl.GEOMETRY + CLINICAL}
+PLAIN_BOOST = cy.Boost(rounds=200, step=0.05, l2=0.0, balanced=False)
+
+
+def t_rows(spark, sf):
+    """Cohort with T labels and the feature columns of every set."""
+    df = fx.cohort(spark, sf).withColumn("T", cl.t_label("T_raw", "first_char"))
+    df = df.withColumns({"SUV_gtvp_Mean": F.col("gtvp_ml") / (1 + F.col("c_custkey") % 7), "SUV_gtvn_Maximum": F.col("max_node_mm") / (1 + F.col("c_custkey") % 5)})
+    return df.withColumn("TLG_gtvp", cl.tlg("gtvp_ml", "SUV_gtvp_Mean"))
+
+
+def both_schemes(df):
+    """Training sets of all folds (at least one row on each side) and all centers (5 to judge, 20 to train), ``g`` named by scheme."""
+    named = lambda by: sv.training_sets(df, by).withColumn("g", F.concat(F.lit(f"{by}|"), "g"))
+    return cy.usable_sets(named("fold"), 1, 1).unionByName(cy.usable_sets(named("center"), 5, 20))
+
+
+def scheme_scores(predictions):
+    """Mean and deviation over the folds, mean over the centers, by ``config``."""
+    per = metrics.balanced_accuracy(predictions, group=["config", "g"]).withColumn("scheme", F.substring_index("g", "|", 1))
+    pick = lambda s: F.when(F.col("scheme") == s, F.col("balanced_accuracy"))
+    return per.groupBy("config").agg(F.avg(pick("fold")).alias("cv_mean"), F.stddev_pop(pick("fold")).alias("cv_std"), F.avg(pick("center")).alias("loco"))
+
+
+def boosted_sets(sets, feature_sets, label, classes, make):
+    """Boosted predictions of several feature sets in one run: a set's rows hold NULL in the columns of the others, which never split."""
+    every = list(dict.fromkeys(f for fs in feature_sets.values() for f in fs))
+    out = None
+    for name, feats in feature_sets.items():
+        rows, p = cy.design(sets, feats, label, classes)
+        part = rows.select(F.concat(F.lit(f"{name}|"), "g").alias("g"), "train", "PatientID", label, F.col("weight") if make.balanced else F.lit(1.0).alias("weight"),
+                           *[F.col("x")[feats.index(f)].alias(f) if f in feats else F.lit(None).cast("double").alias(f) for f in every])
+        out = part if out is None else out.unionByName(part)
+    p = boosting.boosted_predictions(out, every, label, classes, rounds=make.rounds, depth=make.depth, step=make.step, l2=make.l2)
+    return p.select(F.substring_index("g", "|", 1).alias("config"), F.expr("substring(g, instr(g, '|') + 1)").alias("g"), "PatientID", "y", "p")
+
+
+def t_predictions(df):
+    """Out-of-group T predictions of every model and feature set, all folds and centers."""
+    sets = cut(both_schemes(df))
+    out = boosted_sets(sets, T_SETS, "T", cl.T_CLASSES, PLAIN_BOOST).withColumn("config", F.concat("config", F.lit("|HistGB")))
+    for name, feats in T_SETS.items():
+        for model, make in (("LogReg", cy.Ridge(balanced=False)), ("RF", lambda n: cy.forest(balanced=False))):
+            p = cy.cv_predictions(sets, feats, "T", cl.T_CLASSES, make)
+            out = out.unionByName(p.select(F.lit(f"{name}|{model}").alias("config"), "g", "PatientID", "y", "p"))
+    return out
+
+
 @query("m12_comparison")
 def m12(spark, sf):
-    """Feature sets times models times K, best configuration first."""
+    """Four feature sets times three models for T: cross-validation, leave-one-center-out, and the gain over the best geometry-only row."""
+    scores = scheme_scores(t_predictions(t_rows(spark, sf).where(F.col("T").isin(cl.T_CLASSES))))
+    named = scores.select(F.substring_index("config", "|", 1).alias("features"), F.substring_index("config", "|", -1).alias("model"), "cv_mean", "cv_std", "loco")
+    size = F.create_map(*[v for n, fs in T_SETS.items() for v in (F.lit(n), F.lit(len(fs)))])[F.col("features")]
+    base = named.where("features = 'geometry_only'").agg(F.max("cv_mean"))
+    return named.withColumn("k", size).withColumn("gain", F.col("cv_mean") - base.scalar())
+
+
+for _name, _feats in (("geo", T_SETS["geometry_only"]), ("geoclin", T_SETS["geometry+clinical"])):
+    for _by, _least in (("fold", (1, 1)), ("center", (5, 20))):
+        lsql.multinomial_views(f"m12{_name}{_by}", _feats, cl.T_CLASSES, balanced=False, by=_by, min_valid=_least[0], min_train=_least[1], source="t_staged", label="t")
+        lsql.score_views(f"m12{_name}{_by}")
+
+
+@query("m12_logistic_rows", " UNION ALL ".join(
+    f"SELECT '{full}' AS features, round((SELECT avg(balanced_accuracy) FROM m12{n}fold_by), 7) AS cv_mean, round((SELECT stddev_pop(balanced_accuracy) FROM m12{n}fold_by), 7) AS cv_std, round((SELECT avg(balanced_accuracy) FROM m12{n}center_by), 7) AS loco"
+    for n, full in (("geo", "geometry_only"), ("geoclin", "geometry+clinical"))))
+def m12_logistic(spark, sf):
+    """The logistic rows of the comparison on columns that SQL has as well."""
+    sets = cut(both_schemes(t_rows(spark, sf).where(F.col("T").isin(cl.T_CLASSES))))
     out = None
-    order = 0
-    for scheme in ("fold", "center"):
-        sets = stage_sets(spark, sf, scheme).persist()
-        for name, feats in (("size", SIZE), ("geometry", cl.GEOMETRY + LAT)):
-            for k in (2, len(feats)):
-                p = cy.cv_predictions(sets, feats, "N", cl.N_CLASSES, cy.Ridge(), min_valid=5, min_train=20, top_k=k)
-                row = cy.mean_score(p).select(F.lit(order).alias("ord"), F.lit(scheme).alias("scheme"), F.lit(name).alias("features"), F.lit(k).alias("k"), "mean", "std")
-                out = row if out is None else out.unionByName(row)
-                order += 1
-    return out
+    for name in ("geometry_only", "geometry+clinical"):
+        p = cy.cv_predictions(sets, T_SETS[name], "T", cl.T_CLASSES, cy.Ridge(balanced=False)).select(F.lit(name).alias("config"), "g", "PatientID", "y", "p")
+        out = p if out is None else out.unionByName(p)
+    return scheme_scores(out).select(F.col("config").alias("features"), *r6("cv_mean", "cv_std", "loco"))
 
 
 # --------------------------------------------------------------- M13-M16 Cox
@@ -419,14 +483,34 @@ def m22(spark, sf):
     return df.agg(F.round(c, 6).alias("rank_corr"), (c > 0.8).alias("alike"))
 
 
+FAMILIES = (("Cox", "base", BASE), ("sign", "base", BASE), ("sign", "base+features", BASE + POOL), ("bag", "base+features", BASE + POOL), ("bag", "features", POOL))
+
+
 @query("m23_model_families")
 def m23(spark, sf):
-    out = None
-    for name, feats in (("base", BASE), ("base + features", BASE + POOL)):
-        p = model_predictions(cv_sets(spark, sf), feats)
-        row = sv.c_by_group(p).groupBy("model").agg(F.avg("c_index").alias("c_index")).withColumn("features", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Five arms under folds and leave-one-center-out: mean C, sets judged, and the difference to the Cox baseline."""
+    df, out = outcome(spark, sf), None
+    named = lambda by: sv.guard_sets(sv.training_sets(df, by).withColumn("g", F.concat(F.lit(f"{by}|"), "g")))
+    sets = cut(named("fold").unionByName(named("center")))
+    fit = {"Cox": lambda f: sv.cox_predictions(sets, f, 1.0), "sign": lambda f: sv.sign_predictions(sets, f), "bag": lambda f: sv.bagged_sign_predictions(sets, f)}
+    for model, name, feats in FAMILIES:
+        p = fit[model](feats).select("g", "PatientID", "center", "RFS", "event", "risk", F.lit(model).alias("model"), F.lit(name).alias("features"))
+        out = p if out is None else out.unionByName(p)
+    per = sv.c_by_group(out, ["model", "features", "g"]).withColumn("scheme", F.substring_index("g", "|", 1))
+    pick = lambda s: F.when(F.col("scheme") == s, F.col("c_index"))
+    rows = cut(per.groupBy("model", "features").agg(F.avg(pick("fold")).alias("cv"), F.count(pick("fold")).alias("folds"), F.avg(pick("center")).alias("loco"), F.count(pick("center")).alias("centers")))
+    cox = rows.where("model = 'Cox'").select("cv")
+    return rows.withColumn("gain", F.col("cv") - cox.scalar())
+
+
+view("m23_fold", "SELECT g, sum(CASE WHEN i.risk > j.risk THEN 1.0 WHEN i.risk = j.risk THEN 0.5 ELSE 0.0 END) / count(*) AS c FROM sign_risk i JOIN sign_risk j USING (g) WHERE i.event = 1 AND (j.RFS > i.RFS OR (j.RFS = i.RFS AND j.event = 0)) GROUP BY 1", ("sign_risk",))
+
+
+@query("m23_sign_arm", "SELECT round(avg(c), 7) AS cv, count(*) AS folds FROM m23_fold")
+def m23_sign(spark, sf):
+    """The sign arm over the columns that SQL has as well."""
+    per = sv.c_by_group(sv.sign_predictions(cv_sets(spark, sf), NUM), ["g"])
+    return per.agg(F.round(F.avg("c_index"), 7).alias("cv"), F.count("c_index").alias("folds"))
 
 
 @query("m24_center_held_out_risk")
@@ -437,12 +521,16 @@ def m24(spark, sf):
 
 @query("m25_repeated_cv")
 def m25(spark, sf):
+    """Five folds under ten seeds for Cox and the sign ensemble: mean and deviation of each, and of their difference by seed."""
     df = outcome(spark, sf)
     folds = ranks.stratified_folds(df.select("PatientID", "event", "center"), ["event", "center"])
     sets = sv.guard_sets(sv.repeated_sets(df, folds), 1, 1, 3)
-    per = sv.c_by_group(sv.cox_predictions(sets, BASE), ["g"]).withColumn("seed", F.substring_index("g", "_", 1).cast("int"))
-    seeds = per.groupBy("seed").agg(F.avg("c_index").alias("c_index"))
-    return seeds.agg(F.avg("c_index").alias("mean"), F.stddev_pop("c_index").alias("std"), F.count("*").alias("seeds"))
+    per = sv.c_by_group(model_predictions(sets, BASE)).withColumn("seed", F.substring_index("g", "_", 1).cast("int"))
+    seeds = cut(per.groupBy("model", "seed").agg(F.avg("c_index").alias("c_index")))
+    each = seeds.groupBy("model").agg(F.avg("c_index").alias("mean"), F.stddev_pop("c_index").alias("std"), F.count("*").alias("seeds"), F.lit(None).cast("long").alias("wins"))
+    pick = lambda m: F.max(F.when(F.col("model") == m, F.col("c_index")))
+    gap = seeds.groupBy("seed").agg((pick("sign") - pick("Cox")).alias("d"))
+    return each.unionByName(gap.agg(F.lit("sign - Cox").alias("model"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"), F.count("d").alias("seeds"), F.count_if(F.col("d") > 0).alias("wins")).select(each.columns))
 
 
 @query("m26_per_center_comparison")
@@ -470,7 +558,6 @@ def m27(spark, sf):
 
 
 N_FEATURES, T_FEATURES = SIZE + LAT, SIZE + ["Age", "Gender", "HPV"]
-view("t_staged", "SELECT *, substr(replace(upper(T_raw), 'T', ''), 1, 1) AS t FROM fx_cohort WHERE substr(replace(upper(T_raw), 'T', ''), 1, 1) IN ('1','2','3','4')", ("fx_cohort",))
 lsql.multinomial_views("fin_n", N_FEATURES, cl.N_CLASSES, by=None)
 lsql.multinomial_views("fin_t", T_FEATURES, cl.T_CLASSES, by=None, source="t_staged", label="t")
 lsql.multinomial_views("cv_n", N_FEATURES, cl.N_CLASSES, min_valid=5, min_train=20)
@@ -541,11 +628,41 @@ def m29_bare(spark, sf):
     return scoring.score_with_models(fx.voxels(spark, sf), fx.volumes(spark, sf), fx.clinical(spark, sf).select(F.col("c_custkey").alias("case_id"), "Age"), absent, absent, absent)
 
 
+ALL_T = ["0", "1", "2", "3", "4", "N"]
+
+
 @query("m28_clean_vs_polluted")
 def m28(spark, sf):
-    df = fx.cohort(spark, sf).withColumn("T", cl.t_label("T_raw", "first_char"))
-    feats = cl.GEOMETRY + ["Age", "Gender", "HPV"]
-    polluted = cy.cv_predictions(sv.training_sets(df, "fold"), feats, "T", ["0", "1", "2", "3", "4", "N"], cy.Ridge(), min_train=20)
-    clean = cy.cv_predictions(sv.training_sets(df.where(F.col("T").isin(cl.T_CLASSES)), "fold"), feats, "T", cl.T_CLASSES, cy.Ridge(), min_train=20)
-    tag = lambda p, s: cy.pooled_score(p).withColumn("labels", F.lit(s))
-    return tag(polluted, "polluted").unionByName(tag(clean, "clean"))
+    """Four strategies for T: junk kept or dropped under boosting, then two clean logistic models; pooled score and its gain over the first."""
+    df = fx.cohort(spark, sf).withColumn("T", cl.t_label("T_raw", "first_char")).where("T IS NOT NULL")
+    clean = df.where(F.col("T").isin(cl.T_CLASSES))
+    feats, size = cl.GEOMETRY + CLINICAL, SIZE + CLINICAL
+    sets = lambda d: cy.usable_sets(sv.training_sets(d, "fold"), 1, 20)
+    tag = lambda d, s: sets(d).withColumn("g", F.concat(F.lit(f"{s}|"), "g"))
+    both = cy.cv_predictions(tag(df, "A").unionByName(tag(clean, "B")), feats, "T", ALL_T, PLAIN_BOOST)      # absent classes never win
+    out = both.select(F.substring_index("g", "|", 1).alias("strategy"), "y", "p")
+    for name, fs in (("C", feats), ("D", size)):
+        out = out.unionByName(cy.cv_predictions(sets(clean), fs, "T", cl.T_CLASSES, cy.Ridge()).select(F.lit(name).alias("strategy"), "y", "p"))
+    scores = cut(metrics.balanced_accuracy(out, group=["strategy"]))
+    polluted = scores.where("strategy = 'A'").select("balanced_accuracy")
+    return scores.withColumn("gain", F.col("balanced_accuracy") - polluted.scalar())
+
+
+lsql.multinomial_views("m28c", cl.GEOMETRY + CLINICAL, cl.T_CLASSES, min_train=20, source="t_staged", label="t")
+lsql.multinomial_views("m28d", SIZE + CLINICAL, cl.T_CLASSES, min_train=20, source="t_staged", label="t")
+POOLED = "SELECT y, avg(CASE WHEN p = y THEN 1.0 ELSE 0.0 END) AS recall, count(*) AS n FROM {} GROUP BY 1"
+
+
+@query("m28_clean_logistic", " UNION ALL ".join(
+    f"SELECT '{k.upper()}' AS strategy, y AS label, round(recall, 7) AS recall, n, round(avg(recall) OVER (), 7) AS balanced_accuracy FROM ({POOLED.format(f'm28{k}_pred')})" for k in "cd"))
+def m28_logistic(spark, sf):
+    """Recall per class and pooled score of the two clean logistic strategies."""
+    clean = t_rows(spark, sf).where(F.col("T").isin(cl.T_CLASSES))
+    sets = cy.usable_sets(sv.training_sets(clean, "fold"), 1, 20)
+    out = None
+    for name, fs in (("C", cl.GEOMETRY + CLINICAL), ("D", SIZE + CLINICAL)):
+        p = cut(cy.cv_predictions(sets, fs, "T", cl.T_CLASSES, cy.Ridge()))
+        row = metrics.recalls(p).join(metrics.balanced_accuracy(p).select("balanced_accuracy"), how="full")      # one row joins all classes
+        row = row.select(F.lit(name).alias("strategy"), "label", *r6("recall"), "n", F.round("balanced_accuracy", 7).alias("balanced_accuracy"))
+        out = row if out is None else out.unionByName(row)
+    return out
