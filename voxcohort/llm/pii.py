@@ -101,16 +101,21 @@ def _masked() -> Column:
     return F.when(F.size("__spans") == 0, text_of()).otherwise(_rewritten(text_of(), F.transform("__ordered", lambda s, k: _mark(s, blank(s, k)))))
 
 
-def _prepared(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` written with spans, a text hash, the entities and the distinct terms; ``__text`` is the masked text of mentions."""
-    found = docs.withColumn("__spans", let(text_of(), base_spans))
+def _scanned(docs: DataFrame) -> DataFrame:
+    """``docs`` with spans, a text hash, the masked text and its distinct terms."""
+    found = docs.withColumn("__spans", let(text_of(), base_spans)).withColumn("__hash", F.xxhash64(text_of()))
     found = found.withColumn("__ordered", F.sort_array(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
     found = found.withColumn("__text", _masked()).drop("__ordered")
+    return found.withColumn("__words", F.array_distinct(F.transform(F.regexp_extract_all("__text", F.lit(_TERM), F.lit(0)), F.lower)))
+
+
+def _prepared(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of ``docs`` written with spans, a text hash and the entities; only texts with a mention carry their masked text and terms."""
+    found, mention = _scanned(docs), F.size("__spans") > 0
     return written(found.select(
-        *columns, "__spans", F.monotonically_increasing_id().alias("__rid"), F.xxhash64(text_of()).alias("__hash"),
+        *columns, "__spans", F.monotonically_increasing_id().alias("__rid"), "__hash",
         F.array_distinct(F.transform("__spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"])))).alias("__entities"),
-        F.array_distinct(F.transform(F.regexp_extract_all("__text", F.lit(_TERM), F.lit(0)), F.lower)).alias("__words"),
-        F.when(F.size("__spans") > 0, F.col("__text")).alias("__text")))
+        F.when(mention, F.col("__words")).alias("__words"), F.when(mention, F.col("__text")).alias("__text")))
 
 
 def _salted(rows: DataFrame, by: str, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -120,13 +125,18 @@ def _salted(rows: DataFrame, by: str, other: DataFrame, on: list[str], how: str
     return dealt.join(each, [*on, "__salt"], how).drop("__salt")
 
 
-def _told(rows: DataFrame, support: int = SUPPORT, disclose: float = DISCLOSE, remove: float = REMOVE) -> DataFrame:
-    """Per text hash the (term, gone) that tell too much of an entity there."""
-    texts = written(rows.groupBy("__hash").agg(F.first("__entities").alias("__entities"), F.first("__words").alias("__words")))
-    n = texts.count()
+def _told(rows: DataFrame, docs: DataFrame, support: int = SUPPORT, disclose: float = DISCLOSE, remove: float = REMOVE) -> DataFrame:
+    """Per text hash the (term, gone) that tell too much of an entity there.
+
+    Pairs with enough support come from the texts with a mention; how many texts hold
+    a term is counted over all distinct texts, in a scan of its own that writes nothing.
+    """
+    texts = written(rows.where(F.size("__spans") > 0).groupBy("__hash").agg(F.first("__entities").alias("__entities"), F.first("__words").alias("__words")))
+    n = rows.select("__hash").distinct().count()
     entities = (texts.select(F.explode("__entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
                 .where((F.col("n_e") >= support) & (F.col("n_e") < n)))
-    terms = texts.select(F.explode("__words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
+    every = _scanned(docs.select("text")).select("__hash", "__words").groupBy("__hash").agg(F.first("__words").alias("__words"))
+    terms = every.select(F.explode("__words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
     mentions = _salted(texts.select("__hash", F.explode("__entities").alias("entity")), "__hash", entities, ["entity"])
     wanted = mentions.groupBy("__hash").agg(F.collect_list(F.struct("entity", "n_e")).alias("m"))
     pairs = texts.where(F.size("__entities") > 0).select("__hash", "__words").join(wanted, "__hash").select("__hash", "__words", F.inline("m")) \
@@ -140,19 +150,19 @@ def _told(rows: DataFrame, support: int = SUPPORT, disclose: float = DISCLOSE, r
         .groupBy("__hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("__told"))
 
 
-def _with_terms(rows: DataFrame, corpus: DataFrame, **limits) -> DataFrame:
+def _with_terms(rows: DataFrame, corpus: DataFrame, docs: DataFrame, **limits) -> DataFrame:
     """``rows`` with ``__terms``: every place (start, end, gone) of a disclosing term of the row's text."""
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?iu:"), F.array_join(F.map_keys("__told"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
     places = F.transform(_matches(F.col("__text"), pattern), lambda m: F.struct(
         m["start"].alias("start"), m["end"].alias("end"), F.coalesce(F.try_element_at(F.col("__told"), F.lower(m["value"])), F.lit(False)).alias("gone")))
-    return _salted(rows, "__rid", _told(corpus, **limits), ["__hash"], "left") \
+    return _salted(rows, "__rid", _told(corpus, docs, **limits), ["__hash"], "left") \
         .withColumn("__terms", F.when(F.col("__told").isNotNull() & F.col("__text").isNotNull(), places).otherwise(F.array().cast(_PLACES)))
 
 
 def personal_data(docs: DataFrame, **limits) -> DataFrame:
     """One row per document: counts per kind, a digest of the base spans, and all spans."""
     rows = _prepared(docs.select("doc_id", "text"), ["doc_id"])
-    out = _with_terms(rows, rows, **limits)
+    out = _with_terms(rows, rows, docs, **limits)
     count = lambda kind: F.size(F.filter("__spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     told = F.transform("__spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
     more = F.transform("__terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["end"]))
@@ -165,7 +175,7 @@ def sanitised(docs: DataFrame, **limits) -> DataFrame:
     rows = _prepared(docs, docs.columns)
     marks = F.concat(F.transform("__spans", lambda s: _mark(s, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))),
                      F.transform("__terms", lambda s: _mark(s, F.when(s["gone"], "").otherwise("[WORD]"))))
-    changed = _with_terms(rows.where(F.size("__spans") > 0), rows, **limits).withColumn("text", _rewritten(F.col("text"), marks))
+    changed = _with_terms(rows.where(F.size("__spans") > 0), rows, docs, **limits).withColumn("text", _rewritten(F.col("text"), marks))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.where(F.size("__spans") == 0).select(docs.columns).unionByName(changed.select(docs.columns))
