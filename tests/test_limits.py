@@ -9,7 +9,7 @@ from voxcohort.operators import crop, nodes, spread
 from voxcohort.plans.scoring import risk_from_state
 from voxcohort.sources import listing
 from voxcohort.sources.sinks import read_or_none
-from voxcohort.streaming.incremental import run_available
+from voxcohort.streaming.incremental import Waiting, run_available, waiting_voxels
 
 HEAD = "case_id long, nx int, ny int, nz int, sx double, sy double, sz double"
 
@@ -63,6 +63,19 @@ def test_a_case_over_two_runs_keeps_all_voxels(spark, tmp_path):
         run_available(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ckpt", lambda v: v.groupBy("case_id").count(), expected)
         seen.append(sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())))
     assert seen == [[(2, 6)], [(1, 6), (2, 6)], [(1, 6), (2, 6)]]
+    assert waiting_voxels(spark, f"{tmp_path}/out").count() == 0      # nothing is held once every case is complete
+    held = Waiting(spark, f"{tmp_path}/out_waiting").generations()
+    assert held == [1, 2]                                             # the last, and the one its replay would read
+
+
+def test_replayed_batch_starts_from_the_generation_before_it(spark, tmp_path):
+    rows = lambda c: spark.createDataFrame([(c, 0, 0, 0, 1, 1.0, 0.0)], schema.VOXELS)
+    held = Waiting(spark, f"{tmp_path}/held")
+    assert held.generations() == [] and held.before(5) is None
+    for batch in (0, 1, 1, 2):
+        seen = held.before(batch)
+        held.keep(rows(batch) if seen is None else seen.unionByName(rows(batch)), batch)
+    assert held.generations() == [1, 2] and sorted(r.case_id for r in held.before(3).collect()) == [0, 1, 2]
 
 
 def test_only_a_missing_table_is_missing(spark, tmp_path):

@@ -137,3 +137,16 @@ def test_sign_model_orients_features(spark):
     long = survival.long_features(survival.whole_set(df), ["up", "down"], "PatientID", "RFS", "event")
     model = {r.feature: r.sign for r in survival.sign_model(long, ["g"]).collect()}
     assert model == {"up": 1.0, "down": -1.0}
+
+
+def test_weighted_sign_model_equals_copies(spark):
+    rng = np.random.default_rng(11)
+    rows = [("g", i % 2, f, float(rng.integers(0, 9)) if rng.random() < 0.9 else None, float(rng.integers(1, 40)), int(rng.random() < 0.5), int(rng.integers(0, 4)))
+            for i in range(60) for f in ("a", "b")]
+    df = spark.createDataFrame(rows, "g string, replicate int, feature string, value double, RFS double, event int, k int")
+    copies = df.where("k > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("k"))))
+    model = lambda d, w=None: {(r.replicate, r.feature): (r.mu, pytest.approx(r.sd), r.sign, r.keep) for r in survival.sign_model(d, ["g", "replicate"], 0.05, w).collect()}
+    want = model(copies)
+    assert len(want) == 4 and {k: (v[0], float(v[1].expected), *v[2:]) for k, v in model(df.where("k > 0"), "k").items()} == want
+    q = lambda d, w=None: {(r.feature, r.p): r.value for r in ranks.exact_quantiles(d, "value", [0.2, 0.5, 0.9], ["feature"], weight=w).collect()}
+    assert q(df, "k") == pytest.approx(q(copies))

@@ -38,7 +38,8 @@ def top_mistakes(df: DataFrame, k: int = 6, truth: str = "y", pred: str = "p") -
 
 
 def per_center(df: DataFrame, truth: str = "y", pred: str = "p", min_n: int = 5) -> DataFrame:
-    return balanced_accuracy(df, truth, pred, ["center"]).where(F.col("n") >= min_n)
+    """Score per center; one with fewer than ``min_n`` rows keeps its row without a score."""
+    return balanced_accuracy(df, truth, pred, ["center"]).withColumn("balanced_accuracy", F.when(F.col("n") >= min_n, F.col("balanced_accuracy")))
 
 
 def medians_by(df: DataFrame, by: str, cols: list[str]) -> DataFrame:

@@ -62,10 +62,11 @@ def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, str
 
 
 def rank_table(df: DataFrame, col: str, keys: list[str] | None = None, rows_per_range: int = ROWS_PER_RANGE,
-               at_most: int | None = None) -> DataFrame:
-    """(keys, value, n, below, dense, total): counts behind every kind of rank."""
+               at_most: int | None = None, weight: str | None = None) -> DataFrame:
+    """(keys, value, n, below, dense, total): counts behind every kind of rank; a row counts ``weight`` times (a whole number)."""
     keys = list(keys or [])
-    values = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("n")).withColumn("_one", F.lit(1))
+    size = F.count("*") if weight is None else F.sum(F.col(weight).cast("long"))
+    values = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(size.alias("n")).where("n > 0").withColumn("_one", F.lit(1))
     bounds = range_bounds(values, col, rows_per_range, at_most)
     ranked = running_sums(values, keys, col, {"below": "n", "dense": "_one"}, bounds).drop("_one")
     if not bounds:
@@ -76,16 +77,16 @@ def rank_table(df: DataFrame, col: str, keys: list[str] | None = None, rows_per_
 
 
 def exact_quantiles(df: DataFrame, col: str, probabilities, keys: list[str] | None = None,
-                    rows_per_range: int = ROWS_PER_RANGE, at_most: int | None = None) -> DataFrame:
+                    rows_per_range: int = ROWS_PER_RANGE, at_most: int | None = None, weight: str | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles: (keys, p, value), one row per probability.
 
-    Unlike a percentile aggregate, no task has to hold all values of a group.
+    With ``weight``, those of rows repeated that often. Unlike a percentile aggregate, no task has to hold all values of a group.
     """
     keys = list(keys or [])
     points = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
     at = F.col("p") * (F.col("total") - 1)
     holds = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
-    ranked = rank_table(df, col, keys, rows_per_range, at_most).withColumn("p", points)
+    ranked = rank_table(df, col, keys, rows_per_range, at_most, weight).withColumn("p", points)
     ranked = ranked.withColumns({"_pos": at, "_v": F.col(col).cast("double")})
     low, high = holds(F.floor("_pos")), holds(F.ceil("_pos"))
     ends = ranked.where(low | high).groupBy(*keys, "p").agg(

@@ -226,18 +226,23 @@ def cox_on_arrays(x: DataFrame, p: int, penalizer: float, keep: tuple = ("Patien
 
 
 # -------------------------------------------------------------- sign ensemble
-def sign_model(long: DataFrame, keys: list[str], cmin: float = 0.0) -> DataFrame:
+def sign_model(long: DataFrame, keys: list[str], cmin: float = 0.0, weight: str | None = None) -> DataFrame:
     """(keys, feature, mu, sd, sign, keep) from training rows (keys, feature, value, RFS, event).
 
     Values are centred at the median and scaled by the standard deviation; the sign
     says whether larger values go with shorter time. When no feature reaches
-    ``cmin`` all are kept.
+    ``cmin`` all are kept. With ``weight`` a row counts that often, as copies would.
     """
     by = [*keys, "feature"]
-    med = exact_quantiles(long, "value", [0.5], by).select(*by, F.col("value").alias("mu"))
+    med = exact_quantiles(long, "value", [0.5], by, weight=weight).select(*by, F.col("value").alias("mu"))
     filled = cut(long.join(med, by).withColumn("v", F.coalesce("value", "mu")))
-    scale = filled.groupBy(*by).agg(F.first("mu").alias("mu"), F.stddev_pop("v").alias("sd"))
-    c = concordance(filled.withColumn("risk", F.col("v")), group=by, rule="library").select(*by, "c_index")
+    if weight is None:
+        spread = F.stddev_pop("v")
+    else:       # moments around the median, so that no digits are lost to an offset
+        w, d = F.col(weight), F.col("v") - F.col("mu")
+        spread = F.sqrt(F.greatest(F.lit(0.0), F.sum(w * d * d) / F.sum(w) - (F.sum(w * d) / F.sum(w)) ** 2))
+    scale = filled.groupBy(*by).agg(F.first("mu").alias("mu"), spread.alias("sd"))
+    c = concordance(filled.withColumn("risk", F.col("v")), group=by, rule="library", weight=weight).select(*by, "c_index")
     out = cut(scale.join(c, by, "left")).withColumns({
         "sd": F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0), "c": F.coalesce("c_index", F.lit(0.5))})
     out = out.withColumns({"sign": F.when(F.col("c") >= 0.5, 1.0).otherwise(-1.0), "strong": F.abs(F.col("c") - 0.5) >= cmin})
@@ -267,19 +272,18 @@ def _prepared_long(sets: DataFrame, features: list[str], ids: list[str]) -> Data
 
 def bagged_sign_predictions(sets: DataFrame, features: list[str], replicates: int = 40, fraction: float = 0.6,
                             min_events: int = 3, cmin: float = 0.0) -> DataFrame:
-    """Median over bootstrap replicates with random feature subsets."""
+    """Median over bootstrap replicates with random feature subsets; a draw is a weight, not copies."""
     ids = ["PatientID", "center", "RFS", "event"]
     long = _prepared_long(sets, features, ids)
     picked = random_subset(long.select("feature").distinct(), replicates, fraction)
     drawn = poisson_bootstrap(long.where("train").select("g", *ids).distinct(), replicates)
     enough = drawn.groupBy("g", "replicate").agg(F.sum(F.col("multiplicity") * F.col("event")).alias("ev")).where(
         F.col("ev") >= min_events).select("g", "replicate")
-    copies = drawn.join(enough, ["g", "replicate"], "left_semi").withColumn(
-        "copy", F.explode(F.sequence(F.lit(1), F.col("multiplicity")))).drop("copy", "multiplicity")
+    drawn = drawn.where("multiplicity > 0").join(enough, ["g", "replicate"], "left_semi")
     keys = ["g", "replicate"]
-    train = cut(copies.join(long.where("train").select("g", "PatientID", "feature", "value"), ["g", "PatientID"]).join(
+    train = cut(drawn.join(long.where("train").select("g", "PatientID", "feature", "value"), ["g", "PatientID"]).join(
         F.broadcast(picked), ["replicate", "feature"]))   # replicates x features rows
-    model = sign_model(train, keys, cmin)
+    model = sign_model(train, keys, cmin, "multiplicity")
     risks = sign_risk(long.where("not train").join(F.broadcast(picked), "feature"), model, keys, ids)
     return risks.groupBy("g", *ids).agg(F.median("risk").alias("risk"))
 
