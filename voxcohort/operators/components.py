@@ -91,7 +91,7 @@ def _labeller(keys: list[str], block: int, border: str, carry: str | None):
         cells = np.flatnonzero(mask)
         names = keys + ["z", "y", "x", "local_id", "is_original"] + ([carry] if carry else [])
         if cells.size == 0:
-            return pd.DataFrame({n: [] for n in names})
+            return pdf.head(0).assign(local_id=0, is_original=False)[names]
 
         # smallest linear index reachable: neighbour minimum plus pointer jumping
         big = mask.size
