@@ -152,7 +152,7 @@ def cv_predictions(sets: DataFrame, features: list[str], label: str, classes: li
         return grouped.predict(rows.where("not train"), model, p, classes).select("g", *keep, F.col("_label").alias("y"), "p")
     if isinstance(make, Boost):
         rows, p = design(usable_sets(sets, min_valid, min_train), features, label, classes, top_k)
-        rows = rows.select("g", "train", *keep, label, F.col("weight") if make.balanced else F.lit(1.0).alias("weight"), *[F.col("x")[j].alias(f"x{j}") for j in range(p)])
+        rows = cut(rows.select("g", "train", *keep, label, F.col("weight") if make.balanced else F.lit(1.0).alias("weight"), *[F.col("x")[j].alias(f"x{j}") for j in range(p)]))
         return boosting.boosted_predictions(rows, [f"x{j}" for j in range(p)], label, classes, keep, rounds=make.rounds, depth=make.depth, step=make.step, l2=make.l2)
     rows, _ = design(sets, features, label, classes, top_k)
     rows = cut(rows).persist()

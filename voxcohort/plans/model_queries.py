@@ -252,7 +252,7 @@ def boosted_sets(sets, feature_sets, label, classes, make):
         part = rows.select(F.concat(F.lit(f"{name}|"), "g").alias("g"), "train", "PatientID", label, F.col("weight") if make.balanced else F.lit(1.0).alias("weight"),
                            *[F.col("x")[feats.index(f)].alias(f) if f in feats else F.lit(None).cast("double").alias(f) for f in every])
         out = part if out is None else out.unionByName(part)
-    p = boosting.boosted_predictions(out, every, label, classes, rounds=make.rounds, depth=make.depth, step=make.step, l2=make.l2)
+    p = boosting.boosted_predictions(cut(out), every, label, classes, rounds=make.rounds, depth=make.depth, step=make.step, l2=make.l2)
     return p.select(F.substring_index("g", "|", 1).alias("config"), F.expr("substring(g, instr(g, '|') + 1)").alias("g"), "PatientID", "y", "p")
 
 

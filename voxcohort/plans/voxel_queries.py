@@ -168,7 +168,7 @@ view("sweep_scores", f"""SELECT ((((i1*2+i2)*7+i3)*6+i4)*4+i5)*25 + i6*5 + i7 AS
   GROUP BY ALL) GROUP BY ALL""", ("sweep_features",))
 
 
-@query("v21_features_every_setting", """SELECT case_id, merge_mm, mode, cast(i3 AS INT) AS i_ml, cast(i4 AS INT) AS i_suv, cast(i5 AS INT) AS i_diam, n, round(mm, 7) AS mm,
+@query("v21_features_every_setting", """SELECT case_id, cast(merge_mm AS DOUBLE) AS merge_mm, mode, cast(i3 AS INT) AS i_ml, cast(i4 AS INT) AS i_suv, cast(i5 AS INT) AS i_diam, n, round(mm, 7) AS mm,
     CASE WHEN l AND r THEN 'bilateral' WHEN l OR r THEN 'unilateral' ELSE 'midline' END AS laterality FROM sweep_features WHERE n > 0""")
 def v21_all(spark, sf):
     """Case features under all 1,344 cleanup settings that leave a node."""
