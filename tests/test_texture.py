@@ -139,3 +139,16 @@ def test_failed_regions_keep_a_reason(spark):
     good = {r.name: r.value for r in out if not r.error}
     assert all(n.split("_")[1] == "gtvp" for n in good) and {n.split("_")[2] for n in good} == {"firstorder", "shape", "glcm", "glrlm", "glszm", "gldm", "ngtdm"}
     assert good["pt_gtvp_firstorder_Mean"] == pytest.approx(9.0) and good["pt_gtvp_shape_VoxelVolume"] == pytest.approx(5 ** 3 * 8)
+
+
+def test_only_the_counts_asked_for(spark):
+    """Two far corners of a cube, and lesions at its faces, count alike alone and together."""
+    g = np.zeros((9, 9, 9), int)
+    g[0, 0, 0], g[8, 8, 8], g[2:5, 3:6, 2] = 2, 1, 3
+    for block in (4, 32):
+        lv = levels_of(spark, {1: g})
+        every = kernel.cube_counts(lv, block)
+        for kinds, matrix in ((("pair",), kernel.pair_matrix), (("dep",), kernel.dependence_matrix), (("tone",), kernel.tone_sums), (("run",), kernel.run_matrix), (("zone",), kernel.zone_matrix)):
+            alone = kernel.cube_counts(lv, block, kinds)
+            assert {r.kind for r in alone.select("kind").distinct().collect()} <= {*kinds, *((f"open_{kinds[0]}", "face", "contact"))}
+            assert sorted(map(tuple, matrix(alone).collect())) == sorted(map(tuple, matrix(every).collect()))

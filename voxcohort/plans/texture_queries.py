@@ -177,12 +177,12 @@ GLCM_MORE = {"SumEntropy": '"SumEntropy"', "DifferenceEntropy": '"DifferenceEntr
        + f" FROM glcm_m JOIN glcm_h USING ({K}, dir) GROUP BY {K}")
 def v42(spark, sf):
     lv = levels(spark, sf)
-    return rounded(texture.cooccurrence_features(lv, kernel.pair_matrix(kernel.cube_counts(lv))), *ROI, digits=4)
+    return rounded(texture.cooccurrence_features(lv, kernel.pair_matrix(kernel.cube_counts(lv, kinds=("pair",)))), *ROI, digits=4)
 
 
 @query("v42_cooccurrence_matrix", f"SELECT {K}, cast(dir AS INT) AS dir, i, j, c FROM glcm")
 def v42m(spark, sf):
-    return kernel.pair_matrix(kernel.cube_counts(levels(spark, sf)))
+    return kernel.pair_matrix(kernel.cube_counts(levels(spark, sf), kinds=("pair",)))
 
 
 SIZE_NAMES = {"glrlm": ("ShortRun", "LongRun", "Run", "RunLengthNonUniformity", "GrayLevelRunEmphasis"),
@@ -219,7 +219,7 @@ view("glrlm", f"""SELECT {K}, dir, level AS i, j, count(*) AS c FROM (SELECT {K}
 @query("v43_run_lengths", size_sql("glrlm", "glrlm"))
 def v43(spark, sf):
     lv = levels(spark, sf)
-    return rounded(texture.size_matrix_features(kernel.run_matrix(kernel.cube_counts(lv)), "glrlm", lv), *ROI, digits=4)
+    return rounded(texture.size_matrix_features(kernel.run_matrix(kernel.cube_counts(lv, kinds=("run",))), "glrlm", lv), *ROI, digits=4)
 
 
 component_views("lz", "lev", ["case_id", "modality", "region", "level"])
@@ -229,7 +229,7 @@ view("glszm", f"SELECT {K}, 0 AS dir, level AS i, j, count(*) AS c FROM (SELECT
 @query("v44_size_zones", size_sql("glszm", "glszm"))
 def v44(spark, sf):
     lv = levels(spark, sf)
-    return rounded(texture.size_matrix_features(kernel.zone_matrix(kernel.cube_counts(lv)), "glszm", lv), *ROI, digits=4)
+    return rounded(texture.size_matrix_features(kernel.zone_matrix(kernel.cube_counts(lv, kinds=("zone",))), "glszm", lv), *ROI, digits=4)
 
 
 view("around", f"""SELECT a.case_id, a.modality, a.region, a.z, a.y, a.x, any_value(a.level) AS level, count(b.level) AS n, count(CASE WHEN b.level = a.level THEN 1 END) AS equal, sum(b.level) AS total
@@ -241,7 +241,7 @@ view("gldm", f"SELECT {K}, 0 AS dir, level AS i, equal + 1 AS j, count(*) AS c F
 @query("v45_dependences", size_sql("gldm", "gldm"))
 def v45(spark, sf):
     lv = levels(spark, sf)
-    return rounded(texture.size_matrix_features(kernel.dependence_matrix(kernel.cube_counts(lv)), "gldm"), *ROI, digits=4)
+    return rounded(texture.size_matrix_features(kernel.dependence_matrix(kernel.cube_counts(lv, kinds=("dep",))), "gldm"), *ROI, digits=4)
 
 
 view("ngtdm", f"""SELECT {K}, level::DOUBLE AS i, count(*)::DOUBLE AS n, count(*) / sum(count(*)) OVER (PARTITION BY {K}) AS p, sum(abs(level - total / n)) AS s
@@ -256,7 +256,7 @@ view("ngtdm", f"""SELECT {K}, level::DOUBLE AS i, count(*)::DOUBLE AS n, count(*
     sum((a.p+b.p)*(a.i-b.i)**2) AS str FROM ngtdm a JOIN ngtdm b USING ({K}) GROUP BY {K}) USING ({K})""")
 def v46(spark, sf):
     lv = levels(spark, sf)
-    return rounded(texture.tone_difference_features(kernel.tone_sums(kernel.cube_counts(lv))), *ROI, digits=4)
+    return rounded(texture.tone_difference_features(kernel.tone_sums(kernel.cube_counts(lv, kinds=("tone",)))), *ROI, digits=4)
 
 
 WIDE = [f"{m}_{r}_firstorder_{n}" for m in ("ct", "pt") for r in ("gtvp", "gtvn") for n in ("Mean", "Maximum", "Energy")]
