@@ -139,6 +139,17 @@ def test_failed_regions_keep_a_reason(spark):
     good = {r.name: r.value for r in out if not r.error}
     assert all(n.split("_")[1] == "gtvp" for n in good) and {n.split("_")[2] for n in good} == {"firstorder", "shape", "glcm", "glrlm", "glszm", "gldm", "ngtdm"}
     assert good["pt_gtvp_firstorder_Mean"] == pytest.approx(9.0) and good["pt_gtvp_shape_VoxelVolume"] == pytest.approx(5 ** 3 * 8)
+    alone = texture.failed_regions(voxels, voxels, headers).collect()
+    assert {(r.case_id, r.region): r.error for r in alone} == {(r.case_id, r.region): r.error for r in out if r.error}
+
+
+def test_failed_regions_compute_no_feature(spark, monkeypatch):
+    unit = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    headers = spark.createDataFrame([(1, 12, 12, 12, 4.0, 4.0, 4.0, 0.0, 0.0, 0.0, unit)], HEADER)
+    voxels = spark.createDataFrame([(1, 9, 9, 9, 2, 9.0, 30.0)], "case_id long, z int, y int, x int, label int, pet double, ct double")
+    monkeypatch.setattr(texture, "texture_classes", None)
+    monkeypatch.setattr(texture, "resampled_regions", None)
+    assert [tuple(r) for r in texture.failed_regions(voxels, voxels, headers).collect()] == [(1, "gtvn", "nothing left after cleanup")]
 
 
 def test_only_the_counts_asked_for(spark):

@@ -264,19 +264,34 @@ def radiomics_long(mask: DataFrame, voxels: DataFrame, headers: DataFrame) -> Da
     return _stacked(texture_classes(levels, headers) | {"shape": body.select("case_id", modality, "region", *[c for c in body.columns if c not in ROI])})
 
 
-def resampled_regions(mask: DataFrame, voxels: DataFrame, headers: DataFrame, spacing: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """Every region on an isotropic grid over its own bounds: (rows of ROI, z, y, x, value), (grids by case and region).
+def _named(mask: DataFrame, *columns: str) -> DataFrame:
+    """(case_id, region, columns) of the lesion voxels."""
+    return mask.where("label IN (1, 2)").select("case_id", F.when(F.col("label") == 1, "gtvp").otherwise("gtvn").alias("region"), *columns)
+
+
+def resampled_masks(mask: DataFrame, headers: DataFrame, spacing: float = 2.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every region on an isotropic grid over its own bounds: (case_id, region, z, y, x), the headers by region, the grids.
 
-    Images are interpolated linearly; the region holds where its interpolated indicator reaches one half (to nine digits).
+    A region holds where its interpolated indicator reaches one half (to nine digits).
     """
-    named = mask.where("label IN (1, 2)").select("case_id", F.when(F.col("label") == 1, "gtvp").otherwise("gtvn").alias("region"), "z", "y", "x")
+    named = _named(mask, "z", "y", "x")
     key = ["case_id", "region"]
     own = headers.join(named.select(*key).distinct(), "case_id")
     grid = cut(resample.isotropic_grid(named, own, spacing, key))
-    near = voxels.select("case_id", "z", "y", "x", F.col("ct").cast("double").alias("ct"), F.col("pet").cast("double").alias("pt")).join(own.select(*key), "case_id")
     inside = named.select(*key, "z", "y", "x", F.lit(1.0).alias("value"))
+    held = resample.resample(inside, own, grid, 0.0, key).where("value >= 0.5 - 1e-9").select(*key, "z", "y", "x")
+    return cut(held), own, grid
+
+
+def resampled_regions(mask: DataFrame, voxels: DataFrame, headers: DataFrame, spacing: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """Every region on an isotropic grid over its own bounds: (rows of ROI, z, y, x, value), (grids by case and region).
+
+    Images are interpolated linearly.
+    """
+    key = ["case_id", "region"]
+    held, own, grid = resampled_masks(mask, headers, spacing)
+    near = voxels.select("case_id", "z", "y", "x", F.col("ct").cast("double").alias("ct"), F.col("pet").cast("double").alias("pt")).join(own.select(*key), "case_id")
     at = [*key, "z", "y", "x"]
-    held = cut(resample.resample(inside, own, grid, 0.0, key).where("value >= 0.5 - 1e-9").select(*at))
     out = None
     for modality, default in (("ct", -1000.0), ("pt", 0.0)):
         values = resample.resample(near.select(*at, F.col(modality).alias("value")), own, grid, default, key)
@@ -285,6 +300,36 @@ def resampled_regions(mask: DataFrame, voxels: DataFrame, headers: DataFrame, sp
     return cut(out), grid
 
 
+def _positive(headers: DataFrame) -> Column:
+    return F.least("sx", "sy", "sz") > 0
+
+
+def _cleaned(voxels: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cleaned mask over the cases whose spacing is positive, and their headers."""
+    good = headers.where(_positive(headers))
+    return cut(nodes.clean_mask(voxels.join(good.select("case_id"), "case_id", "left_semi"), good)), good
+
+
+def _lost(mask: DataFrame, headers: DataFrame, clean: DataFrame, found: DataFrame, spacing: float) -> DataFrame:
+    """(case_id, region, error): regions of ``mask`` that are not in ``found`` (case_id, region), with the reason."""
+    kept = _named(clean, F.lit(True).alias("_kept")).distinct()
+    known = headers.select("case_id", F.lit(True).alias("_header"), _positive(headers).alias("_fine"))
+    lost = _named(mask).distinct().join(found, ["case_id", "region"], "left_anti").join(known, "case_id", "left").join(kept, ["case_id", "region"], "left")
+    reason = F.when(F.col("_header").isNull(), "no image header").when(~F.coalesce("_fine", F.lit(False)), "voxel spacing is not positive") \
+        .when(F.col("_kept").isNull(), "nothing left after cleanup").otherwise(f"nothing left on the {spacing:g} mm grid")
+    return lost.select("case_id", "region", reason.alias("error"))
+
+
+def failed_regions(mask: DataFrame, voxels: DataFrame, headers: DataFrame, spacing: float = 2.0) -> DataFrame:
+    """(case_id, region, error): the rows of ``radiomics_rows`` that hold an error.
+
+    A region is measured when it has a voxel on its grid, so neither images nor features are computed.
+    """
+    clean, good = _cleaned(voxels, headers)
+    held, _, _ = resampled_masks(clean, good, spacing)
+    return _lost(mask, headers, clean, held.select("case_id", "region").distinct(), spacing)
+
+
 def radiomics_rows(mask: DataFrame, voxels: DataFrame, headers: DataFrame, spacing: float = 2.0) -> DataFrame:
     """(case_id, region, modality, name, value, error): cleanup, isotropic grid, every class.
 
@@ -292,10 +337,7 @@ def radiomics_rows(mask: DataFrame, voxels: DataFrame, headers: DataFrame, spaci
     does not stop the others: a case without a header or an image, a grid spacing that
     is not positive, or a region that vanishes on the new grid.
     """
-    fine = F.least("sx", "sy", "sz") > 0
-    good = headers.where(fine)
-    clean = cut(nodes.clean_mask(voxels.join(good.select("case_id"), "case_id", "left_semi"), good))
-    regions = mask.where("label IN (1, 2)").select("case_id", F.when(F.col("label") == 1, "gtvp").otherwise("gtvn").alias("region")).distinct()
+    clean, good = _cleaned(voxels, headers)
     rows, grid = resampled_regions(clean, voxels, good, spacing)
     levels = cut(discretise(rows))
     one = good.select("case_id", *[F.lit(float(spacing)).alias(f"s{a}") for a in "xyz"])
@@ -307,12 +349,8 @@ def radiomics_rows(mask: DataFrame, voxels: DataFrame, headers: DataFrame, spaci
     found = cut(_stacked(parts))
     split = F.split("name", "_")
     measured = found.select("case_id", split[1].alias("region"), split[0].alias("modality"), "name", "value", F.lit(None).cast("string").alias("error"))
-    kept = clean.where("label IN (1, 2)").select("case_id", F.when(F.col("label") == 1, "gtvp").otherwise("gtvn").alias("region"), F.lit(True).alias("_kept")).distinct()
-    known = headers.select("case_id", F.lit(True).alias("_header"), fine.alias("_fine"))
-    lost = regions.join(measured.select("case_id", "region").distinct(), ["case_id", "region"], "left_anti").join(known, "case_id", "left").join(kept, ["case_id", "region"], "left")
-    reason = F.when(F.col("_header").isNull(), "no image header").when(~F.coalesce("_fine", F.lit(False)), "voxel spacing is not positive") \
-        .when(F.col("_kept").isNull(), "nothing left after cleanup").otherwise(f"nothing left on the {spacing:g} mm grid")
-    return measured.unionByName(lost.select("case_id", "region", F.lit(None).cast("string").alias("modality"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("value"), reason.alias("error")))
+    lost = _lost(mask, headers, clean, measured.select("case_id", "region").distinct(), spacing)
+    return measured.unionByName(lost.select("case_id", "region", F.lit(None).cast("string").alias("modality"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("value"), "error"))
 
 
 def pivot_features(long: DataFrame, names: list[str]) -> DataFrame:
