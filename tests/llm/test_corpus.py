@@ -459,3 +459,27 @@ def test_pipeline_packs_what_its_stages_keep(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()} and fits(rows, 2048)
+
+
+def test_quality_rules_trust_every_labelled_document(spark):
+    """More trusted ids than any fixed number of them: each one's own word counts for it."""
+    ids = spark.range(-10_000, 34_000).union(spark.createDataFrame([(1 << 62,), (-(1 << 63),), ((1 << 63) - 1,)], "id long"))
+    docs = ids.select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id")).alias("text"))
+    labels = ids.where("id % 8 <> 3").select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    out = quality_rules.quality_rules(docs, labels).select("doc_id", (F.col("doc_id") % 8 != 3).alias("t"), (F.col("llr") > 0).alias("p")).groupBy("t", "p").count().collect()
+    good = sum(r["count"] for r in out if r.t == r.p)
+    assert good / sum(r["count"] for r in out) > 0.985      # some grams share a bucket
+
+
+def test_gram_weights_equal_a_plain_count(spark):
+    """Also over more input partitions than counting tasks."""
+    texts = [(i, " ".join(f"t{(i * k) % 97}" for k in range(1, 40))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(40)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(40)], "doc_id long, quality int")
+    n, t = Counter(), Counter()
+    for r in docs.select("doc_id", quality_rules._grams(F.split("text", " "), 1 << 17).alias("b")).collect():
+        n.update(r.b)
+        t.update(r.b if r.doc_id % 3 == 0 and r.doc_id < 40 else [])
+    rate = sum(t.values()) / sum(n.values())
+    got = quality_rules.gram_weights(docs, labels, buckets=1 << 17)
+    assert all(abs(got[k] - np.log((t[k] + 2.0) / (c * rate + 2.0))) < 1e-5 for k, c in n.items()) and not any(v for k, v in enumerate(got) if k not in n)

@@ -1,13 +1,13 @@
 """Quality rules: text statistics, and a hashed n-gram log-likelihood ratio.
 
-The ratio compares two multinomials over hashed one- and two-word grams: one of
-trusted documents (every label row says quality 1; at most ``LIMIT`` of them), one of
-the whole corpus. A document's score is the mean log ratio of its grams; it is kept when no base rule
-fails and the mean reaches the threshold. All documents count in the statistics and
-all are judged. Counting is a map-side combined aggregation into a fixed number of
-buckets, so a common word is one row for each task; only the bucket counts (their
-number is a parameter) reach the driver, as Arrow. The weights go back as one packed
-array, the value of a scalar subquery, which a stage gets once.
+The ratio compares two multinomials over hashed one- and two-word grams: one of the
+trusted documents (every label row says quality 1), one of the whole corpus. A
+document's score is the mean log ratio of its grams; it is kept when no base rule fails
+and the mean reaches the threshold. All documents count in the statistics and all are
+judged. Counting is a map-side combined aggregation into a fixed number of buckets, so
+a common word is one row for each task, and a core counts in few tasks; only one float a
+bucket (their number is a parameter) reaches the driver, as Arrow. The weights go back
+as one packed array, the value of a scalar subquery, which a stage gets once.
 
 Cases: null or empty text has no words and fails; a corpus without trusted documents
 or without words has weights of 0; repeated rows count and are judged one by one; a
@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxcohort.llm.common import SPACE, let, space_words, text_of
+from voxcohort.llm.common import SPACE, let, space_words, text_of, written
 
 BUCKETS = 1 << 22
 SMOOTHING = 2.0      # counts added to both sides, so that few trusted documents say little
 THRESHOLD = -0.36    # under trusted documents left out of the fit, above labelled junk (sf0.1: -0.338 and -0.538)
 MIN_WORDS = 50
-LIMIT = 20_000       # trusted documents counted, at most
+TASKS = 2            # counting tasks a core, at most: each hands on up to all buckets
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -40,29 +40,34 @@ def _grams(words: Column, buckets: int) -> Column:
     return F.concat(one, two)
 
 
-def _weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, limit: int = LIMIT) -> np.ndarray:
+def _weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> np.ndarray:
     """Log of a bucket's count in trusted documents over the count expected from the corpus, both smoothed.
 
-    The corpus is every document. Trusted are at most ``limit`` labelled ids, those of
-    the smallest hashes; they are few enough to send to every task, so one scan counts
-    both sides and no text is shuffled.
+    The corpus is every document; trusted is every labelled id whose label rows all say
+    1. One scan counts both sides. The trusted ids are written as bitmaps first: they are
+    small, and their size is known when the join is planned.
     """
-    trusted = (labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"))
-               .where("q = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id", F.lit(1).alias("t")))
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(trusted), "doc_id", "left")
-    grams = rows.select(F.coalesce("t", F.lit(0)).alias("t"), F.explode(let(space_words(F.col("text")), lambda w: _grams(w, buckets))).alias("b"))
-    counts = grams.groupBy("b").agg(F.sum("t").alias("t"), F.count("*").alias("n")).toArrow()      # at most `buckets` rows
+    trusted = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).where("q = 1")
+    bits = written(trusted.groupBy(F.bitmap_bucket_number("doc_id").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc_id")).alias("bits")))
+    few = docs.select("doc_id", text_of().alias("text")).coalesce(TASKS * docs.sparkSession.sparkContext.defaultParallelism)
+    at = F.bitmap_bit_position("doc_id").cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = few.withColumn("block", F.bitmap_bucket_number("doc_id")).join(bits, "block", "left").select(F.coalesce(F.getbit(byte, at % 8).cast("int"), F.lit(0)).alias("t"), "text")
+    grams = rows.select("t", F.explode(let(space_words(F.col("text")), lambda w: _grams(w, buckets))).alias("b"))
+    counts = written(grams.groupBy("b").agg(F.sum("t").alias("t"), F.count("*").alias("n")))      # at most `buckets` rows
+    total = counts.agg(F.sum("t").alias("t"), F.sum("n").alias("n")).first()
     out = np.zeros(buckets, np.float32)
-    at, target, corpus = (counts[c].to_numpy() for c in ("b", "t", "n"))
-    if target.sum():
-        rate = target.sum() / corpus.sum()      # a bucket's trusted count, were the two alike, is its corpus count times this
-        out[at] = np.log((target + smoothing) / (corpus * rate + smoothing))
+    if total["t"]:
+        rate = total["t"] / total["n"]      # a bucket's trusted count, were the two alike, is its corpus count times this
+        ratio = (F.col("t") + smoothing) / (F.col("n") * rate + smoothing)
+        for batch in counts.select("b", F.log(ratio).cast("float").alias("w")).toArrow().to_batches():
+            out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     return out
 
 
-def gram_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, limit: int = LIMIT) -> list[float]:
+def gram_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
     """The weights of all buckets as a list."""
-    return _weights(docs, labels, buckets, smoothing, limit).tolist()
+    return _weights(docs, labels, buckets, smoothing).tolist()
 
 
 def _packed(docs: DataFrame, weights: list[float] | np.ndarray) -> Column:
