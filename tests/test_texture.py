@@ -163,3 +163,18 @@ def test_only_the_counts_asked_for(spark):
             alone = kernel.cube_counts(lv, block, kinds)
             assert {r.kind for r in alone.select("kind").distinct().collect()} <= {*kinds, *((f"open_{kinds[0]}", "face", "contact"))}
             assert sorted(map(tuple, matrix(alone).collect())) == sorted(map(tuple, matrix(every).collect()))
+
+
+def test_energy_does_not_depend_on_the_order_of_voxels(spark):
+    """Plain sums of squares differ in their last digits from order to order; one that falls on a rounding tie then differs from SQL."""
+    import math
+    rng = np.random.default_rng(5)
+    values = (-420 + 600 * rng.normal(size=400)).tolist()
+    head = spark.createDataFrame([(0, 2.0, 2.0, 2.0)], "case_id long, sx double, sy double, sz double")
+    found = set()
+    for order in (values, values[::-1], sorted(values), sorted(values, key=abs)):
+        rows = [(0, "ct", "gtvn", 0, 0, k, v) for k, v in enumerate(order)]
+        roi = spark.createDataFrame(rows, ROI + ", z int, y int, x int, value double").coalesce(1)
+        found.add(tuple(texture.first_order(texture.discretise(roi), head).select("Energy", "TotalEnergy").first()))
+    exact = math.fsum(v * v for v in values)
+    assert found == {(exact, exact * 8.0)}
