@@ -483,3 +483,17 @@ def test_gram_weights_equal_a_plain_count(spark):
     rate = sum(t.values()) / sum(n.values())
     got = quality_rules.gram_weights(docs, labels, buckets=1 << 17)
     assert all(abs(got[k] - np.log((t[k] + 2.0) / (c * rate + 2.0))) < 1e-5 for k, c in n.items()) and not any(v for k, v in enumerate(got) if k not in n)
+
+
+def test_only_words_that_may_tell_are_counted(spark, monkeypatch):
+    """Other words of the corpus never leave the scan; the counts of those that may tell are of distinct texts."""
+    name = lambda n: "".join("abcdefghij"[int(d)] for d in str(n)) * 2
+    texts = [f"Sundial {name(n)} words stand everywhere me@sundial.org" for n in range(6)]
+    texts += [f"other {name(n)} words stand everywhere {name(n)}@else.org" for n in range(40)]
+    plain_texts = [f"plain {name(n)} words stand everywhere" for n in range(60)] + ["the Sundial turns alone"]
+    texts += plain_texts + plain_texts
+    seen, plain = [], pii._counted
+    monkeypatch.setattr(pii, "_counted", lambda *a: seen.append(plain(*a)) or seen[-1])
+    spans = [r.spans for r in pii.personal_data(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert all("term:0:7" in s for s in spans[:6]) and not any("term" in s for s in spans[6:])
+    assert {r.term: r.n_t for r in seen[0].collect()} == {"sundial": 7}

@@ -11,9 +11,13 @@ copies count once, and an entity and a term need ``support`` texts in common. A
 a whole word outside the found values, of four letters or more, or shorter and
 capitalised (or of a script without case). Only documents with a mention change.
 
-All of it is SQL functions. Copies are combined before they are shuffled, entities of
-fewer than ``support`` texts go before pairs are made, pairs are pre-aggregated, and
-joins on entities, terms and texts are salted.
+All of it is SQL functions. Entities of fewer than ``support`` texts go before pairs are
+made, pairs are pre-aggregated, and joins on entities, terms and texts are salted. A term
+stands in at least as many texts as in those with a mention, so that count bounds its
+share from above; only terms whose bound reaches ``disclose`` are counted over the
+corpus. They are picked from the words by a bitmap of ``BLOCKS`` x 4 KB where the words
+are read, so that no other word is shuffled; words that share a bit with one of them are
+counted for nothing.
 
 Cases: null or empty text has no spans; repeated rows and null ids give one row
 each; overlapping spans of several kinds are all reported, and rewritten once;
@@ -40,6 +44,7 @@ _HINT = {"email": "@", "phone": "+"}
 _TERM = r"(?<![\p{L}\p{N}])(?:\p{L}{4,}+|[\p{Lu}\p{Lt}\p{Lo}]\p{L}{0,2}+)(?![\p{L}\p{N}])"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 SALTS = 16
+BLOCKS, BLOCK_BITS = 1024, 32768      # of the bitmap of terms to count: 4 MB
 SUPPORT = 2
 DISCLOSE, REMOVE = 0.8, 0.99
 _FOUND = "array<struct<start:int,end:int,value:string>>"
@@ -125,25 +130,36 @@ def _salted(rows: DataFrame, by: str, other: DataFrame, on: list[str], how: str
     return dealt.join(each, [*on, "__salt"], how).drop("__salt")
 
 
+def _counted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, n_t): how many distinct texts hold each ``wanted`` term, and some others."""
+    place = F.pmod(F.xxhash64("term"), F.lit(BLOCKS * BLOCK_BITS))
+    block, bit = F.floor(place / BLOCK_BITS).cast("int"), (place % BLOCK_BITS).cast("int")
+    bits = wanted.groupBy(block.alias("block")).agg(F.bitmap_construct_agg(bit.cast("long")).alias("bits"))      # at most BLOCKS rows
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    words = _scanned(docs.select("text")).select("__hash", F.explode("__words").alias("term")).withColumn("block", block)
+    held = words.join(F.broadcast(bits), "block").where(F.getbit(byte, bit % 8) == 1).select("__hash", "term").distinct()
+    return held.groupBy("term").agg(F.count("*").alias("n_t"))
+
+
 def _told(rows: DataFrame, docs: DataFrame, support: int = SUPPORT, disclose: float = DISCLOSE, remove: float = REMOVE) -> DataFrame:
     """Per text hash the (term, gone) that tell too much of an entity there.
 
     Pairs with enough support come from the texts with a mention; how many texts hold
-    a term is counted over all distinct texts, in a scan of its own that writes nothing.
+    a term that may tell enough is counted over all distinct texts, in a scan of its own.
     """
     texts = written(rows.where(F.size("__spans") > 0).groupBy("__hash").agg(F.first("__entities").alias("__entities"), F.first("__words").alias("__words")))
     n = rows.select("__hash").distinct().count()
     entities = (texts.select(F.explode("__entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
                 .where((F.col("n_e") >= support) & (F.col("n_e") < n)))
-    every = _scanned(docs.select("text")).select("__hash", "__words").groupBy("__hash").agg(F.first("__words").alias("__words"))
-    terms = every.select(F.explode("__words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
     mentions = _salted(texts.select("__hash", F.explode("__entities").alias("entity")), "__hash", entities, ["entity"])
     wanted = mentions.groupBy("__hash").agg(F.collect_list(F.struct("entity", "n_e")).alias("m"))
     pairs = texts.where(F.size("__entities") > 0).select("__hash", "__words").join(wanted, "__hash").select("__hash", "__words", F.inline("m")) \
         .select("__hash", "entity", "n_e", F.explode("__words").alias("term"))
     both = pairs.groupBy("entity", "term", "n_e").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
-    share = F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e"))) / F.log2(F.lit(float(n)) / F.col("n_e"))
-    tell = _salted(both, "entity", terms, ["term"]).withColumn("share", share).where(F.col("share") >= disclose) \
+    share = lambda n_t: F.log2(F.col("n_te") * F.lit(float(n)) / (F.col(n_t) * F.col("n_e"))) / F.log2(F.lit(float(n)) / F.col("n_e"))
+    here = texts.select(F.explode("__words").alias("term")).groupBy("term").agg(F.count("*").alias("n_here")).where(F.col("n_here") >= support)
+    likely = written(_salted(both, "entity", here, ["term"]).where(share("n_here") >= disclose).drop("n_here"))
+    tell = _salted(likely, "entity", _counted(docs, likely), ["term"]).withColumn("share", share("n_t")).where(F.col("share") >= disclose) \
         .select("entity", "term", (F.col("share") >= remove).alias("gone"))
     return _salted(pairs.select("__hash", "entity", "term"), "__hash", tell, ["entity", "term"]) \
         .groupBy("__hash", "term").agg(F.max("gone").alias("gone")) \
