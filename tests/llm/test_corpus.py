@@ -230,6 +230,18 @@ def test_components_left_apart_by_the_forest_are_joined(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == linked({i: shingles(t, 2) for i, t in enumerate(texts)})
 
 
+def test_regions_with_one_first_row_are_divided_once(spark, monkeypatch):
+    """A large group of near copies shares its first row in many trees; its rows are not divided again in each of them."""
+    monkeypatch.setattr(neardup, "SMALL", 6)
+    given, plain = [], neardup._deeper
+    monkeypatch.setattr(neardup, "_deeper", lambda rows, sigs: given.append(rows.select("rid", "tree").collect()) or plain(rows, sigs))
+    texts = near_copies(1, 60, 200, 40, 3)
+    got = neardup.near_duplicates(frame(spark, texts), 2).collect()
+    assert {r.doc_id: r.component_id for r in got} == linked({i: shingles(t, 2) for i, t in enumerate(texts)})
+    times = Counter(r.rid for r in given[0])
+    assert times and max(times.values()) <= 8, times.most_common(3)
+
+
 def test_deduplicated_keeps_one_row_of_a_group(spark, awkward):
     kept = neardup.deduplicated(awkward)
     assert kept.columns == awkward.columns

@@ -254,14 +254,16 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
 
     rest = written(_mixed(_located(shared, _roots(edges))).select("k", "tree", "rid", "comp", "size", "head"))
     large = rest.where(F.col("size") > SMALL)
-    deep = written(_deeper(large.select("rid", "comp", "tree"), sigs))
+    # regions of several trees with one first row have much the same rows: a row is divided in the first of them, and what this parts meets below
+    once = large.groupBy(F.col("head.rid").alias("first"), "rid").agg(F.min(F.struct("tree", "comp")).alias("at"))
+    deep = written(_deeper(once.select("rid", "at.comp", "at.tree"), sigs))
     here = written(_mixed(deep.select(F.explode(F.array(*[f"k{d}" for d in DEEPER])).alias("k"), "rid", "comp")))      # names of regions differ between depths
     found = [_all_pairs(rest.drop("tree").unionByName(here)), _stars(here)]
     second = written(_near(reduce(DataFrame.union, found).distinct(), sigs, similarity).join(first, ["a", "b"], "left_anti"))
     edges.append(written(_confirmed(second, sets, percent)))
 
     roots = _roots(edges)
-    # regions of several trees with one first row have much the same rows, and are taken as one
+    # here they are taken as one region, with the rows of all trees
     again = _mixed(_located(large.select("k", "rid"), roots)).select(F.col("head.rid").alias("k"), "rid", "comp").distinct()
     last = written(_between(again, sigs, sets, similarity))
     if not last.isEmpty():
