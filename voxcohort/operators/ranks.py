@@ -127,16 +127,24 @@ def stratified_folds(df: DataFrame, strata: list[str], seeds: int = 10, folds: i
     return rows.join(slots, ["seed", *strata, "_u"]).withColumn("cv_fold", F.expr(f"cast(_before % {folds} as int)")).drop("_u", "_before")
 
 
+def poisson_steps() -> list[float]:
+    """Where the distribution function of Poisson(1) steps up, as far as 48 random bits reach."""
+    out, p, cdf, k = [], math.exp(-1), math.exp(-1), 0
+    while cdf <= 1 - 1 / (1 << 48):      # the largest value a draw can take
+        out.append(cdf)
+        k += 1
+        p /= k
+        cdf += p
+    return out
+
+
 def poisson_bootstrap(df: DataFrame, replicates: int, key: str = "PatientID") -> DataFrame:
     """Bootstrap replicates by Poisson(1) multiplicities drawn from a hash of the row key."""
     rows = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     u = uniform_key(F.lit("boot"), F.col("replicate"), F.col(key)) / float(1 << 48)
-    draw, p, cdf, k = F.lit(0), math.exp(-1), math.exp(-1), 0
-    while cdf <= 1 - 1 / (1 << 48):      # the largest value u can take
-        draw = draw + F.when(u >= cdf, 1).otherwise(0)
-        k += 1
-        p /= k
-        cdf += p
+    draw = F.lit(0)
+    for step in poisson_steps():
+        draw = draw + F.when(u >= step, 1).otherwise(0)
     return rows.withColumn("multiplicity", draw).where("multiplicity > 0")
 
 

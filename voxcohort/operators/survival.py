@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from voxcohort.operators.concordance import concordance
 from voxcohort.session import cut
-from voxcohort.operators.ranks import add_rank, exact_quantiles, poisson_bootstrap, random_subset, running_sums, range_bounds
+from voxcohort.operators.ranks import add_rank, exact_quantiles, random_subset, running_sums, range_bounds
+from voxcohort.operators.weighted_signs import sign_scores, sign_statistics
 
 MAX_GROUPS = 2000
 
@@ -257,11 +258,23 @@ def sign_risk(long: DataFrame, model: DataFrame, keys: list[str], ids: list[str]
     return long.join(model.where("keep"), by).groupBy(*keys, *ids).agg(F.avg(z).alias("risk"))
 
 
+def _kept_signs(found: DataFrame, cmin: float) -> DataFrame:
+    """(g, k, replicate, mu, sd, sign) of the features that count; all do where none reaches ``cmin``."""
+    out = found.withColumns({"sd": F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0), "c": F.coalesce("c", F.lit(0.5))})
+    out = out.withColumns({"sign": F.when(F.col("c") >= 0.5, 1.0).otherwise(-1.0), "strong": F.abs(F.col("c") - 0.5) >= cmin})
+    some = out.groupBy("g", "replicate").agg(F.bool_or("strong").alias("some"))
+    return out.join(some, ["g", "replicate"]).where(F.col("strong") | ~F.col("some")).select("g", "k", "replicate", "mu", "sd", "sign")
+
+
+def _prepared(sets: DataFrame, features: list[str], ids: list[str]) -> DataFrame:
+    return cut(standardise(sets, prep_params(sets, features), features).select("g", "train", *ids, "x"))
+
+
 def sign_predictions(sets: DataFrame, features: list[str], cmin: float = 0.0) -> DataFrame:
     ids = ["PatientID", "center", "RFS", "event"]
-    long = _prepared_long(sets, features, ids)
-    model = sign_model(long.where("train"), ["g"], cmin)
-    return sign_risk(long.where("not train"), model, ["g"], ids)
+    x = _prepared(sets, features, ids)
+    model = _kept_signs(sign_statistics(x.where("train"), len(features)), cmin)
+    return sign_scores(x.where("not train"), model, len(features), ids)
 
 
 def _prepared_long(sets: DataFrame, features: list[str], ids: list[str]) -> DataFrame:
@@ -272,20 +285,13 @@ def _prepared_long(sets: DataFrame, features: list[str], ids: list[str]) -> Data
 
 def bagged_sign_predictions(sets: DataFrame, features: list[str], replicates: int = 40, fraction: float = 0.6,
                             min_events: int = 3, cmin: float = 0.0) -> DataFrame:
-    """Median over bootstrap replicates with random feature subsets; a draw is a weight, not copies."""
+    """Median over bootstrap replicates with random feature subsets; a row carries its weights in all of them."""
     ids = ["PatientID", "center", "RFS", "event"]
-    long = _prepared_long(sets, features, ids)
-    picked = random_subset(long.select("feature").distinct(), replicates, fraction)
-    drawn = poisson_bootstrap(long.where("train").select("g", *ids).distinct(), replicates)
-    enough = drawn.groupBy("g", "replicate").agg(F.sum(F.col("multiplicity") * F.col("event")).alias("ev")).where(
-        F.col("ev") >= min_events).select("g", "replicate")
-    drawn = drawn.where("multiplicity > 0").join(enough, ["g", "replicate"], "left_semi")
-    keys = ["g", "replicate"]
-    train = cut(drawn.join(long.where("train").select("g", "PatientID", "feature", "value"), ["g", "PatientID"]).join(
-        F.broadcast(picked), ["replicate", "feature"]))   # replicates x features rows
-    model = sign_model(train, keys, cmin, "multiplicity")
-    risks = sign_risk(long.where("not train").join(F.broadcast(picked), "feature"), model, keys, ids)
-    return risks.groupBy("g", *ids).agg(F.median("risk").alias("risk"))
+    x = _prepared(sets, features, ids)
+    named = sets.sparkSession.createDataFrame([(f, k) for k, f in enumerate(features)], "feature string, k int")
+    picked = random_subset(named, replicates, fraction).join(named, "feature").select("replicate", "k")
+    found = sign_statistics(x.where("train"), len(features), replicates).where(F.col("events") >= min_events).join(picked, ["replicate", "k"])
+    return sign_scores(x.where("not train"), _kept_signs(found, cmin), len(features), ids)
 
 
 # ----------------------------------------------------------------- evaluation
