@@ -104,17 +104,20 @@ def _outer_sums(rows: DataFrame, width: int) -> dict[str, np.ndarray]:
 
     def reduce_rows(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         sums = {}
-        for pdf in batches:
-            for g, part in pdf.groupby("g"):
-                u, v = np.stack(part["u"].to_numpy()), np.stack(part["v"].to_numpy())
-                m = (u * part["coef"].to_numpy()[:, None]).T @ v
-                sums[g] = sums.get(g, 0) + m
-        yield pd.DataFrame({"g": list(sums), "m": [m.ravel().tolist() for m in sums.values()]})
-
-    partial = rows.mapInPandas(reduce_rows, "g string, m array<double>")
+        for batch in batches:
+            g = batch.column(0).dictionary_encode()
+            place, names = g.indices.to_numpy(), g.dictionary.to_pylist()
+            coef = batch.column(1).to_numpy(zero_copy_only=False)
+            u, v = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, width) for i in (2, 3))
+            for i, name in enumerate(names):
+                at = place == i
+                sums[name] = sums.get(name, 0) + (u[at] * coef[at, None]).T @ v[at]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([m.ravel().tolist() for m in sums.values()], pa.list_(pa.float64()))], ["g", "m"])
+
+    partial = rows.select("g", "coef", "u", "v").mapInArrow(reduce_rows, "g string, m array<double>")
     cells = partial.select("g", F.posexplode("m").alias("k", "value")).groupBy("g", "k").agg(F.sum("value").alias("value"))
     out: dict[str, np.ndarray] = {}
     for r in cells.collect():   # groups x width squared numbers
