@@ -81,11 +81,15 @@ def _repeat_words(words: Column) -> Column:
     """Words that stand in a three-word window found twice or more.
 
     Windows are compared by 64-bit hashes of 64-bit word hashes; equal windows are
-    neighbours once sorted, so a text of n words costs n log n.
+    neighbours once sorted, so a text of n words costs n log n. A text without equal
+    windows, known from their distinct count, is not sorted.
     """
     def covered(h):
-        windows = F.transform(F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0))),
-                              lambda x, i: F.struct(F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)).alias("h"), i.alias("i")))
+        plain = F.transform(F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
+        return let(plain, lambda x: F.when(F.size(F.array_distinct(x)) == F.size(x), F.lit(0)).otherwise(places(x)))
+
+    def places(x):
+        windows = F.transform(x, lambda v, i: F.struct(v.alias("h"), i.alias("i")))
         twice = lambda s: F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
         return let(F.sort_array(windows), lambda s: F.size(F.array_distinct(F.flatten(F.transform(
             twice(s), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))))
