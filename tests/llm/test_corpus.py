@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from voxcohort.llm import ann, bpe, licenses, neardup, packing, pii, quality_gam, quality_rules, toxicity, warc
+from voxcohort.llm.common import let
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -497,6 +498,16 @@ def test_gram_weights_equal_a_plain_count(spark):
     assert all(abs(got[k] - np.log((t[k] + 2.0) / (c * rate + 2.0))) < 1e-5 for k, c in n.items()) and not any(v for k, v in enumerate(got) if k not in n)
 
 
+def test_repeated_words_of_long_texts(spark):
+    """Equal windows far apart in a long text, beside many that stand once."""
+    words = [f"w{random.Random(n).randrange(60)}" for n in range(9000)]
+    seen = Counter(tuple(words[n:n + 3]) for n in range(len(words) - 2))
+    repeat = {p for n in range(len(words) - 2) if seen[tuple(words[n:n + 3])] > 1 for p in range(n, n + 3)}
+    hashes = F.transform(F.split("text", " "), lambda w: F.xxhash64(w))
+    got = [r.n for r in frame(spark, [" ".join(words), " ".join(words[:2]), "a b c", "a a a a"]).select("doc_id", let(hashes, quality_rules._repeat_words).alias("n")).orderBy("doc_id").collect()]
+    assert got == [len(repeat), 0, 0, 4]
+
+
 def test_only_words_that_may_tell_are_counted(spark, monkeypatch):
     """Other words of the corpus never leave the scan; the counts of those that may tell are of distinct texts."""
     name = lambda n: "".join("abcdefghij"[int(d)] for d in str(n)) * 2
