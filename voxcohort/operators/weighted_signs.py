@@ -80,7 +80,7 @@ def draws(ids: list, replicates: int) -> np.ndarray:
     return np.searchsorted(np.array(poisson_steps()), u, side="right").reshape(-1, replicates).astype(float)
 
 
-def _cuts(points: list[float]) -> np.ndarray:
+def cuts_of(points: list[float]) -> np.ndarray:
     """Range limits; a value that is a limit stands alone, so that a very common value is a range of its own."""
     return np.array(sorted({c for p in points for c in (float(p), math.nextafter(p, math.inf))}))
 
@@ -90,15 +90,17 @@ def _stack(column: pd.Series) -> np.ndarray:
 
 
 def sign_statistics(x: DataFrame, p: int, replicates: int | None = None, rows_per_range: int = ROWS, time: str = "RFS",
-                    event: str = "event", key: str = "PatientID") -> DataFrame:
+                    event: str = "event", key: str = "PatientID", weights=None, extra: tuple = ()) -> DataFrame:
     """(g, k, replicate, n, events, mu, sd, c) of the training rows ``x`` (g, key, time, event, x), by feature index ``k``.
 
     Median, standard deviation and concordance of every feature under each bootstrap
-    replicate, or of the rows as they are (replicate 0) without ``replicates``.
+    replicate, or of the rows as they are (replicate 0) without ``replicates``. With
+    ``weights``, a function of rows with the ``extra`` columns, a replicate is a column of
+    what it returns.
     """
     reps = replicates or 1
-    x = x.select("g", F.col(key).cast("string").alias("id"), F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), "x")
-    x = x.where("id IS NOT NULL") if replicates else x
+    x = x.select("g", F.col(key).cast("string").alias("id"), F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), "x", *extra)
+    x = x.where("id IS NOT NULL") if replicates and not weights else x
     sizes = {r["g"]: r["n"] for r in x.groupBy("g").agg(F.count("*").alias("n")).collect()}      # a row per training set
     names = sorted(sizes)
     number = {g: i for i, g in enumerate(names)}
@@ -107,14 +109,16 @@ def sign_statistics(x: DataFrame, p: int, replicates: int | None = None, rows_pe
     if ranges > 1:
         wide = x.select("t", *[F.col("x")[k].alias(f"x{k}") for k in range(p)])
         found = wide.approxQuantile(wide.columns, [i / ranges for i in range(1, ranges)], 1.0 / (4 * ranges))
-    t_cuts, v_cuts = _cuts(found[0]), [_cuts(f) for f in found[1:]]
+    t_cuts, v_cuts = cuts_of(found[0]), [cuts_of(f) for f in found[1:]]
     alone = np.r_[False, np.diff(t_cuts) <= np.spacing(t_cuts[:-1]), False]      # ranges of one time: events there are earlier than censorings
 
     def weighed(batches):
         for pdf in batches:
             if len(pdf):
                 w = np.ones((len(pdf), 1))
-                if replicates:
+                if weights:
+                    w = weights(pdf)
+                elif replicates:
                     at, ids = pd.factorize(pdf["id"])
                     w = draws(ids, replicates)[at]
                 at = np.searchsorted(t_cuts, pdf["t"].to_numpy(), side="right")

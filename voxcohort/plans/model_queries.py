@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxcohort import fixtures as fx
 from voxcohort.functions import clinical as cl
 from voxcohort.functions import staging
-from voxcohort.operators import boosting, classify as cy
+from voxcohort.operators import boosting, classify as cy, crossed as cr
 from voxcohort.operators import logistic as grouped
 from voxcohort.operators import metrics, modelstate as ms, ranks
 from voxcohort.operators import survival as sv
@@ -522,10 +522,12 @@ def m24(spark, sf):
 @query("m25_repeated_cv")
 def m25(spark, sf):
     """Five folds under ten seeds for Cox and the sign ensemble: mean and deviation of each, and of their difference by seed."""
-    df = outcome(spark, sf)
-    folds = ranks.stratified_folds(df.select("PatientID", "event", "center"), ["event", "center"])
-    sets = sv.guard_sets(sv.repeated_sets(df.select("PatientID", "center", "RFS", "event", *BASE), folds), 1, 1, 3)      # 50 copies of a row: only what is read
-    per = sv.c_by_group(model_predictions(sets, BASE)).withColumn("seed", F.substring_index("g", "_", 1).cast("int"))
+    df = cut(outcome(spark, sf).select(*cr.IDS, cr.features_of(outcome(spark, sf), BASE).alias("x"), F.monotonically_increasing_id().alias("_row")))
+    folds = ranks.stratified_folds(df.select("_row", "PatientID", "event", "center"), ["event", "center"]).select("_row", "seed", "cv_fold")
+    rows, sets = cr.held_by_seed(df, folds, "_row", 10)
+    rows = cut(rows.drop("_row"))      # a row once, with its fold under every seed
+    sets = cr.guarded(rows, sets, 1, 1, 3)
+    per = cr.judged(cr.cox_and_sign(rows, sets, len(BASE)), ["Cox", "sign"]).withColumn("seed", F.substring_index("g", "_", 1).cast("int"))
     seeds = cut(per.groupBy("model", "seed").agg(F.avg("c_index").alias("c_index")))
     each = seeds.groupBy("model").agg(F.avg("c_index").alias("mean"), F.stddev_pop("c_index").alias("std"), F.count("*").alias("seeds"), F.lit(None).cast("long").alias("wins"))
     pick = lambda m: F.max(F.when(F.col("model") == m, F.col("c_index")))
