@@ -74,3 +74,25 @@ def test_repeated_cv_writes_no_copies_of_rows(spark, cohort):
     rows, sets = cr.held_by_seed(df.withColumn("x", cr.features_of(df, FEATS)), folds, "PatientID", 10)
     out = cr.cox_and_sign(rows.select(*cr.IDS, "held", "x"), cr.guarded(rows, sets, 1, 1, 3), 4)
     assert out.count() == 40_000 and sum(v for k, v in written().items() if k not in before) < 6_000_000      # 4,000 rows for each of 50 sets, at 80 bytes a row, would be 16 MB
+
+
+def test_selected_features_and_bags_equal_those_of_repeated_rows(spark, cohort):
+    rows, sets = crossed(cohort, fold=[0, 1, 2, 3])
+    rows = rows.cache()
+    fill = cr.fills(rows, sets, 4)
+    size, mean, sd = cr.moments(rows, sets, 4, fill)
+    old = sv.guard_sets(sv.training_sets(cohort, "fold").withColumn("g", F.concat(F.lit("fold|"), "g")))
+    picked = cr.chosen(sets, cr.sign_fits(rows, sets, 4, fill, [1, 2, 3]), sd, FEATS, 1, 2)
+    want = {(r.g, r.rank): r.feature for r in sv.preselect(old, FEATS[1:], 2).collect()}
+    assert {(g, n): FEATS[picked[i, n]] for i, g in enumerate(sets.names) for n in (1, 2)} == want and (picked[:, 0] == 0).all()
+    cox = cr.cox_fits(cr.time_blocks(rows, 4), sets, 4, fill, mean, sd, size, 0.5, picked)
+    bags = cr.bag_fits(rows, sets, FEATS, fill, mean, sd, size, [FEATS, FEATS[:3]], 6)
+    out = cr.held_out(rows, sets, 4, fill, [lambda i, x: cr.cox_risk(cox, i, x), *[lambda i, x, b=b: cr.bag_risk(b, i, x) for b in bags]]).cache()
+    for n, df in enumerate((sv.cox_with_selected(old, FEATS[:1], FEATS[1:], 2), sv.bagged_sign_predictions(old, FEATS, 6), sv.bagged_sign_predictions(old, FEATS[:3], 6))):
+        want, got = risks(df), risks(out.withColumn("risk", F.col("x")[n]))
+        assert want.keys() == got.keys() and np.allclose([want[k] for k in want], [got[k] for k in want], rtol=1e-7, atol=1e-9)
+    both = cr.with_rank_means(out, ["c", "a", "b"], {"mix": ("c", "a"), "all": ("c", "a", "b")}, [("b", "fold|1")])
+    named = out.select("g", *cr.IDS, F.explode(F.map_from_arrays(F.array(*map(F.lit, "cab")), "x")).alias("model", "risk")).where("model != 'b' OR g != 'fold|1'")
+    for n, models in ((3, ("c", "a")), (4, ("c", "a", "b"))):
+        want, got = risks(sv.rank_ensemble(named, models, "m")), risks(both.withColumn("risk", F.col("x")[n]))
+        assert want.keys() == got.keys() and all(want[k] == pytest.approx(got[k]) for k in want)

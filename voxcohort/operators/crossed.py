@@ -20,8 +20,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxcohort.operators.ranks import exact_quantiles, with_range
-from voxcohort.operators.weighted_signs import cuts_of, sign_statistics
+from voxcohort.operators.ranks import add_rank, exact_quantiles, random_subset, with_range
+from voxcohort.operators.survival import _kept_signs
+from voxcohort.operators.weighted_signs import cuts_of, median_score, sign_statistics, sign_tables
 from voxcohort.session import cut
 
 BLOCK_ROWS = 25_000     # rows of a block, about
@@ -304,24 +305,52 @@ def cox_fits(blocks: DataFrame, sets: Sets, p: int, fill: np.ndarray, mean: np.n
 
 
 # ---------------------------------------------------------------- predictions
-def sign_fits(rows: DataFrame, sets: Sets, p: int, fill: np.ndarray, cmin: float = 0.0) -> dict:
-    """Centre, scale and sign of every set and feature, 0 for a feature that does not count: those of ``survival.sign_predictions``."""
+def sign_fits(rows: DataFrame, sets: Sets, p: int, fill: np.ndarray, features: list[int] | None = None) -> dict:
+    """Centre, scale and concordance (one half where nothing is comparable) of every set and feature, or of some, those of ``survival.sign_predictions``."""
+    features = list(range(p)) if features is None else features
+    mu, sd, c = np.zeros((len(sets.names), p)), np.ones((len(sets.names), p)), np.full((len(sets.names), p), 0.5)
+    if not sets.names:
+        return {"mu": mu, "sd": sd, "c": c}
     columns, place = [], {}
-    for k in range(p):
+    for k in features:
         for v in dict.fromkeys(None if math.isnan(f) else float(f) for f in fill[:, k]):      # one column per median that fills it
             place[k, v] = len(columns)
             columns.append(F.col("x")[k] if v is None else F.coalesce(F.col("x")[k], F.lit(v)))
     weights = lambda pdf: sets.train(np.array(pdf["held"].tolist())).astype(float)
     found = sign_statistics(rows.withColumns({"g": F.lit("all"), "x": F.array(*columns)}), len(columns), len(sets.names), weights=weights, extra=("held",))
     got = {(r["k"], r["replicate"]): r for r in found.collect()}      # sets x features
-    mu, sd, c = (np.zeros((len(sets.names), p)) for _ in range(3))
     for i in range(len(sets.names)):
-        for k in range(p):
+        for k in features:
             r = got[place[k, None if math.isnan(fill[i, k]) else float(fill[i, k])], i]
             mu[i, k], sd[i, k], c[i, k] = r["mu"], r["sd"] if r["sd"] > 0 else 1.0, 0.5 if r["c"] is None else r["c"]
-    strong = np.abs(c - 0.5) >= cmin
-    strong |= ~strong.any(1, keepdims=True)
-    return {"mu": mu, "sd": sd, "sign": np.where(strong, np.where(c >= 0.5, 1.0, -1.0), 0.0)}
+    return {"mu": mu, "sd": sd, "c": c}
+
+
+def bag_fits(rows: DataFrame, sets: Sets, features: list[str], fill: np.ndarray, mean: np.ndarray, sd: np.ndarray, size: np.ndarray,
+             arms: list[list[str]], replicates: int = 40, fraction: float = 0.6, min_events: int = 3) -> list[dict]:
+    """Per arm (the features it draws from), the models of ``survival.bagged_sign_predictions``: set to centres, scales and signs (feature, replicate).
+
+    The replicates draw the same rows for every arm, so statistics are taken once.
+    """
+    p, kinds = len(features), dict(rows.dtypes)
+    spread_ = np.where(sd > 0, sd * np.sqrt((size - 1) / size)[:, None], 1.0)
+
+    def training(batches):
+        for pdf in batches:
+            if len(pdf):
+                x, train = _matrix(pdf["x"], p), sets.train(np.array(pdf["held"].tolist()))
+                for i, g in enumerate(sets.names):
+                    at = train[:, i]
+                    yield pdf.loc[at, ["PatientID", "RFS", "event"]].assign(g=g, x=list((_filled(x[at], fill[i]) - mean[i]) / spread_[i]))
+    names = ", ".join(f"{c} {kinds[c]}" for c in ("PatientID", "RFS", "event"))
+    found = sign_statistics(rows.select("PatientID", "RFS", "event", "held", "x").mapInPandas(training, f"{names}, g string, x array<double>"), p, replicates)
+    out = []
+    for arm in arms:
+        named = rows.sparkSession.createDataFrame([(f, features.index(f)) for f in arm], "feature string, k int")
+        picked = random_subset(named, replicates, fraction).join(named, "feature").select("replicate", "k")
+        tables = sign_tables(_kept_signs(found.where(F.col("events") >= min_events).join(picked, ["replicate", "k"]), 0.0), p)
+        out.append({i: (*tables[g], mean[i], spread_[i]) for i, g in enumerate(sets.names) if g in tables})
+    return out
 
 
 def cox_risk(model: dict, i: int, x: np.ndarray) -> np.ndarray:
@@ -331,11 +360,19 @@ def cox_risk(model: dict, i: int, x: np.ndarray) -> np.ndarray:
     return np.exp(line)
 
 
-def sign_risk(model: dict, i: int, x: np.ndarray) -> np.ndarray:
+def sign_risk(model: dict, columns: list[int], i: int, x: np.ndarray) -> np.ndarray:
     total = 0.0
-    for k in range(x.shape[1]):
-        total = total + (x[:, k] - model["mu"][i, k]) / model["sd"][i, k] * model["sign"][i, k]
-    return total / (model["sign"][i] != 0).sum()
+    for k in columns:
+        total = total + (x[:, k] - model["mu"][i, k]) / model["sd"][i, k] * (1.0 if model["c"][i, k] >= 0.5 else -1.0)
+    return total / len(columns)
+
+
+def bag_risk(model: dict, i: int, x: np.ndarray) -> np.ndarray:
+    """Of a set without a model, 0; ``judged`` leaves it out."""
+    if i not in model:
+        return np.zeros(len(x))
+    mu, sd, sign, mean, scale = model[i]
+    return median_score((x - mean) / scale, mu, sd, sign)
 
 
 def held_out(rows: DataFrame, sets: Sets, p: int, fill: np.ndarray, risks: list) -> DataFrame:
@@ -361,11 +398,30 @@ def cox_and_sign(rows: DataFrame, sets: Sets, p: int, penalizer: float = 0.5) ->
     size, mean, sd = moments(rows, sets, p, fill)
     cox = cox_fits(time_blocks(rows, p), sets, p, fill, mean, sd, size, penalizer)
     sign = sign_fits(rows, sets, p, fill)
-    return held_out(rows, sets, p, fill, [partial(cox_risk, cox), partial(sign_risk, sign)])
+    return held_out(rows, sets, p, fill, [partial(cox_risk, cox), partial(sign_risk, sign, list(range(p)))])
+
+
+def chosen(sets: Sets, sign: dict, sd: np.ndarray, features: list[str], first: int, k: int) -> np.ndarray:
+    """(set, k): the features from ``first`` on that are farthest from one half, as ``survival.preselect`` picks them, after those before."""
+    signal = np.where(sd > 0, np.abs(sign["c"] - 0.5), 0.0)
+    order = lambda i: sorted(sorted(range(first, len(features)), key=lambda j: features[j], reverse=True), key=lambda j: -round(signal[i, j], 12))
+    return np.array([[*range(first), *order(i)[:k]] for i in range(len(sets.names))], int).reshape(len(sets.names), first + k)
+
+
+def with_rank_means(risks: DataFrame, models: list[str], combined: dict[str, tuple], absent: list[tuple[str, str]] = ()) -> DataFrame:
+    """``risks`` with the mean rank over some of the models behind them in ``x``, as ``survival.rank_ensemble`` has it; models of ``absent`` (model, g) do not count."""
+    key = ["g", "PatientID"]
+    named = F.explode(F.arrays_zip(F.array(*map(F.lit, models)).alias("model"), F.col("x").alias("risk")))
+    single = risks.select(*key, named.alias("m")).select(*key, "m.model", "m.risk").where(~F.concat_ws("|", "model", "g").isin([f"{m}|{g}" for m, g in absent]))
+    ranked = add_rank(single, "risk", "rank", ["g", "model"]).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("model", "rank"))).alias("ranks"))
+    rank = lambda m: F.try_element_at("ranks", F.lit(m))
+    mean = lambda ms: sum((F.coalesce(rank(m), F.lit(0.0)) for m in ms), F.lit(0.0)) / F.greatest(sum((rank(m).isNotNull().cast("int") for m in ms), F.lit(0)), F.lit(1))
+    return risks.join(ranked, key).withColumn("x", F.concat("x", F.array(*[mean(ms) for ms in combined.values()]))).drop("ranks")
 
 
-def judged(risks: DataFrame, models: list[str]) -> DataFrame:
-    """(model, g, n, events, c_index) of the risks ``x`` of several models, by the library rule."""
+def judged(risks: DataFrame, models: list[str], absent: list[tuple[str, str]] = ()) -> DataFrame:
+    """(model, g, n, events, c_index) of the risks ``x`` of several models, by the library rule; not of ``absent`` (model, g)."""
     out = sign_statistics(risks, len(models))
     name = F.array(*map(F.lit, models))[F.col("k")]
-    return out.select(name.alias("model"), "g", F.col("n").cast("long").alias("n"), F.col("events").cast("long").alias("events"), F.col("c").alias("c_index"))
+    out = out.select(name.alias("model"), "g", F.col("n").cast("long").alias("n"), F.col("events").cast("long").alias("events"), F.col("c").alias("c_index"))
+    return out.where(~F.concat_ws("|", "model", "g").isin([f"{m}|{g}" for m, g in absent])) if absent else out

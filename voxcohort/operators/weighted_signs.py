@@ -226,12 +226,8 @@ def sign_statistics(x: DataFrame, p: int, replicates: int | None = None, rows_pe
     return cut(out.withColumn("c", F.nanvl("c", F.lit(None))))
 
 
-def sign_scores(rows: DataFrame, model: DataFrame, p: int, ids: list[str]) -> DataFrame:
-    """(g, ids, risk): the median over replicates of the mean signed score of their kept features.
-
-    ``rows`` is (g, ids, x), ``model`` (g, k, replicate, mu, sd, sign): kept features
-    alone. Rows of sets without a model are left out.
-    """
+def sign_tables(model: DataFrame, p: int) -> dict:
+    """Centres, scales and signs (feature, replicate) by set; ``model`` is (g, k, replicate, mu, sd, sign), kept features alone."""
     held = {}
     for r in model.select("g", "replicate", "k", "mu", "sd", "sign").collect():      # sets x replicates x features
         held.setdefault(r["g"], {}).setdefault(r["replicate"], []).append((r["k"], r["mu"], r["sd"], r["sign"]))
@@ -242,15 +238,28 @@ def sign_scores(rows: DataFrame, model: DataFrame, p: int, ids: list[str]) -> Da
             for k, *v in found[rep]:
                 mu[k, i], sd[k, i], sign[k, i] = v
         tables[g] = mu, sd, sign
+    return tables
+
+
+def median_score(xs: np.ndarray, mu: np.ndarray, sd: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    total = 0.0
+    for k in range(xs.shape[1]):      # by element, so that equal rows have equal risks
+        total = total + (xs[:, k:k + 1] - mu[k]) / sd[k] * sign[k]
+    return np.median(total / (sign != 0).sum(0), axis=1)
+
+
+def sign_scores(rows: DataFrame, model: DataFrame, p: int, ids: list[str]) -> DataFrame:
+    """(g, ids, risk): the median over replicates of the mean signed score of their kept features.
+
+    ``rows`` is (g, ids, x), ``model`` (g, k, replicate, mu, sd, sign): kept features
+    alone. Rows of sets without a model are left out.
+    """
+    tables = sign_tables(model, p)
 
     def risks(batches):
         for pdf in batches:
             for g, part in pdf.groupby("g"):
-                mu, sd, sign = tables[g]
-                xs, total = _stack(part["x"]), 0.0
-                for k in range(p):      # by element, so that equal rows have equal risks
-                    total = total + (xs[:, k:k + 1] - mu[k]) / sd[k] * sign[k]
-                yield part.drop(columns="x").assign(risk=np.median(total / (sign != 0).sum(0), axis=1))
+                yield part.drop(columns="x").assign(risk=median_score(_stack(part["x"]), *tables[g]))
 
     kinds = dict(rows.dtypes)
     names = F.array(*map(F.lit, sorted(tables))).cast("array<string>")

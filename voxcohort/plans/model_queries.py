@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from voxcohort import fixtures as fx
@@ -421,10 +424,23 @@ def m17(spark, sf):
     return sv.preselect(cv_sets(spark, sf), NUM, 3).select("g", "feature", *r6("signal"), "rank")
 
 
+def crossed_rows(spark, sf, features, by=("fold",), named=False):
+    """Rows stored once with the groups that hold them out, and the sets large enough to fit and to judge."""
+    df = outcome(spark, sf)
+    rows, sets = cr.held_by(df.withColumn("x", cr.features_of(df, features)), {c: sv.group_values(df, c) for c in by}, named)
+    rows = cut(rows.select(*cr.IDS, "held", "x"))
+    return rows, cr.guarded(rows, sets)
+
+
 @query("m18_cox_with_selected")
 def m18(spark, sf):
-    p = sv.cox_with_selected(cv_sets(spark, sf), BASE, POOL, 2)
-    return sv.c_by_group(p, ["g"]).select("g", "n", "events", "c_index")
+    rows, sets = crossed_rows(spark, sf, BASE + POOL)
+    n = len(BASE + POOL)
+    fill = cr.fills(rows, sets, n)
+    size, mean, sd = cr.moments(rows, sets, n, fill)
+    picked = cr.chosen(sets, cr.sign_fits(rows, sets, n, fill, list(range(len(BASE), n))), sd, BASE + POOL, len(BASE), 2)
+    cox = cr.cox_fits(cr.time_blocks(rows, n), sets, n, fill, mean, sd, size, 0.5, picked)
+    return cr.judged(cr.held_out(rows, sets, n, fill, [partial(cr.cox_risk, cox)]), ["Cox"]).select("g", "n", "events", "c_index")
 
 
 view("sign_scale", "SELECT g, feature, median(z) AS mu, stddev_pop(z) AS sd FROM cv_z WHERE train GROUP BY 1, 2", ("cv_z",))
