@@ -31,10 +31,14 @@ def pair_sums(late: np.ndarray, value: np.ndarray, a: np.ndarray, b: np.ndarray,
     """Per column, the sum of a[i] * b[j] over pairs where j is later and of smaller value (``ties`` of it where equal)."""
     out = np.zeros(a.shape[1])
     late = np.unique(late, return_inverse=True)[1]
+    late = late.astype(np.uint16 if len(late) <= 1 << 16 or late.max(initial=0) < 1 << 16 else np.int64)      # numpy sorts short integers by digits
     counts = a.any(axis=1)
+    by_value = np.argsort(value, kind="stable")
+    value, late = value[by_value], late[by_value]
+    b = b.astype(np.float32) if b.sum(0).max(initial=0) < 1 << 22 else b      # whole weights, so their sums and halves are exact in it
     for bit in range(int(late.max(initial=0)).bit_length()):
-        order = np.lexsort((value, late >> (bit + 1)))
-        node, v, high = late[order] >> (bit + 1), value[order], (late[order] >> bit & 1).astype(bool)
+        at = np.argsort(late >> (bit + 1), kind="stable")      # by node, then value
+        order, node, v, high = by_value[at], late[at] >> (bit + 1), value[at], (late[at] >> bit & 1).astype(bool)
         first = np.r_[True, node[1:] != node[:-1]]
         new = first | np.r_[True, v[1:] != v[:-1]]
         before = np.r_[0, np.cumsum(high)]
@@ -44,7 +48,8 @@ def pair_sums(late: np.ndarray, value: np.ndarray, a: np.ndarray, b: np.ndarray,
         at = np.flatnonzero(~high & counts[order])
         if not len(at) or not before[-1]:
             continue
-        total = np.cumsum(np.r_[np.zeros((1, b.shape[1])), b[order[high]]], axis=0)
+        total = np.zeros((before[-1] + 1, b.shape[1]), b.dtype)
+        np.cumsum(b[order[high]], axis=0, out=total[1:])
         below = (1 - ties) * total[before[runs[run[at]]]] + ties * total[before[ends[run[at]]]] - total[before[starts[np.cumsum(first)[at] - 1]]]
         out += np.einsum("ij,ij->j", a[order[at]], below)
     return out

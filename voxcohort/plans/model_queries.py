@@ -483,11 +483,18 @@ def w4(spark, sf):
 
 @query("m21_model_combinations")
 def m21(spark, sf):
-    p = model_predictions(cv_sets(spark, sf), NUM, bagged=True).persist()
-    every = p
-    for name, models in (("Cox+sign", ("Cox", "sign")), ("Cox+bag", ("Cox", "bag")), ("Cox+bag+sign", ("Cox", "bag", "sign"))):
-        every = every.unionByName(sv.rank_ensemble(p, models, name).select(*p.columns))
-    return sv.c_by_group(every).groupBy("model").agg(F.avg("c_index").alias("c_index"), F.count("c_index").alias("folds"))
+    rows, sets = crossed_rows(spark, sf, NUM)
+    n, single = len(NUM), ["Cox", "sign", "bag"]
+    fill = cr.fills(rows, sets, n)
+    size, mean, sd = cr.moments(rows, sets, n, fill)
+    cox = cr.cox_fits(cr.time_blocks(rows, n), sets, n, fill, mean, sd, size, 0.5)
+    bag, = cr.bag_fits(rows, sets, NUM, fill, mean, sd, size, [NUM])
+    risks = [partial(cr.cox_risk, cox), partial(cr.sign_risk, cr.sign_fits(rows, sets, n, fill), list(range(n))), partial(cr.bag_risk, bag)]
+    combined = {"Cox+sign": ("Cox", "sign"), "Cox+bag": ("Cox", "bag"), "Cox+bag+sign": ("Cox", "bag", "sign")}
+    absent = [("bag", g) for i, g in enumerate(sets.names) if i not in bag]
+    every = cr.with_rank_means(cut(cr.held_out(rows, sets, n, fill, risks)), single, combined, absent)
+    absent += [(name, g) for _, g in absent for name, models in combined.items() if models == ("Cox", "bag")]      # two models at least
+    return cr.judged(every, single + list(combined), absent).groupBy("model").agg(F.avg("c_index").alias("c_index"), F.count("c_index").alias("folds"))
 
 
 @query("m22_agreement", """SELECT round(corr(ra, rb), 6) AS rank_corr, corr(ra, rb) > 0.8 AS alike FROM (
