@@ -512,14 +512,21 @@ FAMILIES = (("Cox", "base", BASE), ("sign", "base", BASE), ("sign", "base+featur
 @query("m23_model_families")
 def m23(spark, sf):
     """Five arms under folds and leave-one-center-out: mean C, sets judged, and the difference to the Cox baseline."""
-    df, out = outcome(spark, sf), None
-    named = lambda by: sv.guard_sets(sv.training_sets(df, by).withColumn("g", F.concat(F.lit(f"{by}|"), "g")))
-    sets = cut(named("fold").unionByName(named("center")))
-    fit = {"Cox": lambda f: sv.cox_predictions(sets, f, 1.0), "sign": lambda f: sv.sign_predictions(sets, f), "bag": lambda f: sv.bagged_sign_predictions(sets, f)}
-    for model, name, feats in FAMILIES:
-        p = fit[model](feats).select("g", "PatientID", "center", "RFS", "event", "risk", F.lit(model).alias("model"), F.lit(name).alias("features"))
-        out = p if out is None else out.unionByName(p)
-    per = sv.c_by_group(out, ["model", "features", "g"]).withColumn("scheme", F.substring_index("g", "|", 1))
+    feats = BASE + POOL
+    at = {"base": list(range(len(BASE))), "base+features": list(range(len(feats))), "features": list(range(len(BASE), len(feats)))}
+    rows, sets = crossed_rows(spark, sf, feats, ("fold", "center"), True)
+    fill = cr.fills(rows, sets, len(feats))
+    size, mean, sd = cr.moments(rows, sets, len(feats), fill)
+    base = np.tile(at["base"], (len(sets.names), 1))
+    cox = cr.cox_fits(cr.time_blocks(rows, len(feats)), sets, len(feats), fill, mean, sd, size, 1.0, base)
+    sign = cr.sign_fits(rows, sets, len(feats), fill)
+    bags = cr.bag_fits(rows, sets, feats, fill, mean, sd, size, [f for m, _, f in FAMILIES if m == "bag"])
+    bagged = dict(zip([name for m, name, _ in FAMILIES if m == "bag"], bags))
+    risk = {"Cox": lambda name: partial(cr.cox_risk, cox), "sign": lambda name: partial(cr.sign_risk, sign, at[name]), "bag": lambda name: partial(cr.bag_risk, bagged[name])}
+    arms = [f"{m}|{name}" for m, name, _ in FAMILIES]
+    absent = [(f"bag|{name}", g) for name, b in bagged.items() for i, g in enumerate(sets.names) if i not in b]
+    per = cr.judged(cr.held_out(rows, sets, len(feats), fill, [risk[m](name) for m, name, _ in FAMILIES]), arms, absent)
+    per = per.withColumns({"features": F.substring_index("model", "|", -1), "model": F.substring_index("model", "|", 1), "scheme": F.substring_index("g", "|", 1)})
     pick = lambda s: F.when(F.col("scheme") == s, F.col("c_index"))
     rows = cut(per.groupBy("model", "features").agg(F.avg(pick("fold")).alias("cv"), F.count(pick("fold")).alias("folds"), F.avg(pick("center")).alias("loco"), F.count(pick("center")).alias("centers")))
     cox = rows.where("model = 'Cox'").select("cv")
