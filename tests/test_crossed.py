@@ -42,7 +42,7 @@ def test_risks_equal_those_of_repeated_rows(spark, cohort, block):
         assert blocks.where("alone").count() > 1 and blocks.count() > 8
     cox = cr.cox_fits(blocks, sets, 4, fill, mean, sd, size, 0.5)
     sign = cr.sign_fits(rows, sets, 4, fill)
-    out = cr.held_out(rows, sets, 4, fill, [lambda i, x: cr.cox_risk(cox, i, x), lambda i, x: cr.sign_risk(sign, i, x)]).cache()
+    out = cr.held_out(rows, sets, 4, fill, [lambda i, x: cr.cox_risk(cox, i, x), lambda i, x: cr.sign_risk(sign, [0, 1, 2, 3], i, x)]).cache()
     assert cox["converged"].all()
     for by in ("fold", "center"):
         old = sv.guard_sets(sv.training_sets(cohort, by).withColumn("g", F.concat(F.lit(f"{by}|"), "g")))
